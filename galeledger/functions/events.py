@@ -42,6 +42,11 @@ def _first_of(key: str, rows: Column) -> Column:
 # --- severity ---------------------------------------------------------------
 
 
+def _whole(number: Column) -> Column:
+    """A number as BIGINT, the largest one if it does not fit."""
+    return F.coalesce(number.try_cast("bigint"), F.lit(2**63 - 1))
+
+
 def _number_after(text: Column, low: Column, needed: Sequence[str], pattern: str) -> Column:
     """First number of ``pattern``, '' if none; texts without any of the needed
     words skip the scan."""
@@ -103,7 +108,7 @@ def duration(text: Column, low: Column, rules: SeverityRules = SEVERITY) -> Colu
             lambda n: F.when(
                 n != "",
                 F.struct(
-                    ascii_digits(n).try_cast("bigint").alias("value"),
+                    _whole(ascii_digits(n)).alias("value"),
                     F.lit(unit).alias("unit"),
                     F.lit(FACT_CONFIDENCE).alias("confidence"),
                 ),
@@ -136,7 +141,7 @@ def _grade(facts: Column, rules: SeverityRules) -> Column:
     # The raw number is compared whatever its unit.
     long = (time["value"] > rules.duration_limit) & (scale != "major")
     return F.struct(
-        people.try_cast("bigint").alias("affected_customers"),
+        F.when(people.isNotNull(), _whole(people)).alias("affected_customers"),
         time.alias("duration"),
         F.when(
             money.isNotNull(),
