@@ -17,6 +17,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column, name: str) -> Column:
+    """``value`` as a generated column called ``name``, for use in a ``select``.
+
+    Filters and explodes on a plain column are copied below the projection that
+    computes it and repeat the work there, on rows not yet filtered. They stay
+    above a generator.
+    """
+    return F.inline(F.array(F.struct(value.alias(name))))
+
+
 def python_round2(value: Column) -> Column:
     """Round to two places on the exact binary value, ties to even.
 

@@ -259,22 +259,29 @@ def damage_types(text: Column, phrases: Sequence[DamagePhrase] = DAMAGE_PHRASES)
     return let(F.lower(text), lambda low: _damage_types(low, phrases))
 
 
+PARTS = ("locations", "severity", "damage_types")
+
+
 def classification(
     text: Column,
     gazetteer: Sequence[Place] = GAZETTEER,
     rules: SeverityRules = SEVERITY,
     phrases: Sequence[DamagePhrase] = DAMAGE_PHRASES,
     others: Column | None = None,
+    parts: Sequence[str] = PARTS,
 ) -> Column:
-    """Locations, severity and damage types together; the text is lower-cased once."""
-    return let(
-        F.lower(text),
-        lambda low: F.struct(
-            _locations(low, gazetteer, others).alias("locations"),
-            _severity(text, low, rules).alias("severity"),
-            _damage_types(low, phrases).alias("damage_types"),
-        ),
-    )
+    """Locations, severity and damage types together; the text is lower-cased
+    once. ``parts`` leaves out what a report does not need."""
+
+    def extract(low: Column) -> Column:
+        made = {
+            "locations": lambda: _locations(low, gazetteer, others),
+            "severity": lambda: _severity(text, low, rules),
+            "damage_types": lambda: _damage_types(low, phrases),
+        }
+        return F.struct(*[made[part]().alias(part) for part in parts])
+
+    return let(F.lower(text), extract)
 
 
 def place_names(text: Column, names: Sequence[str], stopwords: Sequence[str]) -> Column:

@@ -53,27 +53,29 @@ def _is_empty(text: Column) -> Column:
     return text.isNull() | (text == "")
 
 
-def _vetoed(text: Column, hits: Column, vocab: Vocabulary) -> Column:
+def _vetoed(text: Column, folded: Column, vocab: Vocabulary) -> Column:
     if not vocab.negatives:
         return F.lit(False)
-    found = F.arrays_overlap(
-        F.transform(hits, lambda h: fold_case_twins(h, vocab.negatives)),
-        string_array(w.lower() for w in vocab.negatives),
-    )
+    found = F.arrays_overlap(folded, string_array(w.lower() for w in vocab.negatives))
     # Only the capital dotted I changes length when lower-cased.
     raw = text.rlike(raw_whole_words_pattern(vocab.negatives))
     return F.when(F.contains(text, F.lit("İ")), raw).otherwise(found)
 
 
-def _matches_by_category(hits: Column, vocab: Vocabulary) -> Column:
+def _matches_by_category(hits: Column, folded: Column, vocab: Vocabulary) -> Column:
     """Per category the hits of its words, word list order first."""
 
     def of_word(word: Column) -> Column:
-        return F.filter(hits, lambda h: fold_case_twins(h, vocab.all_words) == word)
+        return F.filter(hits, lambda h, i: folded[i] == word)
+
+    def of_category(words: Column) -> Column:
+        found = F.flatten(F.transform(words, of_word))
+        return F.when(F.arrays_overlap(folded, words), found).otherwise(
+            F.array().cast("array<string>")
+        )
 
     return F.array(*[
-        F.flatten(F.transform(string_array(w.lower() for w in c.words), of_word))
-        for c in vocab.categories
+        of_category(string_array(w.lower() for w in c.words)) for c in vocab.categories
     ])
 
 
@@ -122,11 +124,14 @@ def _judge(text: Column, hits: Column, vocab: Vocabulary) -> Column:
             _irrelevant(UNMATCHED)
         )
 
-    return (
-        F.when(_vetoed(text, hits, vocab), _irrelevant(VETOED))
-        .when(F.size(hits) == 0, _irrelevant(UNMATCHED))
-        .otherwise(let(_matches_by_category(hits, vocab), with_matches))
-    )
+    def with_folded(folded: Column) -> Column:
+        return (
+            F.when(_vetoed(text, folded, vocab), _irrelevant(VETOED))
+            .when(F.size(hits) == 0, _irrelevant(UNMATCHED))
+            .otherwise(let(_matches_by_category(hits, folded, vocab), with_matches))
+        )
+
+    return let(F.transform(hits, lambda h: fold_case_twins(h, vocab.all_words)), with_folded)
 
 
 def verdict(text: Column, vocab: Vocabulary = WEATHER) -> Column:

@@ -36,10 +36,17 @@ def _case_twins() -> dict[str, str]:
     return twins
 
 
+def quote(text: str) -> str:
+    """``text`` as a literal in a Java pattern, inside or outside a class."""
+    return re.sub(r"([\\^$.|?*+()\[\]{}&~#-])", r"\\\1", text)
+
+
+def _with_twins(char: str) -> str:
+    return quote(char) + _case_twins().get(char, "")
+
+
 def _literal(char: str) -> str:
-    escaped = "\\" + char if char in r"\^$.|?*+()[]{}&-~#" else char
-    twins = _case_twins().get(char, "")
-    return f"[{escaped}{twins}]" if twins else escaped
+    return f"[{_with_twins(char)}]" if char in _case_twins() else quote(char)
 
 
 def _is_word_char(char: str) -> bool:
@@ -67,6 +74,14 @@ def _prefix_tree(words: Sequence[str]) -> str:
     return body + "?" if "" in words else body
 
 
+def _any_letter(letters: Iterable[str]) -> str:
+    """Class of the given letters and their twins; anything if a word has ended."""
+    letters = sorted(set(letters))
+    if "" in letters:
+        return ""
+    return "[" + "".join(map(_with_twins, letters)) + "]"
+
+
 def whole_words_pattern(words: Iterable[str]) -> str:
     """Java pattern for any of ``words`` as a whole word in lower-cased text.
 
@@ -77,8 +92,9 @@ def whole_words_pattern(words: Iterable[str]) -> str:
     plain = [w for w in words if _is_word_char(w[0]) and _is_word_char(w[-1])]
     parts = []
     if plain:
-        first = "".join(sorted({c + _case_twins().get(c, "") for c in {w[0] for w in plain}}))
-        parts.append(f"(?<!{WORD_CHAR})(?=[{first}]){_prefix_tree(plain)}(?!{WORD_CHAR})")
+        # Most words of a text already fail on their first two letters.
+        start = "".join(_any_letter(w[i : i + 1] for w in plain) for i in (0, 1))
+        parts.append(f"(?<!{WORD_CHAR})(?={start}){_prefix_tree(plain)}(?!{WORD_CHAR})")
     for word in words:
         if word not in plain:
             parts.append(_left_edge(word) + "".join(map(_literal, word)) + _right_edge(word))
@@ -183,11 +199,6 @@ def ascii_digits(value: Column) -> Column:
     return F.when(value.rlike(r"[^\x00-\x7f]"), other).otherwise(value)
 
 
-def quote(word: str) -> str:
-    """``word`` as a literal in a Java pattern."""
-    return re.sub(r"([\\^$.|?*+()\[\]{}&~#-])", r"\\\1", word)
-
-
 def name_grams(text: Column, max_words: int) -> Column:
     """Runs of 1..``max_words`` name tokens, by position and shorter runs first:
     ``array<struct<name, pos, words>>``."""

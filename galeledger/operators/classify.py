@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeledger.functions.events import classification
+from galeledger.functions.columns import once
+from galeledger.functions.events import PARTS, classification
 from galeledger.operators.relevance import relevance_gate
 from galeledger.vocab import (
     DAMAGE_PHRASES,
@@ -22,20 +23,27 @@ from galeledger.vocab import (
 )
 
 
+def _classification(gazetteer, rules, phrases, others: str | None, parts) -> Column:
+    others = F.col(others) if others else None
+    value = classification(F.col("text"), gazetteer, rules, phrases, others, parts)
+    return once(value, "classification")
+
+
 def classify_articles(
     articles: DataFrame,
     gazetteer: Sequence[Place] = GAZETTEER,
     rules: SeverityRules = SEVERITY,
     phrases: Sequence[DamagePhrase] = DAMAGE_PHRASES,
     others: str | None = None,
+    parts: Sequence[str] = PARTS,
 ) -> DataFrame:
-    """Every article with its places, severity and damage types, relevant or not."""
+    """Every article with its places, severity and damage types, relevant or not.
+
+    ``others`` names a column of further place names; ``parts`` chooses what is
+    extracted.
+    """
     return articles.select(
-        "date",
-        "url",
-        classification(
-            F.col("text"), gazetteer, rules, phrases, F.col(others) if others else None
-        ).alias("classification"),
+        "date", "url", _classification(gazetteer, rules, phrases, others, parts)
     )
 
 
@@ -47,16 +55,13 @@ def gated_articles(
     rules: SeverityRules = SEVERITY,
     phrases: Sequence[DamagePhrase] = DAMAGE_PHRASES,
     others: str | None = None,
+    parts: Sequence[str] = PARTS,
 ) -> DataFrame:
     """Relevant articles with verdict and classification, in no order.
 
     One narrow stage; the extraction runs on articles that passed the gate.
     """
-    return relevance_gate(articles, min_confidence, vocab).select(
-        "date",
-        "url",
-        "relevance",
-        classification(
-            F.col("text"), gazetteer, rules, phrases, F.col(others) if others else None
-        ).alias("classification"),
+    gated = relevance_gate(articles, min_confidence, vocab)
+    return gated.select(
+        "date", "url", "relevance", _classification(gazetteer, rules, phrases, others, parts)
     )

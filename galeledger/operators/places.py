@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeledger.functions.columns import let
+from galeledger.functions.columns import let, once
 from galeledger.functions.events import locations, place_names
 from galeledger.functions.text import name_grams
 from galeledger.vocab import LOCATION_STOPWORDS, Place
@@ -117,7 +117,7 @@ def with_locations(
             Place(r["name"], r["type"], r["confidence"], (r["stem"],))
             for r in sorted(rows, key=lambda r: r["ord"])
         ]
-        return articles.withColumn(name, locations(F.col(text), places))
+        return articles.select("*", once(locations(F.col(text), places), name))
     mentions = _mentions(stem_hits(articles, gazetteer, text)).withColumnRenamed("mentions", name)
     keyed = articles.withColumn("text_key", text_key(F.col(text)))
     return (
@@ -173,7 +173,7 @@ def with_other_names(
     rows = bounded_rows(names.select("name").distinct(), small)
     if rows is not None:
         short = [r["name"] for r in rows if r["name"] and r["name"].count(" ") < max_words]
-        return articles.withColumn(name, place_names(F.col(text), short, stopwords))
+        return articles.select("*", once(place_names(F.col(text), short, stopwords), name))
     found = name_hits(articles, names, stopwords, text, max_words)
     per_text = found.groupBy("text_key").agg(
         F.transform(

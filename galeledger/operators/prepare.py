@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeledger.functions.columns import let
+from galeledger.functions.columns import let, once
 from galeledger.functions.text import mentions_any, quote
 from galeledger.vocab import HEADING_PREFIX, PREFILTER_STEMS
 
@@ -63,4 +63,5 @@ def keyword_prefilter(
     """
     text = F.col(column)
     likely = let(F.lower(text), lambda low: mentions_any(low, stems))
-    return articles.filter(likely & text.rlike("(?iU)" + "|".join(map(quote, stems))))
+    match = likely & text.rlike("(?iU)" + "|".join(map(quote, stems)))
+    return articles.select("*", once(match, "__match")).filter("__match").drop("__match")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galeledger.functions.columns import once
 from galeledger.functions.relevance import verdict
 from galeledger.vocab import DEFAULT_MIN_CONFIDENCE, WEATHER, Vocabulary
 
@@ -15,13 +16,9 @@ def with_verdict(
     text: str = "text",
     name: str = "relevance",
 ) -> DataFrame:
-    """Add the verdict struct as a column.
-
-    The verdict comes out of a one-row generator: filters on it are not copied
-    below it, so each text is scanned once however the verdict is used.
-    """
-    scored = F.array(F.struct(verdict(F.col(text), vocab).alias(name)))
-    return articles.select("*", F.inline(scored))
+    """Add the verdict struct as a column; each text is scanned once however the
+    verdict is filtered and used."""
+    return articles.select("*", once(verdict(F.col(text), vocab), name))
 
 
 def passes(relevance: Column, min_confidence: float = DEFAULT_MIN_CONFIDENCE) -> Column:
