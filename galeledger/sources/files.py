@@ -138,8 +138,8 @@ def read_transcripts(spark: SparkSession, path: Path, fmt: str = "jsonl") -> Dat
 def read_csv(
     spark: SparkSession, path: Path, schema: T.StructType, multiline: bool = True
 ) -> DataFrame:
-    """Headered CSV; switch ``multiline`` off to split files without line breaks
-    inside fields."""
+    """Headered CSV, empty fields missing; switch ``multiline`` off to split files
+    without line breaks inside fields."""
     return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=multiline)
 
 
@@ -150,7 +150,13 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """Headered CSV of flat columns."""
-    df.write.mode(mode).csv(path, header=True, escape='"')
+    df.write.mode(mode).csv(
+        path,
+        header=True,
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
