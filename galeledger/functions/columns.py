@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,5 +37,14 @@ def python_round2(value: Column) -> Column:
     return F.replace(F.format_number(value, 2), F.lit(","), F.lit("")).cast("double")
 
 
-def string_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def constant(value, ddl: str) -> Column:
+    """A nested literal of the given type.
+
+    The optimizer folds the parsing away; building the same value from single
+    literals would take a driver round trip for each of them.
+    """
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
+
+
+def strings(values: Iterable[str] = ()) -> Column:
+    return constant(list(values), "array<string>")

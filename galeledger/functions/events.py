@@ -8,8 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from galeledger import schemas
-from galeledger.functions.columns import let, string_array
-from galeledger.functions.text import SPACE, ascii_digits, mentions_any, name_grams, quote
+from galeledger.functions.columns import constant, let, strings
+from galeledger.functions.text import (
+    SPACE,
+    ascii_digits,
+    mentions_any,
+    name_tokens,
+    quote,
+    runs_of,
+)
 from galeledger.vocab import (
     DAMAGE_PHRASES,
     GAZETTEER,
@@ -182,16 +189,14 @@ def _stems(place: Place) -> list[str]:
 
 
 def _known_places(low: Column, gazetteer: Sequence[Place]) -> Column:
-    rows = F.array(*[
-        F.struct(
-            F.lit(stem).alias("stem"),
-            F.lit(place.name).alias("name"),
-            F.lit(place.kind).alias("type"),
-            F.lit(float(place.confidence)).alias("confidence"),
-        )
-        for place in gazetteer
-        for stem in _stems(place)
-    ])
+    rows = constant(
+        [
+            {"stem": s, "name": p.name, "type": p.kind, "confidence": p.confidence}
+            for p in gazetteer
+            for s in _stems(p)
+        ],
+        "array<struct<stem:string,name:string,type:string,confidence:double>>",
+    )
     found = F.filter(rows, lambda p: F.contains(low, p["stem"]))
     return F.transform(
         let(found, lambda f: _first_of("name", f)),
@@ -205,7 +210,7 @@ def _others(names: Column, known: Column) -> Column:
     """``names`` as further places, without those already known."""
     fresh = F.array_except(names, F.transform(known, lambda k: k["name"]))
     return F.transform(
-        F.coalesce(fresh, F.array().cast("array<string>")),
+        F.coalesce(fresh, strings()),
         lambda n: F.struct(
             n.alias("name"),
             F.lit("other").alias("type"),
@@ -216,7 +221,7 @@ def _others(names: Column, known: Column) -> Column:
 
 def _locations(low: Column, gazetteer: Sequence[Place], others: Column | None) -> Column:
     if not gazetteer:
-        known = F.array().cast(schemas.CLASSIFICATION["locations"].dataType)
+        known = constant([], schemas.CLASSIFICATION["locations"].dataType.simpleString())
     else:
         known = _known_places(low, gazetteer)
     if others is None:
@@ -239,14 +244,10 @@ def locations(
 
 
 def _damage_types(low: Column, phrases: Sequence[DamagePhrase]) -> Column:
-    rows = F.array(*[
-        F.struct(
-            F.lit(p.phrase.lower()).alias("phrase"),
-            F.lit(p.kind).alias("type"),
-            F.lit(float(p.confidence)).alias("confidence"),
-        )
-        for p in phrases
-    ])
+    rows = constant(
+        [{"phrase": p.phrase.lower(), "type": p.kind, "confidence": p.confidence} for p in phrases],
+        "array<struct<phrase:string,type:string,confidence:double>>",
+    )
     found = F.filter(rows, lambda p: F.contains(low, p["phrase"]))
     return F.transform(
         let(found, lambda f: _first_of("type", f)),
@@ -285,11 +286,36 @@ def classification(
 
 
 def place_names(text: Column, names: Sequence[str], stopwords: Sequence[str]) -> Column:
-    """Names of a short list that occur in the text, by position, each once."""
+    """Names of a short list that occur in the text as whole words, by position,
+    each once. Longer names are looked for where their first word occurs."""
     stop = {w.lower() for w in stopwords}
-    wanted = sorted({n for n in names if n.lower() not in stop})
-    if not wanted:
-        return F.array().cast("array<string>")
-    words = max(n.count(" ") + 1 for n in wanted)
-    grams = F.transform(name_grams(text, words), lambda g: g["name"])
-    return F.array_intersect(grams, string_array(wanted))
+    by_length: dict[int, list[str]] = {}
+    for name in sorted({n for n in names if n.lower() not in stop}):
+        by_length.setdefault(name.count(" ") + 1, []).append(name)
+    found = "array<struct<pos:bigint,words:int,name:string>>"
+
+    def of_length(tokens: Column, n: int) -> Column:
+        listed = by_length[n]
+        hits = let(
+            runs_of(tokens, n),
+            lambda r: F.transform(
+                F.array_intersect(r, strings(listed)),
+                lambda h: F.struct(
+                    F.array_position(r, h).alias("pos"),
+                    F.lit(n).alias("words"),
+                    h.alias("name"),
+                ),
+            ),
+        )
+        if n == 1:
+            return hits
+        first_words = strings({name.split(" ")[0] for name in listed})
+        return F.when(F.arrays_overlap(tokens, first_words), hits).otherwise(constant([], found))
+
+    def search(tokens: Column) -> Column:
+        hits = F.concat(*[of_length(tokens, n) for n in by_length])
+        return F.transform(F.array_sort(hits), lambda h: h["name"])
+
+    if not by_length:
+        return strings()
+    return F.coalesce(let(name_tokens(text), search), strings())

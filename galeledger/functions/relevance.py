@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from galeledger import schemas
-from galeledger.functions.columns import let, python_round2, string_array
+from galeledger.functions.columns import constant, let, python_round2, strings
 from galeledger.functions.text import (
     fold_case_twins,
     raw_whole_words_pattern,
@@ -41,12 +41,8 @@ def confidence_table(n_categories: int) -> list[list[float]]:
 
 def _irrelevant(outcome: tuple[float, str]) -> Column:
     confidence, reason = outcome
-    return F.struct(
-        F.lit(False).alias("relevant"),
-        F.lit(confidence).alias("confidence"),
-        F.array().cast(schemas.VERDICT["categories"].dataType).alias("categories"),
-        F.lit(reason).alias("reason"),
-    )
+    verdict = {"relevant": False, "confidence": confidence, "categories": [], "reason": reason}
+    return constant(verdict, schemas.VERDICT.simpleString())
 
 
 def _is_empty(text: Column) -> Column:
@@ -56,7 +52,7 @@ def _is_empty(text: Column) -> Column:
 def _vetoed(text: Column, folded: Column, vocab: Vocabulary) -> Column:
     if not vocab.negatives:
         return F.lit(False)
-    found = F.arrays_overlap(folded, string_array(w.lower() for w in vocab.negatives))
+    found = F.arrays_overlap(folded, strings(w.lower() for w in vocab.negatives))
     # Only the capital dotted I changes length when lower-cased.
     raw = text.rlike(raw_whole_words_pattern(vocab.negatives))
     return F.when(F.contains(text, F.lit("İ")), raw).otherwise(found)
@@ -71,11 +67,11 @@ def _matches_by_category(hits: Column, folded: Column, vocab: Vocabulary) -> Col
     def of_category(words: Column) -> Column:
         found = F.flatten(F.transform(words, of_word))
         return F.when(F.arrays_overlap(folded, words), found).otherwise(
-            F.array().cast("array<string>")
+            strings()
         )
 
     return F.array(*[
-        of_category(string_array(w.lower() for w in c.words)) for c in vocab.categories
+        of_category(strings(w.lower() for w in c.words)) for c in vocab.categories
     ])
 
 
@@ -91,9 +87,7 @@ def _shares(matches: Column, vocab: Vocabulary) -> Column:
 def _scored(matches: Column, shares: Column, vocab: Vocabulary) -> Column:
     kept = F.size(F.filter(shares, lambda s: s > SHARE_CUTOFF))
     hits = F.aggregate(matches, F.lit(0), lambda n, m: n + F.size(m))
-    table = F.array(*[
-        F.array(*[F.lit(v) for v in row]) for row in confidence_table(len(vocab.categories))
-    ])
+    table = constant(confidence_table(len(vocab.categories)), "array<array<double>>")
     categories = F.array(*[
         F.struct(
             F.lit(c.name).alias("name"),

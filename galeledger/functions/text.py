@@ -15,7 +15,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from galeledger.functions.columns import let
+from galeledger.functions.columns import let, strings
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
 # Java's White_Space lacks the four information separators.
@@ -178,9 +178,7 @@ def whole_word_hits(low: Column, words: Sequence[str]) -> Column:
     for i, group in enumerate(scan_groups(tuple(words))):
         hits = F.regexp_extract_all(low, F.lit(whole_words_pattern(group)), F.lit(0))
         if i > 0:  # the few words set aside are rare: look before scanning
-            hits = F.when(mentions_any(low, group), hits).otherwise(
-                F.array().cast("array<string>")
-            )
+            hits = F.when(mentions_any(low, group), hits).otherwise(strings())
         scans.append(hits)
     return scans[0] if len(scans) == 1 else F.concat(*scans)
 
@@ -199,24 +197,40 @@ def ascii_digits(value: Column) -> Column:
     return F.when(value.rlike(r"[^\x00-\x7f]"), other).otherwise(value)
 
 
+def name_tokens(text: Column) -> Column:
+    """Words of a text in order, hyphens inside words kept."""
+    return F.regexp_extract_all(text, F.lit(NAME_TOKEN), F.lit(0))
+
+
+def runs_of(tokens: Column, n: int) -> Column:
+    """All runs of ``n`` neighbouring tokens, joined by a space, in order."""
+    if n == 1:
+        return tokens
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
+        lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "),
+    )
+    return F.when(F.size(tokens) >= n, runs).otherwise(strings())
+
+
 def name_grams(text: Column, max_words: int) -> Column:
-    """Runs of 1..``max_words`` name tokens, by position and shorter runs first:
-    ``array<struct<name, pos, words>>``."""
+    """Runs of 1..``max_words`` tokens by position, shorter runs first."""
+
+    def at(tokens: Column, i: Column) -> Column:
+        lengths = F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(tokens) - i + 1))
+        return F.transform(lengths, lambda n: F.array_join(F.slice(tokens, i, n), " "))
 
     def runs(tokens: Column) -> Column:
-        def at(i: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(tokens) - i)),
-                lambda n: F.struct(
-                    F.array_join(F.slice(tokens, i + 1, n), " ").alias("name"),
-                    i.cast("int").alias("pos"),
-                    n.cast("int").alias("words"),
-                ),
-            )
-
-        starts = F.sequence(F.lit(0), F.size(tokens) - 1)
-        return F.when(F.size(tokens) > 0, F.flatten(F.transform(starts, at))).otherwise(
-            F.array().cast("array<struct<name:string,pos:int,words:int>>")
-        )
-
-    return let(F.regexp_extract_all(text, F.lit(NAME_TOKEN), F.lit(0)), runs)
+        starts = F.sequence(F.lit(1), F.size(tokens))
+        found = F.flatten(F.transform(starts, lambda i: at(tokens, i)))
+        return F.when(F.size(tokens) > 0, found).otherwise(strings())
+
+    return let(name_tokens(text), runs)
+
+
+def distinct_names(text: Column, max_words: int) -> Column:
+    """The different runs of 1..``max_words`` tokens, in no useful order."""
+    return let(
+        name_tokens(text),
+        lambda t: F.array_distinct(F.concat(*[runs_of(t, n) for n in range(1, max_words + 1)])),
+    )

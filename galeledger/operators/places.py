@@ -14,13 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeledger.functions.columns import let, once
+from galeledger.functions.columns import constant, let, once, strings
 from galeledger.functions.events import locations, place_names
-from galeledger.functions.text import name_grams
+from galeledger.functions.text import distinct_names, name_grams
 from galeledger.vocab import LOCATION_STOPWORDS, Place
 
 SMALL_STEMS = 500
-SMALL_NAMES = 200
+SMALL_NAMES = 1000
 SMALL_CHARS = 100
 MENTION = "array<struct<name:string,type:string,confidence:double>>"
 
@@ -29,6 +29,13 @@ def text_key(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _keyed(articles: DataFrame, text: str) -> DataFrame:
+    """``(text_key, text)``, hashed before a generator multiplies the rows."""
+    return articles.select(F.col(text).alias("text")).filter("text IS NOT NULL").select(
+        text_key(F.col("text")).alias("text_key"), "text"
+    )
+
+
 def bounded_rows(table: DataFrame, limit: int) -> list | None:
     """All rows if there are at most ``limit`` and all texts in them are short."""
     rows = table.limit(limit + 1).collect()
@@ -62,11 +69,8 @@ def stem_hits(articles: DataFrame, gazetteer: DataFrame, text: str = "text") ->
     shortest, longest = sizes
     if not shortest:
         raise ValueError("the gazetteer needs non-empty stems")
-    windows = articles.filter(F.col(text).isNotNull()).select(
-        text_key(F.col(text)).alias("text_key"),
-        F.explode(
-            let(F.lower(F.col(text)), lambda low: _windows(low, longest))
-        ).alias("window"),
+    windows = _keyed(articles, text).select(
+        "text_key", F.explode(let(F.lower("text"), lambda low: _windows(low, longest))).alias("window")
     )
     stems = gazetteer.select("ord", "name", "type", "confidence", F.lower("stem").alias("stem"))
     return (
@@ -122,7 +126,7 @@ def with_locations(
     keyed = articles.withColumn("text_key", text_key(F.col(text)))
     return (
         keyed.join(mentions, "text_key", "left")
-        .withColumn(name, F.coalesce(name, F.array().cast(MENTION)))
+        .withColumn(name, F.coalesce(name, constant([], MENTION)))
         .drop("text_key")
     )
 
@@ -137,23 +141,20 @@ def name_hits(
     text: str = "text",
     max_words: int = 3,
 ) -> DataFrame:
-    """``(text_key, pos, words, name)`` of every listed name found as whole words.
+    """``(text_key, found)``: the listed names found in a text as whole words.
 
-    Stopwords leave the name list, not the mentions. Names are distinct, so a
-    frequent word only makes the article side of the join hot, which adaptive
-    execution splits.
+    Stopwords leave the name list, not the mentions. Both sides of the join are
+    distinct per text and name, so a frequent word makes only the article side
+    hot, which adaptive execution splits; copies of a text merge map-side.
     """
     wanted = names.select("name").filter(
         ~F.lower("name").isin([w.lower() for w in stopwords])
     ).distinct()
-    grams = articles.filter(F.col(text).isNotNull()).select(
-        text_key(F.col(text)).alias("text_key"),
-        F.inline(name_grams(F.col(text), max_words)),
-    )
-    found = grams.join(wanted, "name").groupBy("text_key", "name")
-    return found.agg(F.min(F.struct("pos", "words")).alias("at")).select(
-        "text_key", "at.pos", "at.words", "name"
+    grams = _keyed(articles, text).select(
+        "text_key", F.explode(distinct_names(F.col("text"), max_words)).alias("name")
     )
+    found = grams.join(wanted, "name").groupBy("text_key")
+    return found.agg(F.collect_set("name").alias("found"))
 
 
 def with_other_names(
@@ -175,14 +176,10 @@ def with_other_names(
         short = [r["name"] for r in rows if r["name"] and r["name"].count(" ") < max_words]
         return articles.select("*", once(place_names(F.col(text), short, stopwords), name))
     found = name_hits(articles, names, stopwords, text, max_words)
-    per_text = found.groupBy("text_key").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "words", "name"))), lambda m: m["name"]
-        ).alias(name)
-    )
     keyed = articles.withColumn("text_key", text_key(F.col(text)))
+    by_position = F.array_intersect(name_grams(F.col(text), max_words), F.col("found"))
     return (
-        keyed.join(per_text, "text_key", "left")
-        .withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-        .drop("text_key")
+        keyed.join(found, "text_key", "left")
+        .withColumn(name, F.when(F.col("found").isNotNull(), by_position).otherwise(strings()))
+        .drop("text_key", "found")
     )
