@@ -8,11 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app_name: str = "galeledger", master: str | None = None, **conf) -> SparkSession:
+SHUFFLE_TARGET_BYTES = 128 * 1024 * 1024
+
+
+def build_session(
+    app_name: str = "galeledger",
+    master: str | None = None,
+    input_bytes: int | None = None,
+    **conf,
+) -> SparkSession:
     """Session with the settings the operators are designed for.
 
-    Adaptive execution splits hot join keys and coalesces small shuffle
-    partitions; ``conf`` entries (dots written as ``__``) override anything.
+    Adaptive execution splits hot join keys and merges small shuffle partitions,
+    so the number of partitions may be chosen high: ``input_bytes``, the size of
+    the largest table that is joined or sorted, sets it to one per 128 MB.
+    ``conf`` entries (dots written as ``__``) override anything.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -25,6 +35,8 @@ def build_session(app_name: str = "galeledger", master: str | None = None, **con
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if input_bytes:
+        settings["spark.sql.shuffle.partitions"] = max(200, input_bytes // SHUFFLE_TARGET_BYTES)
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -17,8 +17,9 @@ Path = str | Sequence[str]
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on input that splits into few tasks, such as one JSON array
-    or one row group. A large input has more tasks than cores and stays as it is."""
+    """Use all cores on files that split into few tasks, such as one JSON array or
+    one row group. What moves is less than one split per core; a large input has
+    more splits than cores and stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
