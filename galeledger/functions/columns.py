@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
+from functools import lru_cache, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,32 @@ def python_round2(value: Column) -> Column:
     return F.replace(F.format_number(value, 2), F.lit(","), F.lit("")).cast("double")
 
 
+def column_function(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Let ``build``, a function of a text column, also take a column name.
+
+    A large expression costs a second of driver round trips. Expressions do not
+    change, so one built for a name and hashable arguments is kept for the next
+    query of the same application.
+    """
+
+    @lru_cache(maxsize=64)
+    def built(application: str, name: str, args: tuple, options: tuple) -> Column:
+        return build(F.col(name), *args, **dict(options))
+
+    @wraps(build)
+    def call(text: Column | str, *args, **options) -> Column:
+        if not isinstance(text, str):
+            return build(text, *args, **options)
+        key = (args, tuple(options.items()))
+        try:
+            hash(key)
+        except TypeError:
+            return build(F.col(text), *args, **options)
+        return built(SparkContext.getOrCreate().applicationId, text, *key)
+
+    return call
+
+
 def constant(value, ddl: str) -> Column:
     """A nested literal of the given type.
 

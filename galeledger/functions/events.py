@@ -8,14 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from galeledger import schemas
-from galeledger.functions.columns import constant, let, strings
+from galeledger.functions.columns import column_function, constant, let, strings
 from galeledger.functions.text import (
     SPACE,
     ascii_digits,
-    mentions_any,
+    contains_any,
     name_tokens,
     quote,
     runs_of,
+    search_text,
 )
 from galeledger.vocab import (
     DAMAGE_PHRASES,
@@ -54,10 +55,16 @@ def _whole(number: Column) -> Column:
     return F.coalesce(number.try_cast("bigint"), F.lit(2**63 - 1))
 
 
-def _number_after(text: Column, low: Column, needed: Sequence[str], pattern: str) -> Column:
+def _needed(rules: SeverityRules) -> list[str]:
+    """Words without which no number pattern can match."""
+    stems = [s for _, unit in rules.durations for s in unit]
+    return [*rules.customer_nouns, *rules.currency_marks, *stems]
+
+
+def _number_after(text: Column, search: Column, needed: Sequence[str], pattern: str) -> Column:
     """First number of ``pattern``, '' if none; texts without any of the needed
     words skip the scan."""
-    return F.when(mentions_any(low, needed), F.regexp_extract(text, pattern, 1)).otherwise("")
+    return F.when(contains_any(search, needed), F.regexp_extract(text, pattern, 1)).otherwise("")
 
 
 def _count(number: Column) -> Column:
@@ -75,7 +82,7 @@ def _count(number: Column) -> Column:
     return let(F.regexp_replace(number, rf"(?U){SPACE}|,", ""), parse)
 
 
-def customers(text: Column, low: Column, rules: SeverityRules = SEVERITY) -> Column:
+def customers(text: Column, search: Column, rules: SeverityRules = SEVERITY) -> Column:
     """Affected customers as a double, null if the text names none."""
     nouns = "|".join(map(quote, rules.customer_nouns))
     leads = "|".join(map(quote, rules.customer_leads))
@@ -87,29 +94,31 @@ def customers(text: Column, low: Column, rules: SeverityRules = SEVERITY) -> Col
         led = F.when(number != "", F.regexp_extract(text, rf"(?iU)(?:{leads}){SPACE}*{tail}", 1))
         return F.coalesce(_count(number), _count(led))
 
-    return let(_number_after(text, low, rules.customer_nouns, _NUMBER_START + tail), parse)
+    return let(_number_after(text, search, rules.customer_nouns, _NUMBER_START + tail), parse)
 
 
-def amount(text: Column, low: Column, rules: SeverityRules = SEVERITY) -> Column:
+def amount(
+    text: Column, low: Column, search: Column, rules: SeverityRules = SEVERITY
+) -> Column:
     """Financial damage, null if the text names none. A multiplier word anywhere
     in the text scales the first amount."""
     words = "".join(rf"(?:{w})?{SPACE}*" for w in rules.amount_words)
     marks = "|".join(map(quote, rules.currency_marks))
     pattern = rf"{_NUMBER_START}(\d+(?:[.,]\d+)?){SPACE}*{words}(?:{marks})"
-    number = _number_after(text, low, rules.currency_marks, pattern)
+    number = _number_after(text, search, rules.currency_marks, pattern)
     value = ascii_digits(F.replace(number, F.lit(","), F.lit("."))).try_cast("double")
     scaled = F.lit(1.0)
     for word, factor in reversed(rules.multipliers):
-        scaled = F.when(F.contains(low, F.lit(word.lower())), F.lit(factor)).otherwise(scaled)
+        scaled = F.when(F.contains(low, F.lit(word.lower())), factor).otherwise(scaled)
     return let(value, lambda v: F.when(v.isNotNull(), v * scaled))
 
 
-def duration(text: Column, low: Column, rules: SeverityRules = SEVERITY) -> Column:
+def duration(text: Column, search: Column, rules: SeverityRules = SEVERITY) -> Column:
     """First duration of the first unit found: ``{value, unit, confidence}``."""
 
     def in_unit(unit: str, stems: Sequence[str]) -> Column:
         pattern = rf"{_NUMBER_START}(\d+){SPACE}*(?:{'|'.join(map(quote, stems))})"
-        number = _number_after(text, low, stems, pattern)
+        number = _number_after(text, search, stems, pattern)
         return let(
             number,
             lambda n: F.when(
@@ -166,14 +175,18 @@ def _grade(facts: Column, rules: SeverityRules) -> Column:
 
 
 def _severity(text: Column, low: Column, rules: SeverityRules) -> Column:
-    facts = F.struct(
-        customers(text, low, rules).alias("customers"),
-        amount(text, low, rules).alias("amount"),
-        duration(text, low, rules).alias("duration"),
-    )
-    return let(facts, lambda f: _grade(f, rules))
+    def facts(search: Column) -> Column:
+        return F.struct(
+            customers(text, search, rules).alias("customers"),
+            amount(text, low, search, rules).alias("amount"),
+            duration(text, search, rules).alias("duration"),
+        )
+
+    found = let(search_text(low, _needed(rules)), facts)
+    return let(found, lambda f: _grade(f, rules))
 
 
+@column_function
 def severity(text: Column, rules: SeverityRules = SEVERITY) -> Column:
     """Affected customers, duration, financial damage, scale and confidence."""
     return let(F.lower(text), lambda low: _severity(text, low, rules))
@@ -229,6 +242,7 @@ def _locations(low: Column, gazetteer: Sequence[Place], others: Column | None) -
     return let(known, lambda k: F.concat(k, _others(others, k)))
 
 
+@column_function
 def locations(
     text: Column, gazetteer: Sequence[Place] = GAZETTEER, others: Column | None = None
 ) -> Column:
@@ -255,6 +269,7 @@ def _damage_types(low: Column, phrases: Sequence[DamagePhrase]) -> Column:
     )
 
 
+@column_function
 def damage_types(text: Column, phrases: Sequence[DamagePhrase] = DAMAGE_PHRASES) -> Column:
     """Damage types in phrase order; the first phrase of a type sets its confidence."""
     return let(F.lower(text), lambda low: _damage_types(low, phrases))
@@ -263,6 +278,7 @@ def damage_types(text: Column, phrases: Sequence[DamagePhrase] = DAMAGE_PHRASES)
 PARTS = ("locations", "severity", "damage_types")
 
 
+@column_function
 def classification(
     text: Column,
     gazetteer: Sequence[Place] = GAZETTEER,

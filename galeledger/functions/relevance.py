@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from galeledger import schemas
-from galeledger.functions.columns import constant, let, python_round2, strings
+from galeledger.functions.columns import column_function, constant, let, python_round2, strings
 from galeledger.functions.text import (
     fold_case_twins,
     raw_whole_words_pattern,
@@ -66,47 +66,39 @@ def _matches_by_category(hits: Column, folded: Column, vocab: Vocabulary) -> Col
 
     def of_category(words: Column) -> Column:
         found = F.flatten(F.transform(words, of_word))
-        return F.when(F.arrays_overlap(folded, words), found).otherwise(
-            strings()
-        )
+        return F.when(F.arrays_overlap(folded, words), found).otherwise(strings())
 
-    return F.array(*[
-        of_category(strings(w.lower() for w in c.words)) for c in vocab.categories
-    ])
+    words = [[w.lower() for w in c.words] for c in vocab.categories]
+    return F.transform(constant(words, "array<array<string>>"), of_category)
 
 
 def _shares(matches: Column, vocab: Vocabulary) -> Column:
     """Score share per category; products and sums in category order as doubles."""
-    scores = [
-        F.size(matches[i]) * F.lit(float(c.weight)) for i, c in enumerate(vocab.categories)
-    ]
-    total = sum(scores[1:], scores[0])
-    return F.array(*[score / total for score in scores])
+    weights = constant([float(c.weight) for c in vocab.categories], "array<double>")
+    scores = F.zip_with(matches, weights, lambda m, w: F.size(m) * w)
+
+    def shares(scores: Column) -> Column:
+        total = F.aggregate(scores, F.lit(0.0), lambda t, s: t + s)
+        return let(total, lambda t: F.transform(scores, lambda s: s / t))
+
+    return let(scores, shares)
 
 
 def _scored(matches: Column, shares: Column, vocab: Vocabulary) -> Column:
     kept = F.size(F.filter(shares, lambda s: s > SHARE_CUTOFF))
     hits = F.aggregate(matches, F.lit(0), lambda n, m: n + F.size(m))
     table = constant(confidence_table(len(vocab.categories)), "array<array<double>>")
-    categories = F.array(*[
-        F.struct(
-            F.lit(c.name).alias("name"),
-            shares[i].alias("score"),
-            matches[i].alias("matches"),
-        )
-        for i, c in enumerate(vocab.categories)
-    ])
+    names = strings(c.name for c in vocab.categories)
+    categories = F.transform(
+        matches,
+        lambda m, i: F.struct(
+            names[i].alias("name"), python_round2(shares[i]).alias("score"), m.alias("matches")
+        ),
+    )
     return F.struct(
         F.lit(True).alias("relevant"),
         table[kept - 1][F.least(hits, F.lit(_HIT_CAP)) - 1].alias("confidence"),
-        F.transform(
-            F.filter(categories, lambda c: c["score"] > SHARE_CUTOFF),
-            lambda c: F.struct(
-                c["name"].alias("name"),
-                python_round2(c["score"]).alias("score"),
-                c["matches"].alias("matches"),
-            ),
-        ).alias("categories"),
+        F.filter(categories, lambda c, i: shares[i] > SHARE_CUTOFF).alias("categories"),
         F.when(kept > 1, F.lit(MANY_CATEGORIES)).otherwise(F.lit(ONE_CATEGORY)).alias("reason"),
     )
 
@@ -128,6 +120,7 @@ def _judge(text: Column, hits: Column, vocab: Vocabulary) -> Column:
     return let(F.transform(hits, lambda h: fold_case_twins(h, vocab.all_words)), with_folded)
 
 
+@column_function
 def verdict(text: Column, vocab: Vocabulary = WEATHER) -> Column:
     """Is the text about severe-weather effects, how surely, and why.
 
@@ -143,6 +136,7 @@ def verdict(text: Column, vocab: Vocabulary = WEATHER) -> Column:
     return F.when(_is_empty(text), _irrelevant(EMPTY)).otherwise(let(F.lower(text), judge))
 
 
+@column_function
 def is_relevant(text: Column, vocab: Vocabulary = WEATHER) -> Column:
     """Just the yes or no of :func:`verdict`."""
     return verdict(text, vocab)["relevant"]

@@ -9,8 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Sequence
-from functools import lru_cache, reduce
-from operator import or_
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -155,21 +154,26 @@ def fold_case_twins(value: Column, words: Iterable[str]) -> Column:
     return F.translate(value, "".join(p[0] for p in pairs), "".join(p[1] for p in pairs))
 
 
-def mentions_any(low: Column, stems: Sequence[str]) -> Column:
-    """Cheap test that is true wherever a case-insensitive search for one of
-    ``stems`` would succeed; ``low`` is the lower-cased text.
+def search_text(low: Column, stems: Sequence[str]) -> Column:
+    """Lower-cased text in which plain containment of a stem is true wherever a
+    case-insensitive search would succeed.
 
     A capital dotted I lower-cases to two characters, so the combining dot is
     dropped together with folding the case twins - on the rare texts having any.
     """
-    stems = [s.lower() for s in stems]
     pairs = _twin_pairs(stems)
     rare = [p[0] for p in pairs] + ["\u0307"]
     folded = F.translate(low, "".join(rare), "".join(p[1] for p in pairs))
-    return let(
-        F.when(reduce(or_, [F.contains(low, F.lit(c)) for c in rare]), folded).otherwise(low),
-        lambda text: reduce(or_, [F.contains(text, F.lit(s)) for s in stems]),
-    )
+    return F.when(contains_any(low, rare), folded).otherwise(low)
+
+
+def contains_any(text: Column, stems: Iterable[str]) -> Column:
+    return F.exists(strings(s.lower() for s in stems), lambda s: F.contains(text, s))
+
+
+def mentions_any(low: Column, stems: Sequence[str]) -> Column:
+    """Cheap test before a case-insensitive search for one of ``stems``."""
+    return let(search_text(low, stems), lambda text: contains_any(text, stems))
 
 
 def whole_word_hits(low: Column, words: Sequence[str]) -> Column:

@@ -25,7 +25,7 @@ from galeledger.vocab import (
 
 def _classification(gazetteer, rules, phrases, others: str | None, parts) -> Column:
     others = F.col(others) if others else None
-    value = classification(F.col("text"), gazetteer, rules, phrases, others, parts)
+    value = classification("text", gazetteer, rules, phrases, others, tuple(parts))
     return once(value, "classification")
 
 

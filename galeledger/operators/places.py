@@ -121,7 +121,7 @@ def with_locations(
             Place(r["name"], r["type"], r["confidence"], (r["stem"],))
             for r in sorted(rows, key=lambda r: r["ord"])
         ]
-        return articles.select("*", once(locations(F.col(text), places), name))
+        return articles.select("*", once(locations(text, tuple(places)), name))
     mentions = _mentions(stem_hits(articles, gazetteer, text)).withColumnRenamed("mentions", name)
     keyed = articles.withColumn("text_key", text_key(F.col(text)))
     return (

@@ -18,7 +18,7 @@ def with_verdict(
 ) -> DataFrame:
     """Add the verdict struct as a column; each text is scanned once however the
     verdict is filtered and used."""
-    return articles.select("*", once(verdict(F.col(text), vocab), name))
+    return articles.select("*", once(verdict(text, vocab), name))
 
 
 def passes(relevance: Column, min_confidence: float = DEFAULT_MIN_CONFIDENCE) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from galeledger.functions.relevance import verdict
 from galeledger.operators import prepare, reports
@@ -80,7 +79,7 @@ def analyze_thresholds(
     All reports read one stored table of verdicts, without the texts.
     """
     judged = materialise(
-        articles.select("date", "url", verdict(F.col("text"), vocab).alias("relevance")),
+        articles.select("date", "url", verdict("text", vocab).alias("relevance")),
         "verdicts",
     )
     buckets = materialise(reports.threshold_buckets(judged, thresholds), "buckets")

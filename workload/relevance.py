@@ -91,7 +91,7 @@ def relevant_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def is_relevant_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(
-        "doc_id", is_relevant(F.col("text"), PROSE).alias("relevant")
+        "doc_id", is_relevant("text", PROSE).alias("relevant")
     )
 
 
