@@ -47,6 +47,20 @@ def classify_articles(
     )
 
 
+def classify_gated(
+    gated: DataFrame,
+    gazetteer: Sequence[Place] = GAZETTEER,
+    rules: SeverityRules = SEVERITY,
+    phrases: Sequence[DamagePhrase] = DAMAGE_PHRASES,
+    others: str | None = None,
+    parts: Sequence[str] = PARTS,
+) -> DataFrame:
+    """Results of articles that passed the gate: verdict and classification."""
+    return gated.select(
+        "date", "url", "relevance", _classification(gazetteer, rules, phrases, others, parts)
+    )
+
+
 def gated_articles(
     articles: DataFrame,
     min_confidence: float = DEFAULT_MIN_CONFIDENCE,
@@ -62,6 +76,4 @@ def gated_articles(
     One narrow stage; the extraction runs on articles that passed the gate.
     """
     gated = relevance_gate(articles, min_confidence, vocab)
-    return gated.select(
-        "date", "url", "relevance", _classification(gazetteer, rules, phrases, others, parts)
-    )
+    return classify_gated(gated, gazetteer, rules, phrases, others, parts)

@@ -3,7 +3,7 @@
 No join here asks for a broadcast: the optimizer broadcasts a side whose size it
 knows to be small and otherwise shuffles, with adaptive execution splitting hot
 keys of the left side. Right sides of semi and anti joins are reduced to
-distinct keys first, so copies never pile up there.
+distinct keys first (see :func:`per_key`), so copies never pile up there.
 """
 
 from __future__ import annotations
@@ -11,7 +11,24 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import functions as F
+
+
+def per_key(rows: DataFrame, *keys: str) -> GroupedData:
+    """Group by keys to get one row per key as the right side of a join.
+
+    Adaptive execution splits a hot key only if both sides of the join come
+    straight from their own exchange. Grouped by the bare key, the right side
+    would keep the partitioning of the grouping and have none; the key is
+    therefore wrapped. Unwrap it with ``select("key.*", ...)``.
+    """
+    return rows.groupBy(F.struct(*keys).alias("key"))
+
+
+def distinct_keys(rows: DataFrame, *keys: str) -> DataFrame:
+    """The different keys, as the right side of a join."""
+    return per_key(rows, *keys).agg(F.lit(1)).select("key.*")
 
 
 def left_by_url(left: DataFrame, right: DataFrame, on: str = "url") -> DataFrame:
@@ -21,7 +38,7 @@ def left_by_url(left: DataFrame, right: DataFrame, on: str = "url") -> DataFrame
 
 def semi_by_url(left: DataFrame, right: DataFrame, on: str = "url") -> DataFrame:
     """Left rows whose key occurs on the right."""
-    return left.join(right.select(on).distinct(), on, "left_semi")
+    return left.join(distinct_keys(right, on), on, "left_semi")
 
 
 def anti_natural(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -32,7 +49,8 @@ def anti_natural(left: DataFrame, right: DataFrame) -> DataFrame:
     shared = [c for c in left.columns if c in right.columns]
     if not shared:
         raise ValueError("the tables share no column")
-    keys = right.select(*[right[c].alias(f"__{c}") for c in shared]).distinct()
+    renamed = right.select(*[right[c].alias(f"__{c}") for c in shared])
+    keys = distinct_keys(renamed, *renamed.columns)
     same = reduce(and_, [left[c].eqNullSafe(keys[f"__{c}"]) for c in shared])
     return left.join(keys, same, "left_anti")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from galeledger.functions.columns import constant, let, once, strings
 from galeledger.functions.events import locations, place_names
 from galeledger.functions.text import distinct_names, name_grams
+from galeledger.operators.joins import distinct_keys, per_key
 from galeledger.vocab import LOCATION_STOPWORDS, Place
 
 SMALL_STEMS = 500
@@ -31,9 +32,8 @@ def text_key(text: Column) -> Column:
 
 def _keyed(articles: DataFrame, text: str) -> DataFrame:
     """``(text_key, text)``, hashed before a generator multiplies the rows."""
-    return articles.select(F.col(text).alias("text")).filter("text IS NOT NULL").select(
-        text_key(F.col("text")).alias("text_key"), "text"
-    )
+    texts = articles.select(F.col(text).alias("text")).filter("text IS NOT NULL")
+    return texts.select(once(text_key(F.col("text")), "text_key"), "text")
 
 
 def bounded_rows(table: DataFrame, limit: int) -> list | None:
@@ -90,14 +90,14 @@ def _mentions(hits: DataFrame) -> DataFrame:
     ordered = F.array_sort(
         F.collect_list(F.struct("m.ord", "name", "m.type", "m.confidence"))
     )
-    return first.groupBy("text_key").agg(
-        F.transform(
-            ordered,
-            lambda m: F.struct(
-                m["name"].alias("name"), m["type"].alias("type"), m["confidence"].alias("confidence")
-            ),
-        ).alias("mentions")
+    mentions = F.transform(
+        ordered,
+        lambda m: F.struct(
+            m["name"].alias("name"), m["type"].alias("type"), m["confidence"].alias("confidence")
+        ),
     )
+    grouped = per_key(first, "text_key").agg(mentions.alias("mentions"))
+    return grouped.select("key.*", "mentions")
 
 
 def with_locations(
@@ -123,7 +123,7 @@ def with_locations(
         ]
         return articles.select("*", once(locations(text, tuple(places)), name))
     mentions = _mentions(stem_hits(articles, gazetteer, text)).withColumnRenamed("mentions", name)
-    keyed = articles.withColumn("text_key", text_key(F.col(text)))
+    keyed = articles.select("*", once(text_key(F.col(text)), "text_key"))
     return (
         keyed.join(mentions, "text_key", "left")
         .withColumn(name, F.coalesce(name, constant([], MENTION)))
@@ -147,14 +147,13 @@ def name_hits(
     distinct per text and name, so a frequent word makes only the article side
     hot, which adaptive execution splits; copies of a text merge map-side.
     """
-    wanted = names.select("name").filter(
-        ~F.lower("name").isin([w.lower() for w in stopwords])
-    ).distinct()
+    allowed = names.filter(~F.lower("name").isin([w.lower() for w in stopwords]))
+    wanted = distinct_keys(allowed, "name")
     grams = _keyed(articles, text).select(
         "text_key", F.explode(distinct_names(F.col("text"), max_words)).alias("name")
     )
-    found = grams.join(wanted, "name").groupBy("text_key")
-    return found.agg(F.collect_set("name").alias("found"))
+    found = per_key(grams.join(wanted, "name"), "text_key")
+    return found.agg(F.collect_set("name").alias("found")).select("key.*", "found")
 
 
 def with_other_names(
@@ -176,7 +175,7 @@ def with_other_names(
         short = [r["name"] for r in rows if r["name"] and r["name"].count(" ") < max_words]
         return articles.select("*", once(place_names(F.col(text), short, stopwords), name))
     found = name_hits(articles, names, stopwords, text, max_words)
-    keyed = articles.withColumn("text_key", text_key(F.col(text)))
+    keyed = articles.select("*", once(text_key(F.col(text)), "text_key"))
     by_position = F.array_intersect(name_grams(F.col(text), max_words), F.col("found"))
     return (
         keyed.join(found, "text_key", "left")

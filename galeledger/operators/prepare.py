@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from galeledger.functions.columns import let, once
 from galeledger.functions.text import mentions_any, quote
+from galeledger.operators.joins import per_key
 from galeledger.vocab import HEADING_PREFIX, PREFILTER_STEMS
 
 
@@ -36,9 +37,10 @@ def attach_transcripts(contents: DataFrame, transcripts: DataFrame) -> DataFrame
     """Give each archive record the transcript of its ``url``.
 
     A url transcribed more than once gives one transcript (the greatest), so the
-    result has exactly the rows of ``contents``; a hot url collapses map-side.
+    result has exactly the rows of ``contents``.
     """
-    one_each = transcripts.groupBy("url").agg(F.max("transcript").alias("transcript"))
+    one_each = per_key(transcripts, "url").agg(F.max("transcript").alias("transcript"))
+    one_each = one_each.select("key.*", "transcript")
     return contents.join(one_each, "url", "left")
 
 

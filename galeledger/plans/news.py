@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from galeledger.functions.relevance import verdict
 from galeledger.operators import prepare, reports
-from galeledger.operators.classify import classify_articles, gated_articles
+from galeledger.operators.classify import classify_articles, classify_gated
 from galeledger.operators.order import rows_at, sort_by_date
 from galeledger.operators.places import with_other_names
+from galeledger.operators.relevance import relevance_gate
 from galeledger.session import materialise
 from galeledger.sources.files import (
     read_archive_contents,
@@ -43,12 +44,14 @@ def process_news(
     judged once: the sort and the summary work on what was written.
     """
     articles = read_articles(spark, articles_path, fmt)
+    gated = relevance_gate(articles, min_confidence)
     others = None
-    judged = articles
     if place_names is not None:
+        # Only what passed the gate is matched with a name table, which may
+        # shuffle it.
         others = "other_names"
-        judged = with_other_names(articles, place_names, name=others)
-    results = sort_by_date(gated_articles(judged, min_confidence, others=others))
+        gated = with_other_names(materialise(gated, "gated"), place_names, name=others)
+    results = sort_by_date(classify_gated(gated, others=others))
     write_json(results, f"{output_path}/results")
     summary = reports.stored_summary(articles, read_results(spark, output_path), min_confidence)
     write_json(summary.coalesce(1), f"{output_path}/summary")

@@ -68,7 +68,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
     Several reports, or a range sort (which samples its input first), then read
     finished columns instead of scanning every text again, also after executors
-    are lost.
+    are lost. The table stays in the shared folder until the cluster clears it.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)

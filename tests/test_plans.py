@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from galeledger.functions.text import scan_groups
+from galeledger.operators import joins, prepare
+from galeledger.operators.places import with_other_names
 from galeledger.vocab import WEATHER
 from tests.test_queries import SF_DIR, pytestmark  # noqa: F401
 
@@ -81,3 +85,63 @@ def test_classifying_needs_no_shuffle_of_its_own(plan, name):
 def test_scans_read_only_what_is_used(plan, name, columns):
     (schema,) = re.findall(r"ReadSchema: struct<(.*?)>", plan(name))
     assert {c.split(":")[0] for c in schema.split(",")} == columns
+
+
+@pytest.fixture
+def final_plan(spark):
+    """Plan after running a query with no table known to be small and thresholds
+    low enough for the test data to count as skewed."""
+    settings = {
+        "spark.sql.shuffle.partitions": "64",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+
+    def run(df):
+        rows = df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString()
+        return rows, text[: text.index("Initial Plan")]
+
+    yield run
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.fixture
+def hot_rows(spark):
+    """Half of all rows are copies of one text with one url."""
+    hot = F.col("id") % 2 == 0
+    return spark.range(0, 40_000, 1, 8).select(
+        "id",
+        F.when(hot, "hot").otherwise(F.col("id").cast("string")).alias("url"),
+        F.when(hot, "Torm Antslas ja Antsla vald")
+        .otherwise(F.concat(F.lit("Rõuge "), F.col("id").cast("string")))
+        .alias("text"),
+    )
+
+
+def test_a_hot_text_is_split_when_it_is_joined(spark, final_plan, hot_rows):
+    names = spark.createDataFrame([("Antsla vald",), ("Rõuge",)], "name string")
+    found = with_other_names(hot_rows, names, small=0)
+    rows, plan = final_plan(found.select("id", F.array_join("other_names", ",").alias("n")))
+    assert Counter(r["n"] for r in rows) == {"Antsla vald": 20_000, "Rõuge": 20_000}
+    assert plan.count("skew=true") == 2
+
+
+@pytest.mark.parametrize("kind", ["semi", "anti", "transcripts"])
+def test_a_hot_url_is_split_when_it_is_joined(final_plan, hot_rows, kind):
+    other = hot_rows.filter("id % 4 < 2").select("url", F.col("text").alias("transcript"))
+    joined = {
+        "semi": lambda: joins.semi_by_url(hot_rows, other),
+        "anti": lambda: joins.anti_natural(hot_rows, other.select("url")),
+        "transcripts": lambda: prepare.attach_transcripts(hot_rows, other),
+    }[kind]()
+    rows, plan = final_plan(joined)
+    assert len(rows) == {"semi": 30_000, "anti": 10_000, "transcripts": 40_000}[kind]
+    assert plan.count("skew=true") == 1

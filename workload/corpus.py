@@ -207,8 +207,8 @@ QUERIES = {
 from workload.events import _GATED  # noqa: E402
 
 _CORPUS = f"""WITH c AS ({CONTENTS}),
-t AS (SELECT url, max(replace(html, '<', chr(10))) AS transcript FROM pages
-      WHERE page_id % 8 > 0 GROUP BY 1),
+t AS (SELECT url, max(replace(html, '<', chr(10))) AS transcript FROM ({SEGMENTS})
+      GROUP BY 1),
 j AS (SELECT c.*, t.transcript FROM c LEFT JOIN t USING (url)),
 corpus AS (
   SELECT date, url, concat_ws(chr(10),

@@ -88,6 +88,7 @@ FROM supplier
 """
 
 # Archive records and transcripts: a page per record, its transcript in pieces.
+# Every eighth transcript belongs to no record.
 CONTENTS = """
 SELECT CAST(DATE '2023-01-01' + CAST(page_id % 365 AS INT) AS STRING) AS date,
        CASE WHEN page_id % 3 > 0 THEN 'UUDISED. ' ELSE '' END || 'Leht UUDISED. '
@@ -98,8 +99,8 @@ FROM pages
 """
 
 SEGMENTS = """
-SELECT page_id, url, html
-FROM pages WHERE page_id % 8 > 0
+SELECT page_id, CASE WHEN page_id % 8 > 0 THEN url ELSE url || '-puudub' END AS url, html
+FROM pages
 """
 
 TABLES = (

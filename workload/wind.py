@@ -43,16 +43,18 @@ def station_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("o_orderkey", "jaam_nimi", "vaartus", "latitude", "longitude")
 
 
-def _page(spark: SparkSession, sf_dir: str, remainder: int) -> DataFrame:
+def _pages(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The first and second half of every year, and the first once more."""
     rows = _measurements(spark, sf_dir).select(*schemas.MEASUREMENT.fieldNames())
-    return rows.filter(F.col("kuu") % 2 == remainder)
+    first, second = rows.filter("kuu <= 6"), rows.filter("kuu > 6")
+    return [first, second, first]
 
 
 def page_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages landed as JSON files, the first one twice, read back as one table."""
     folder = scratch_path(spark, "pages")
-    for i, remainder in enumerate((0, 1, 0)):
-        write_json(_page(spark, sf_dir, remainder), f"{folder}/page={i}")
+    for i, page in enumerate(_pages(spark, sf_dir)):
+        write_json(page, f"{folder}/page={i}")
     rows = read_measurements(
         spark, [f"{folder}/page={i}" for i in range(3)], 1997, "DWSX", fmt="jsonl"
     )
@@ -62,7 +64,7 @@ def page_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = concat_pages([_page(spark, sf_dir, r) for r in (0, 1, 0)])
+    pages = concat_pages(_pages(spark, sf_dir))
     return pages.groupBy("aasta", "kuu").agg(F.count("*").alias("measurements"))
 
 
@@ -104,7 +106,7 @@ QUERIES = {
 
 _CTES = f"WITH m AS ({MEASUREMENTS}), st AS ({STATIONS})"
 _PAGES = f"""{_CTES}, pages AS (
-  SELECT * FROM m UNION ALL SELECT * FROM m WHERE kuu % 2 = 0)"""
+  SELECT * FROM m UNION ALL SELECT * FROM m WHERE kuu <= 6)"""
 
 ORACLE = {
     "station_degrees": """SELECT s_name AS station,
