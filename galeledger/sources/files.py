@@ -78,7 +78,6 @@ def read_stations(spark: SparkSession, path: Path) -> DataFrame:
         "file_path", F.posexplode(F.split("value", r"\R")).alias("pos", "raw")
     ).select("file_path", "pos", F.regexp_replace("raw", r"(?U)^\s+|\s+$", "").alias("line"))
     line = F.col("line")
-    name = F.lit(None).cast("string")
     labelled = line.contains(_LATITUDE) | line.contains(_LONGITUDE)
     name = F.when(~line.startswith(_CODE_PREFIX) & ~labelled, line)
     for code, station in _NAMED_CODES.items():

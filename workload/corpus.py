@@ -20,6 +20,7 @@ from galeledger.sources.files import (
     write_json,
 )
 from galeledger.vocab import SAMPLE_POSITIONS
+from workload.events import GATED_SQL
 from workload.inputs import ARTICLES, CONTENTS, SEGMENTS, articles, derive, documents, table
 
 PROSE_STEMS = ("thing", "ßsch", "éa", "queau")
@@ -204,8 +205,6 @@ QUERIES = {
 
 # --- SQL --------------------------------------------------------------------
 
-from workload.events import _GATED  # noqa: E402
-
 _CORPUS = f"""WITH c AS ({CONTENTS}),
 t AS (SELECT url, max(replace(html, '<', chr(10))) AS transcript FROM ({SEGMENTS})
       GROUP BY 1),
@@ -233,7 +232,7 @@ ORACLE = {
     "corpus_landed": f"{_CORPUS} SELECT date, url, md5(text) AS text FROM corpus",
     "articles_landed": f"""SELECT CAST(date AS VARCHAR) AS date, url, md5(text) AS text
         FROM ({ARTICLES})""",
-    "results_landed": f"""{_GATED} SELECT date, url, confidence, scale,
+    "results_landed": f"""{GATED_SQL} SELECT date, url, confidence, scale,
         CASE WHEN locations = '' THEN 0 ELSE len(string_split(locations, ',')) END AS locations
         FROM gated""",
     "keyword_prefilter": f"""SELECT doc_id, length(text) AS chars FROM ({ARTICLES})
