@@ -102,21 +102,25 @@ def hash_spans(
         size = lengths[begin:end]
         first = total[begin:end] - total[begin]
         n = int(total[end] - total[begin])
+        sums = np.zeros(end - begin, np.uint64)
         if n:
-            at = np.arange(n)
-            place = at - np.repeat(first, size)
-            at += np.repeat(starts[begin:end] - first, size)
-            piece = data[at]
+            low = starts[begin]
+            inside = np.zeros(stops[end - 1] - low + 1, np.int8)
+            full = size > 0
+            inside[starts[begin:end][full] - low] += 1
+            inside[stops[begin:end][full] - low] -= 1
+            piece = data[low : stops[end - 1]][np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
             if lower:
                 piece = _LOWER[piece]
+            place = np.ones(n, np.int32)
+            place[0] = 0
+            heads = first[full]
+            place[heads[1:]] = 1 - size[full][:-1]
+            np.cumsum(place, out=place)
             value = _TABLE[((place & 31) << 8) + piece]
             if int(size.max()) > 32:
-                value = value * (np.uint64(2) * (place >> 5).astype(np.uint64) * _ROOT + np.uint64(1))
-            full = size > 0
-            sums = np.zeros(end - begin, np.uint64)
-            sums[full] = np.add.reduceat(value, first[full])
-        else:
-            sums = np.zeros(end - begin, np.uint64)
+                value *= np.uint64(2) * (place >> 5).astype(np.uint64) * _ROOT + np.uint64(1)
+            sums[full] = np.add.reduceat(value, heads)
         out[begin:end] = mix(sums + size.astype(np.uint64) * _ROOT)
         begin = end
     return out

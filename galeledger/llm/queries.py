@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeledger.llm import substring_dedup
+from galeledger.llm import dart_minhash, minhash, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +20,25 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return dart_minhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op4_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of an edited copy of it."""
+    return minhash.against_edits(_documents(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts.count_tokens(_documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_dart_minhash": op3_dart_minhash,
+    "op4_minhash_fingerprints": op4_minhash_fingerprints,
+    "op5_token_counts": op5_token_counts,
+}
 ORACLE: dict[str, str] = {}
