@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeledger.llm import dart_minhash, minhash, substring_dedup, token_counts
+from galeledger.llm import (
+    dart_minhash,
+    decontaminate,
+    language_id,
+    minhash,
+    quality,
+    substring_dedup,
+    token_counts,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +43,30 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score_quality(_documents(spark, sf_dir), labels)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contaminated(_documents(spark, sf_dir), items)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    return language_id.predict_languages(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_dart_minhash": op3_dart_minhash,
     "op4_minhash_fingerprints": op4_minhash_fingerprints,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op9_decontamination": op9_decontamination,
+    "op10_language_id": op10_language_id,
 }
 ORACLE: dict[str, str] = {}
