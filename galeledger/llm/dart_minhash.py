@@ -33,6 +33,11 @@ def near_duplicates(
     return near.near_classes(docs, dart_bands, threshold, id_col=id_col, text_col=text_col)
 
 
+def deduplicate(docs: DataFrame, threshold: float = near.SIMILARITY) -> DataFrame:
+    """One row of each class, the one with the smallest id; see :func:`near.keep_one`."""
+    return near.keep_one(docs, dart_bands, threshold)
+
+
 def dart_bands(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Band hashes (texts x bands) of texts given by their shingles."""
     return band_hashes(dart_signatures(x, begins, BANDS * BAND_ROWS), BANDS)

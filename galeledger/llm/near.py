@@ -4,12 +4,13 @@ Copies (texts with the same shingles) are one node. Nodes that share a band are
 candidates; two nodes are linked if the exact Jaccard similarity of their shingle
 sets reaches the threshold, and a class is a connected component of links.
 
-No pairs of a whole group are made. In each round, a band's members are compared
-through one node per component against the largest component, so a group of
-copies costs one pair per member. After the rounds, every pair of nodes that share
-a band but are in different components is compared, so no link between
-components is lost; within a component it could not change anything. Labels,
-pairs and shingles are tables throughout.
+No pairs of a whole group are made. The members of a band are compared with its hub,
+those that fail once more with a hub of their own, so a group of copies costs one or
+two pairs per member. That joins most of what belongs together. Of the other pairs
+in a band only those of different components can matter, and of them only those
+that can be similar after what both have in common with the hub; these are found by
+what they share outside the hub and compared too. So no link between components is
+lost. Labels, pairs and shingles are tables throughout.
 """
 
 from __future__ import annotations
@@ -18,18 +19,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galeledger.llm import hashing
-from galeledger.llm.tables import documents, materialise
+from galeledger.llm.tables import ascending, documents, materialise
 
 #: Texts and number of shingles per word window to bands: one row of hashes per text.
 Bands = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
-ROUNDS = 2
 
 
 def near_classes(
@@ -49,6 +50,47 @@ def near_classes(
     words than a shingle have one shingle of all their words; texts without words are
     alike only if they are equal, null counting as empty. A null id is the greatest.
     """
+    named = _components(docs, bands, threshold, words, counted, id_col, text_col)
+    least = named.groupBy(F.struct("component").alias("key")).agg(F.min("doc_id").alias("class_id"))
+    return named.join(least.select("key.component", "class_id"), "component").select(
+        "doc_id", "class_id"
+    )
+
+
+def keep_one(
+    docs: DataFrame,
+    bands: Bands,
+    threshold: float = SIMILARITY,
+    words: int = SHINGLE_WORDS,
+    counted: bool = True,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their class, with all columns; of
+    rows that have it and the same shingles, one stays."""
+    named = _components(docs, bands, threshold, words, counted, id_col, text_col)
+    least = named.groupBy("component").agg(F.min(F.struct("doc_id", "tid")).alias("kept"))
+    kept = least.select("kept.doc_id", "kept.tid").toDF("__id", "__tid")
+    columns = docs.columns
+    schema = T.StructType(docs.schema.fields).add("__id", "long").add("__tid", "binary")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in hashing.slices(batches, text_col):
+            texts = part.column(text_col).fill_null("")
+            x, begins = hashing.shingles(texts, words)
+            tids = pa.array(_tids(texts, x, begins, counted), pa.binary())
+            yield part.append_column("__tid", tids)
+
+    keyed = docs.withColumn("__id", ascending(F.col(id_col))).mapInArrow(name, schema)
+    return (
+        keyed.join(kept, ["__id", "__tid"], "left_semi")
+        .dropDuplicates(["__id", "__tid"])
+        .select(*columns)
+    )
+
+
+def _components(docs, bands, threshold, words, counted, id_col, text_col) -> DataFrame:
+    """``(doc_id, tid, component)`` of every row."""
     plain = documents(docs, id_col=id_col, text_col=text_col)
     signed = materialise(
         plain.mapInArrow(
@@ -62,32 +104,25 @@ def near_classes(
     )
     entries = nodes.select("tid", "doc_id", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialise(entries.join(shared.select("bucket"), "bucket"), "buckets")
-    wanted = members.select("doc_id").distinct()
+    members = materialise(entries.join(shared, "bucket"), "buckets")
+    # Merged, not broadcast, at every size: the candidates grow with the input.
+    wanted = members.select("doc_id").distinct().hint("merge")
     grams = materialise(
         plain.join(wanted, "doc_id", "left_semi").mapInArrow(
             lambda it: _grams(it, words, counted), "tid binary, grams binary"
         ),
         "shingles",
     )
-    members = members.select("bucket", "tid")
-    labels = members.select("tid", F.col("tid").alias("component")).distinct()
-    tested = None
-    for turn in range(ROUNDS + 1):
-        placed = members.join(labels, "tid")
-        pairs = _through_one(placed, turn) if turn < ROUNDS else _across(placed)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = materialise(_linked(pairs, grams, threshold), "links")
-        labels = _merge(labels, links)
-    named = signed.join(labels, "tid", "left").withColumn(
-        "component", F.coalesce("component", "tid")
-    )
-    least = named.groupBy(F.struct("component").alias("key")).agg(F.min("doc_id").alias("class_id"))
-    return named.join(least.select("key.component", "class_id"), "component").select(
-        "doc_id", "class_id"
+    one = materialise(_compared(_with_hub(members), grams), "compared")
+    failed = members.join(_failed(one, threshold), "tid").select("bucket", "tid", "n", "hub")
+    again = failed.join(_hubs(members), ["bucket", "hub"], "left_semi")
+    two = materialise(_compared(_with_hub(again.select("bucket", "tid", "n")), grams), "compared")
+    links = _linked(one, threshold).unionByName(_linked(two, threshold))
+    labels = _merge(members.select("tid", F.col("tid").alias("component")).distinct(), links)
+    rest = materialise(_compared(_unlinked(one, labels, threshold), grams), "compared")
+    labels = _merge(labels, _linked(rest, threshold))
+    return signed.join(labels, "tid", "left").select(
+        "doc_id", "tid", F.coalesce("component", "tid").alias("component")
     )
 
 
@@ -154,74 +189,119 @@ def _grams(
         yield pa.record_batch([tids, grams], ["tid", "grams"])
 
 
-def _pair(left: str, right: str) -> list:
-    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
-
-
-def _through_one(placed: DataFrame, turn: int) -> DataFrame:
-    """One node of each component in a bucket against one of its largest component."""
-    parts = placed.groupBy("bucket", "component").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min_by("tid", F.xxhash64("tid", F.lit(turn))).alias("node"),
-    )
-    hubs = (
-        parts.groupBy(F.struct("bucket").alias("key"))
-        .agg(
-            F.count(F.lit(1)).alias("parts"),
-            F.max(F.struct("n", "component", "node")).alias("hub"),
-        )
-        .filter("parts > 1")
-        .select("key.bucket", "hub.component", "hub.node")
-        .toDF("bucket", "hub_component", "hub_node")
-    )
+def _hubs(members: DataFrame) -> DataFrame:
+    """The hub of each bucket: the member with the most company in its buckets, which
+    for a group of copies is one that was changed least."""
+    company = members.groupBy("tid").agg(F.sum("n").alias("company"))
     return (
-        parts.join(hubs, "bucket")
-        .filter("component != hub_component")
-        .select(*_pair("node", "hub_node"))
-        .distinct()
+        members.join(company, "tid")
+        .groupBy(F.struct("bucket").alias("key"))
+        .agg(F.max(F.struct("company", "tid")).alias("top"))
+        .select("key.bucket", F.col("top.tid").alias("hub"))
     )
 
 
-def _across(placed: DataFrame) -> DataFrame:
-    """All pairs of nodes that share a bucket but not a component."""
-    parts = placed.select("bucket", "component").distinct()
-    several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    left = parts.join(several.select("bucket"), "bucket")
-    right = left.withColumnRenamed("component", "other")
-    sides = left.join(right, "bucket").filter("component < other")
-    one = placed.select("bucket", "component", F.col("tid").alias("left"))
-    two = placed.select("bucket", F.col("component").alias("other"), F.col("tid").alias("right"))
+def _with_hub(members: DataFrame) -> DataFrame:
+    """Every member of a bucket with the bucket's hub."""
     return (
-        sides.join(one, ["bucket", "component"])
-        .join(two, ["bucket", "other"])
-        .select(*_pair("left", "right"))
+        members.select("bucket", "tid")
+        .join(_hubs(members), "bucket")
+        .filter("tid != hub")
+        .select(F.col("tid").alias("a"), F.col("hub").alias("b"))
         .distinct()
     )
 
 
-def _linked(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+def _compared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """``pairs`` with the sizes of both sets, of what they share, and what only ``a`` has."""
     one = grams.select(F.col("tid").alias("a"), F.col("grams").alias("one"))
     two = grams.select(F.col("tid").alias("b"), F.col("grams").alias("two"))
-    return (
-        pairs.join(one, "a")
-        .join(two, "b")
-        .mapInArrow(lambda it: _alike(it, threshold), "a binary, b binary, similarity double")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(
+        _compare, "a binary, b binary, size_a long, size_b long, same long, added array<int>"
     )
 
 
-def _alike(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        likeness = np.zeros(batch.num_rows)
+        sizes = np.zeros((3, batch.num_rows), np.int64)
+        added = []
         for row, (one, two) in enumerate(zip(batch.column("one"), batch.column("two"))):
             x = np.frombuffer(one.as_buffer(), np.uint32)
             y = np.frombuffer(two.as_buffer(), np.uint32)
-            both = np.sort(np.concatenate([x, y]))
-            same = int(np.count_nonzero(both[1:] == both[:-1]))
-            likeness[row] = same / max(1, len(both) - same)
-        keep = pa.array(likeness >= threshold)
+            at = np.searchsorted(y, x)
+            own = np.ones(len(x), bool)
+            inside = at < len(y)
+            own[inside] = y[at[inside]] != x[inside]
+            sizes[:, row] = len(x), len(y), len(x) - int(own.sum())
+            added.append(x[own].view(np.int32))
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in added])]).astype(np.int32)
+        flat = np.concatenate(added) if added else np.zeros(0, np.int32)
         yield pa.record_batch(
-            [batch.column("a"), batch.column("b"), pa.array(likeness)], ["a", "b", "similarity"]
-        ).filter(keep)
+            [batch.column("a"), batch.column("b"), *map(pa.array, sizes),
+             pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))],
+            ["a", "b", "size_a", "size_b", "same", "added"],
+        )
+
+
+def _similar(threshold: float) -> Column:
+    """Exact similarity of at least the threshold."""
+    either = F.col("size_a") + F.col("size_b") - F.col("same")
+    return F.col("same") / either >= threshold
+
+
+def _linked(compared: DataFrame, threshold: float) -> DataFrame:
+    return compared.filter(_similar(threshold)).select("a", "b")
+
+
+def _failed(compared: DataFrame, threshold: float) -> DataFrame:
+    return compared.filter(~_similar(threshold)).select(F.col("a").alias("tid"), F.col("b").alias("hub"))
+
+
+def _unlinked(compared: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of different components around one hub that can be similar.
+
+    Let ``s`` fail with hub ``c``. What ``s`` and ``x`` share is what they share outside
+    ``c``, plus at most the lesser of what each shares with ``c``; to be similar it must
+    reach ``t / (1 + t)`` of the sum of their sizes. So either they share enough outside
+    ``c``, which a join on these elements counts, or ``x`` is so much shorter than ``c``
+    that what ``s`` shares with ``c`` is enough; where no ``x`` of the hub is as short as
+    that, nothing is joined.
+    """
+    need = threshold / (1 + threshold)
+    around = compared.join(labels.toDF("a", "component"), "a").select(
+        "b", "a", "component", F.col("size_a").alias("size"), "same",
+        (~_similar(threshold)).alias("failed"), "added",
+    )
+    other = around.select(
+        "b", F.col("a").alias("x"), F.col("component").alias("x_component"),
+        F.col("size").alias("x_size"), F.col("same").alias("x_same"),
+    )
+    single = around.filter("failed").drop("added")
+    apart = F.col("component") != F.col("x_component")
+    outside = around.select("b", "a", "component", "failed", F.explode("added").alias("element"))
+    left = outside.filter("failed").select("b", "element", F.col("a").alias("s"), "component")
+    right = outside.select("b", "element", F.col("a").alias("x"), F.col("component").alias("x_component"))
+    counts = (
+        left.join(right, ["b", "element"]).filter(apart).groupBy("b", "s", "x").agg(F.count(F.lit(1)).alias("outside"))
+    )
+    lesser = F.least("same", "x_same")
+    through = (
+        counts.join(single.select("b", F.col("a").alias("s"), "size", "same"), ["b", "s"])
+        .join(other.select("b", "x", "x_size", "x_same"), ["b", "x"])
+        .filter(F.col("outside") + lesser >= need * (F.col("size") + F.col("x_size")) - 1e-6)
+        .select("s", "x")
+    )
+    reach = F.col("same") / need - F.col("size") + 1e-6
+    shortest = other.groupBy("b").agg(F.min("x_size").alias("shortest"))
+    short = (
+        single.join(shortest, "b")
+        .filter(reach >= F.col("shortest"))
+        .join(other, "b")
+        .filter(apart & (F.col("x_size") <= reach) & (F.col("x_size") >= threshold * F.col("size") - 1e-6))
+        .select(F.col("a").alias("s"), "x")
+    )
+    both = through.unionByName(short)
+    return both.select(F.least("s", "x").alias("a"), F.greatest("s", "x").alias("b")).distinct()
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:

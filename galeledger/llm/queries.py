@@ -9,11 +9,15 @@ from galeledger.llm import (
     dart_minhash,
     decontaminate,
     language_id,
+    licenses,
     minhash,
+    mixing,
     quality,
     substring_dedup,
     token_counts,
+    token_files,
 )
+from galeledger.session import scratch_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents chosen for the weighted tree of domains, languages and sources."""
+    levels = mixing.default_levels()
+    chosen = mixing.mix(_documents(spark, sf_dir), levels, mixing.DEFAULT_WEIGHTS)
+    return chosen.select(
+        "doc_id",
+        levels[0][1].alias("domain"),
+        F.coalesce("lang", F.lit("")).alias("lang"),
+        F.coalesce("source", F.lit("")).alias("source"),
+        mixing.count_words(F.col("text")).alias("n_tokens"),
+        F.col("mix_epoch").alias("epoch"),
+    )
+
+
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates of every document."""
     return dart_minhash.near_duplicates(_documents(spark, sf_dir))
@@ -49,6 +67,19 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_documents(spark, sf_dir), labels)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence every document is, and the notices in its lines."""
+    found = licenses.scan(_documents(spark, sf_dir), licenses.known_licenses(spark))
+    return found.withColumn("notices", F.array_join("notices", ","))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the ids of every document stand in the files, read back from them."""
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(_documents(spark, sf_dir), path)
+    return token_files.read_token_files(spark, path).drop("ids")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -62,11 +93,118 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_mixing": op2_mixing,
     "op3_dart_minhash": op3_dart_minhash,
     "op4_minhash_fingerprints": op4_minhash_fingerprints,
     "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_license_scan": op7_license_scan,
+    "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
-ORACLE: dict[str, str] = {}
+
+
+def _fill_sql(source: str, parent: str, name: str, out: str) -> str:
+    """Budgets of the children in ``source`` (lim, w, share), as named subqueries."""
+    part = f"PARTITION BY {parent} " if parent else ""
+    order = f"{part}ORDER BY lim / w, {name}"
+    keys = f"{parent}, {name}" if parent else name
+    return f"""
+{out}_a AS (
+  SELECT *, lim * sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= w * (share - coalesce(sum(lim) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS whole
+  FROM {source}),
+{out} AS (
+  SELECT {keys}, CASE WHEN whole THEN lim::DOUBLE ELSE
+    (share - coalesce(sum(CASE WHEN whole THEN lim END) OVER ({part}), 0)::DOUBLE) * w
+    / sum(CASE WHEN NOT whole THEN w END) OVER ({part}) END AS share
+  FROM {out}_a)"""
+
+
+_MIXING_SQL = f"""
+WITH t AS (
+  SELECT doc_id,
+    'domain' || (coalesce(try_cast(regexp_extract(source, '(\\d+)$', 1) AS BIGINT), 0) % 4)::VARCHAR AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+  FROM documents),
+leaf AS (
+  SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * 2)::DOUBLE AS lim
+  FROM t GROUP BY ALL),
+one AS (
+  SELECT domain, sum(lim) AS lim, CASE WHEN domain = 'domain0' THEN 2 ELSE 1 END AS w,
+    (SELECT sum(tokens) FROM leaf)::DOUBLE AS share
+  FROM leaf GROUP BY domain),
+{_fill_sql("one", "", "domain", "one_b")},
+two AS (
+  SELECT domain, lang, sum(lim) AS lim, CASE WHEN lang = 'en' THEN 3 ELSE 1 END AS w, any_value(share) AS share
+  FROM leaf JOIN one_b USING (domain) GROUP BY domain, lang),
+{_fill_sql("two", "domain", "lang", "two_b")},
+three AS (
+  SELECT domain, lang, source, lim, tokens, 1 AS w, share FROM leaf JOIN two_b USING (domain, lang)),
+{_fill_sql("three", "domain, lang", "source", "three_b")},
+plan AS (
+  SELECT domain, lang, source, whole_epochs, floor(share - whole_epochs * tokens) AS rest
+  FROM (SELECT *, CASE WHEN tokens > 0 THEN floor(share / tokens) ELSE 0 END::BIGINT AS whole_epochs
+        FROM leaf JOIN three_b USING (domain, lang, source))),
+placed AS (
+  SELECT t.*, whole_epochs, rest,
+    coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source
+      ORDER BY md5('mix:' || (whole_epochs + 1)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, ''))
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM t JOIN plan USING (domain, lang, source)),
+taken AS (
+  SELECT *, whole_epochs + CASE WHEN start < rest THEN 1 ELSE 0 END AS n FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens, unnest(range(1, n + 1))::INTEGER AS epoch FROM taken WHERE n > 0
+"""
+
+
+def _canonical_sql(text: str) -> str:
+    form = f"regexp_replace(lower(coalesce({text}, '')), '{licenses._COPYRIGHT}', ' ', 'g')"
+    form = rf"' ' || trim(regexp_replace({form}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+    for other, usual in licenses.SPELLINGS.items():
+        form = f"replace({form}, ' {other} ', ' {usual} ')"
+    return f"trim({form})"
+
+
+_KNOWN_SQL = ", ".join(
+    "('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.LICENSES.items()
+)
+_LICENSES_SQL = f"""
+WITH known AS (
+  SELECT sha256({_canonical_sql("body")}) AS known, min(license) AS license
+  FROM (VALUES {_KNOWN_SQL}) v(license, body) GROUP BY 1),
+lines AS (SELECT DISTINCT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+found AS (
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+  FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS known FROM lines) JOIN known USING (known) GROUP BY doc_id),
+whole AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents)
+SELECT doc_id, digest, license, coalesce(notices, '') AS notices
+FROM whole LEFT JOIN known ON digest = known.known LEFT JOIN found USING (doc_id)
+"""
+
+_SUBSTRINGS_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY md5(s)) AS owner FROM p) WHERE owner < doc_id),
+g AS (SELECT doc_id, list(i) AS starts FROM f GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS i FROM f),
+kept AS (
+  SELECT x.doc_id, count(gone.i) AS n_removed,
+    coalesce(string_agg(CASE WHEN gone.i IS NULL THEN x.word END, ' ' ORDER BY x.i), '') AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t) x
+  LEFT JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY x.doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": _SUBSTRINGS_SQL.replace("\\\\", "\\"),
+    "op2_mixing": _MIXING_SQL.replace("\\\\", "\\"),
+    "op7_license_scan": _LICENSES_SQL.replace("\\\\", "\\"),
+}
