@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galeledger.llm import hashing
-from galeledger.llm.tables import documents, materialise
+from galeledger.llm.tables import ascending, documents, materialise, packed
 
 CONTAINMENT = 0.8
 SHINGLE_WORDS = 5
@@ -105,12 +105,10 @@ def contaminated(
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    id_col = options.get("id_col", "doc_id")
-    bad = contaminated(docs, items, **options).select("doc_id").distinct()
-    name = "__held_id"
-    marked = bad.withColumnRenamed("doc_id", name)
-    own = F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1))
-    return docs.join(marked, own == marked[name], "left_anti")
+    bad = contaminated(docs, items, **options).select(F.col("doc_id").alias("bad_id")).distinct()
+    own = ascending(F.col(options.get("id_col", "doc_id"))).alias("own_id")
+    keyed = docs.select(packed(docs), own)
+    return keyed.join(bad, keyed["own_id"] == bad["bad_id"], "left_anti").select("row.*")
 
 
 def _class(n: int) -> int:

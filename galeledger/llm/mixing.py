@@ -24,7 +24,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeledger.llm.tables import materialise
+from galeledger.llm.tables import materialise, packed
 
 EPOCHS = 2
 SEED = "mix"
@@ -50,8 +50,8 @@ def mix(
     id_col: str = "doc_id",
     tokens: Column | None = None,
 ) -> DataFrame:
-    """Rows of ``docs`` with all their columns, and ``mix_epoch``, once per epoch from 1
-    in which they were chosen.
+    """Rows of ``docs`` with all their columns, and ``mix_epoch`` (in place of a column of
+    that name), once per epoch from 1 in which they were chosen.
 
     ``levels`` are names and expressions from the root down; null names are one child
     called ``''``. ``weights`` maps (level, child) to a whole number, 1 if not listed;
@@ -60,7 +60,6 @@ def mix(
     tokens come along if they stand before the cut. Equal rows go together. An empty
     table gives none; a null id hashes as empty text.
     """
-    columns = docs.columns
     names = [f"__{name}" for name, _ in levels]
     size = count_words(F.col("text")) if tokens is None else tokens
     light = materialise(
@@ -84,9 +83,10 @@ def mix(
     )
     digits = max(0, math.ceil(math.log((whole["rows"] or 1) / SLICE_ROWS, 16)))
     cuts = planned.join(_cuts(light, planned, names, digits, seed), names, "left")
-    plan = cuts.select(*names, "full", "cut")
+    # One row per leaf; written, its size is known to the join with the texts.
+    plan = materialise(cuts.select(*names, "full", "cut"), "plan")
     keyed = docs.select(
-        "*",
+        packed(docs),
         *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, (_, c) in zip(names, levels)],
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"),
     )
@@ -94,7 +94,8 @@ def mix(
     place = _place(seed, F.col("full"), F.col("__id"))
     taken = F.col("full") + F.when(place <= F.col("cut"), 1).otherwise(0)
     return joined.withColumn("__taken", taken).filter("__taken > 0").select(
-        *columns, F.explode(F.sequence(F.lit(1), F.col("__taken").cast("int"))).alias("mix_epoch")
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "mix_epoch"],
+        F.explode(F.sequence(F.lit(1), F.col("__taken").cast("int"))).alias("mix_epoch"),
     )
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from galeledger.llm import hashing
-from galeledger.llm.tables import ascending, documents, materialise
+from galeledger.llm.tables import ascending, documents, materialise, packed
 
 #: Texts and number of shingles per word window to bands: one row of hashes per text.
 Bands = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -71,21 +71,24 @@ def keep_one(
     named = _components(docs, bands, threshold, words, counted, id_col, text_col)
     least = named.groupBy("component").agg(F.min(F.struct("doc_id", "tid")).alias("kept"))
     kept = least.select("kept.doc_id", "kept.tid").toDF("__id", "__tid")
-    columns = docs.columns
-    schema = T.StructType(docs.schema.fields).add("__id", "long").add("__tid", "binary")
+    keyed = docs.select(
+        packed(docs),
+        ascending(F.col(id_col)).alias("__id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
+    schema = T.StructType([*keyed.schema.fields[:2], T.StructField("__tid", T.BinaryType())])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in hashing.slices(batches, text_col):
-            texts = part.column(text_col).fill_null("")
-            x, begins = hashing.shingles(texts, words)
-            tids = pa.array(_tids(texts, x, begins, counted), pa.binary())
-            yield part.append_column("__tid", tids)
+        for part in hashing.slices(batches):
+            texts = part.column("text")
+            tids = pa.array(_tids(texts, *hashing.shingles(texts, words), counted), pa.binary())
+            yield part.select(["row", "__id"]).append_column("__tid", tids)
 
-    keyed = docs.withColumn("__id", ascending(F.col(id_col))).mapInArrow(name, schema)
     return (
-        keyed.join(kept, ["__id", "__tid"], "left_semi")
+        keyed.mapInArrow(name, schema)
+        .join(kept, ["__id", "__tid"], "left_semi")
         .dropDuplicates(["__id", "__tid"])
-        .select(*columns)
+        .select("row.*")
     )
 
 

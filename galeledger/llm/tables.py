@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from galeledger.session import materialise
 
-__all__ = ["ascending", "chunk_count", "documents", "materialise", "row_bytes"]
+__all__ = ["ascending", "chunk_count", "documents", "materialise", "packed", "row_bytes"]
 
 #: A missing id counts as the greatest one.
 _LAST = (1 << 63) - 1
@@ -22,6 +22,11 @@ def documents(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str
     )
 
 
+def packed(docs: DataFrame) -> Column:
+    """The columns of ``docs`` in one struct ``row``, out of reach of other names."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+
+
 def ascending(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(_LAST))
 
