@@ -17,9 +17,12 @@ KNOWN_PIECES = 1 << 19
 
 
 class Pieces:
-    """Maps pieces to integer sequences through ``encode`` (bytes list to int lists)."""
+    """Maps pieces to integer sequences through ``encode``, which returns the integers
+    of all given pieces one after the other and how many each has."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], lower: bool = False):
+    def __init__(
+        self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], lower: bool = False
+    ):
         self.encode, self.lower = encode, lower
         self._forget()
 
@@ -46,9 +49,8 @@ class Pieces:
         unknown = at[~known]
         if len(unknown):
             raw = data.tobytes()
-            found = self.encode([raw[a:b] for a, b in zip(starts[unknown], stops[unknown])])
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(size.sum()))
+            spans = zip(starts[unknown].tolist(), stops[unknown].tolist())
+            flat, size = self.encode([raw[a:b] for a, b in spans])
             first = len(self.values) + np.cumsum(size) - size
             self.values = np.concatenate([self.values, flat])
             names_all = np.concatenate([self.names, distinct[~known]])

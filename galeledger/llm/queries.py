@@ -77,7 +77,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the ids of every document stand in the files, read back from them."""
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(_documents(spark, sf_dir), path)
-    return token_files.read_token_files(spark, path).drop("ids")
+    return token_files.read_token_files(spark, path, with_ids=False).drop("ids")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

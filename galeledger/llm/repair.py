@@ -92,8 +92,13 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
 
 
-def expand(sequence: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids of a sequence of symbols."""
+def expand(
+    sequence: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None
+) -> np.ndarray:
+    """The ids of a sequence of symbols. With the rules' expansion lengths, the rules are
+    expanded once and copied from there."""
+    if lengths is not None and len(lengths):
+        return _copied(sequence, rules, base, lengths)
     out = sequence.astype(np.uint32)
     while True:
         made = out >= base
@@ -109,6 +114,23 @@ def expand(sequence: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
         out = longer
 
 
+def _copied(sequence, rules, base, lengths) -> np.ndarray:
+    whole = expand(np.arange(base, base + len(rules)), rules, base)
+    first = np.cumsum(lengths) - lengths
+    made = np.flatnonzero(sequence >= base)
+    rule = sequence[made].astype(np.int64) - base
+    size = np.ones(len(sequence), np.int64)
+    size[made] = lengths[rule]
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    single = sequence < base
+    out[ends[single] - 1] = sequence[single]
+    own = lengths[rule]
+    within = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+    out[np.repeat(ends[made] - own, own) + within] = whole[np.repeat(first[rule], own) + within]
+    return out
+
+
 def decode(
     sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int, stop: int
 ) -> np.ndarray:

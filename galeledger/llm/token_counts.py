@@ -73,10 +73,11 @@ class _Counter:
         self.at_lines = self.at_lines and self.alone == self.breaks + 1
         self.pieces = Pieces(self._encode)
 
-    def _encode(self, texts: list[bytes]) -> list[list[int]]:
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = self.model.encode([t.decode() for t in texts], num_threads=1)
         # Nothing is left of a single space, which is a token.
-        return [[len(ids) if text else 1] for text, ids in zip(texts, found)]
+        counts = [len(ids) if text else 1 for text, ids in zip(texts, found)]
+        return np.array(counts, np.uint32), np.ones(len(counts), np.int64)
 
     def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = hashing.text_bytes(texts)

@@ -123,11 +123,12 @@ def _shard(table: pa.Table) -> pa.Table:
     return pa.table(columns | {k: pa.array([v.tobytes()], pa.binary()) for k, v in packed.items()})
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32, ids)`` of every document in the files.
 
     ``start`` counts the ids of all documents before it, ``ids_crc32`` is the unsigned
-    crc32 of its ids as little-endian unsigned 32-bit integers, ``ids`` these bytes.
+    crc32 of its ids as little-endian unsigned 32-bit integers, ``ids`` these bytes, or
+    null if they are not asked for.
     """
     shards = spark.read.schema(_SHARD).parquet(path)
     # One small row per shard.
@@ -136,20 +137,22 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         "first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
     )
     found = shards.drop("n_tokens").mapInArrow(
-        _decode, "shard int, doc_id long, within long, n_tokens long, ids_crc32 long, ids binary"
+        lambda it: _decode(it, with_ids),
+        "shard int, doc_id long, within long, n_tokens long, ids_crc32 long, ids binary",
     )
     return found.join(starts.select("shard", "first"), "shard").select(
         "doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "ids"
     )
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             one = {c: batch.column(c)[row] for c in batch.schema.names}
             read = lambda c, kind: np.frombuffer(one[c].as_buffer(), kind)  # noqa: B023, E731
             rules = read("rules", "<u4").reshape(-1, 2)
-            ids = repair.expand(_symbols(read), rules, one["base"].as_py()).astype("<u4")
+            lengths = read("lengths", "<u4").astype(np.int64)
+            ids = repair.expand(_symbols(read), rules, one["base"].as_py(), lengths).astype("<u4")
             size = read("doc_tokens", "<u4").astype(np.int64)
             bounds = np.concatenate([[0], np.cumsum(size)])
             raw = ids.tobytes()
@@ -163,7 +166,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(bounds[:-1]),
                     pa.array(size),
                     pa.array(np.array(checks, np.int64)),
-                    hashing.binary_array(ids, bounds),
+                    hashing.binary_array(ids, bounds) if with_ids else pa.nulls(n, pa.binary()),
                 ],
                 ["shard", "doc_id", "within", "n_tokens", "ids_crc32", "ids"],
             )

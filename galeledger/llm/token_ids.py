@@ -9,6 +9,7 @@ around the characters of special tokens and contractions.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)] = _LETTER
 _KIND[np.frombuffer(b".,!?;:*$&#%()", np.uint8)] = _POINT
 _KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _BLANK
+#: Words encoded in one call.
+_JOINED = 1000
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 class Encoder:
@@ -36,11 +40,48 @@ class Encoder:
         probe = self.model.encode("a.b a, (c)\tD", add_special_tokens=False).ids
         parts = [self.model.encode(x, add_special_tokens=False).ids for x in ("a", ".", "b", "a", ",", "(", "c", ")", "d")]
         self.split = probe == [i for ids in parts for i in ids]
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.folded, self.exact = Pieces(self._encode, lower=self.split), Pieces(self._encode)
 
-    def _encode(self, texts: list[bytes]) -> list[list[int]]:
-        found = self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [x.ids for x in found]
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces; words of plain letters are encoded many in one call."""
+        texts = [p.decode() for p in pieces]
+        plain = np.zeros(len(texts), bool)
+        if self.split:
+            plain[:] = [_PLAIN(t) is not None for t in texts]
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        number = int(plain.sum())
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        for low in range(0, number, _JOINED):
+            ids, size = self._joined([texts[r] for r in order[low : min(number, low + _JOINED)]])
+            parts.append(ids)
+            sizes.append(size)
+        ids, size = self._single([texts[r] for r in order[number:]])
+        flat = np.concatenate([*parts, ids])
+        size = np.concatenate([*sizes, size])
+        # Back into the order of the pieces.
+        first, place = np.cumsum(size) - size, np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        own = size[place]
+        begins = np.cumsum(own) - own
+        at = np.arange(len(flat)) + np.repeat(first[place] - begins, own)
+        return flat[at], own
+
+    def _single(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.model.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        made = [x.ids for x in found]
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter((i for ids in made for i in ids), np.uint32, int(size.sum())), size
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words encoded together: each ends with its only end-of-word token."""
+        ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._single(words)
+        return ids, np.diff(cuts, prepend=0)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and their number per text."""

@@ -83,6 +83,7 @@ def test_grammar_round_trip(n, kinds):
     ids = rng.integers(0, kinds, n)
     sequence, rules, lengths = repair.compress(ids, 1000)
     assert (repair.expand(sequence, rules, 1000) == ids).all()
+    assert (repair.expand(sequence, rules, 1000, lengths) == ids).all()
     assert len(rules) == len(lengths)
     for rule, length in zip(rules, lengths):
         assert len(repair.expand(rule, rules, 1000)) == length
