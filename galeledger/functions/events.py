@@ -19,6 +19,8 @@ from galeledger.functions.text import (
     search_text,
 )
 from galeledger.vocab import (
+    AMOUNT_SHAPE,
+    COUNT_SHAPE,
     DAMAGE_PHRASES,
     GAZETTEER,
     SEVERITY,
@@ -36,7 +38,7 @@ LONG_DURATION_CONFIDENCE = 0.7
 OTHER_PLACE_CONFIDENCE = 0.7
 
 _NUMBER_START = r"(?iU)(?<!\d)"
-_COUNT = rf"(\d+(?:,\d+)?(?:{SPACE}*000)?)"
+_COUNT = f"({COUNT_SHAPE.replace('{space}', SPACE)})"
 
 
 def _first_of(key: str, rows: Column) -> Column:
@@ -51,8 +53,8 @@ def _first_of(key: str, rows: Column) -> Column:
 
 
 def _whole(number: Column) -> Column:
-    """A number as BIGINT, the largest one if it does not fit."""
-    return F.coalesce(number.try_cast("bigint"), F.lit(2**63 - 1))
+    """A number as a whole decimal, null beyond 38 digits."""
+    return number.try_cast(schemas.WHOLE)
 
 
 def _needed(rules: SeverityRules) -> list[str]:
@@ -104,7 +106,7 @@ def amount(
     in the text scales the first amount."""
     words = "".join(rf"(?:{w})?{SPACE}*" for w in rules.amount_words)
     marks = "|".join(map(quote, rules.currency_marks))
-    pattern = rf"{_NUMBER_START}(\d+(?:[.,]\d+)?){SPACE}*{words}(?:{marks})"
+    pattern = rf"{_NUMBER_START}({AMOUNT_SHAPE}){SPACE}*{words}(?:{marks})"
     number = _number_after(text, search, rules.currency_marks, pattern)
     value = ascii_digits(F.replace(number, F.lit(","), F.lit("."))).try_cast("double")
     scaled = F.lit(1.0)
@@ -301,36 +303,51 @@ def classification(
     return let(F.lower(text), extract)
 
 
-def place_names(text: Column, names: Sequence[str], stopwords: Sequence[str]) -> Column:
+def place_names(text: Column, listed: Sequence[tuple[str, str]]) -> Column:
     """Names of a short list that occur in the text as whole words, by position,
-    each once. Longer names are looked for where their first word occurs."""
-    stop = {w.lower() for w in stopwords}
-    by_length: dict[int, list[str]] = {}
-    for name in sorted({n for n in names if n.lower() not in stop}):
-        by_length.setdefault(name.count(" ") + 1, []).append(name)
-    found = "array<struct<pos:bigint,words:int,name:string>>"
+    each once.
 
-    def of_length(tokens: Column, n: int) -> Column:
-        listed = by_length[n]
-        hits = let(
-            runs_of(tokens, n),
-            lambda r: F.transform(
-                F.array_intersect(r, strings(listed)),
-                lambda h: F.struct(
-                    F.array_position(r, h).alias("pos"),
-                    F.lit(n).alias("words"),
-                    h.alias("name"),
-                ),
+    ``listed`` has, for each name, its tokens joined by a space and the name as it
+    is reported. Longer names are looked for where their first word occurs.
+    """
+    by_length: dict[int, list[str]] = {}
+    for key, _ in sorted(listed):
+        by_length.setdefault(key.count(" ") + 1, []).append(key)
+    names = constant(dict(listed), "map<string,string>")
+    found = "array<struct<pos:bigint,words:int,key:string>>"
+
+    def hits(places: Column, runs: Column, n: int) -> Column:
+        return F.transform(
+            F.array_intersect(runs, strings(by_length[n])),
+            lambda h: F.struct(
+                F.element_at(places, F.array_position(runs, h).cast("int")).cast("bigint").alias("pos"),
+                F.lit(n).alias("words"),
+                h.alias("key"),
             ),
         )
+
+    def of_length(tokens: Column, n: int) -> Column:
+        every = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+        enough = F.size(tokens) >= n
         if n == 1:
-            return hits
-        first_words = strings({name.split(" ")[0] for name in listed})
-        return F.when(F.arrays_overlap(tokens, first_words), hits).otherwise(constant([], found))
+            return F.when(enough, hits(every, tokens, 1)).otherwise(constant([], found))
+        first_words = strings({key.split(" ")[0] for key in by_length[n]})
+
+        def from_places(places: Column) -> Column:
+            runs = F.transform(places, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+            return let(runs, lambda r: hits(places, r, n))
+
+        def from_present(present: Column) -> Column:
+            starts = F.filter(every, lambda i: F.array_contains(present, F.element_at(tokens, i)))
+            return F.when(enough & (F.size(present) > 0), let(starts, from_places)).otherwise(
+                constant([], found)
+            )
+
+        return let(F.array_intersect(tokens, first_words), from_present)
 
     def search(tokens: Column) -> Column:
-        hits = F.concat(*[of_length(tokens, n) for n in by_length])
-        return F.transform(F.array_sort(hits), lambda h: h["name"])
+        all_hits = F.concat(*[of_length(tokens, n) for n in by_length])
+        return F.transform(F.array_sort(all_hits), lambda h: F.element_at(names, h["key"]))
 
     if not by_length:
         return strings()

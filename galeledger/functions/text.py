@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from galeledger.functions.columns import let, strings
+from galeledger.functions.columns import constant, let, strings
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
 # Java's White_Space lacks the four information separators.
@@ -217,12 +217,13 @@ def runs_of(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, runs).otherwise(strings())
 
 
-def name_grams(text: Column, max_words: int) -> Column:
-    """Runs of 1..``max_words`` tokens by position, shorter runs first."""
+def name_grams(text: Column, lengths: Sequence[int]) -> Column:
+    """Runs of tokens of the given lengths by position, shorter runs first."""
+    sizes = constant(sorted(lengths), "array<int>")
 
     def at(tokens: Column, i: Column) -> Column:
-        lengths = F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(tokens) - i + 1))
-        return F.transform(lengths, lambda n: F.array_join(F.slice(tokens, i, n), " "))
+        fitting = F.filter(sizes, lambda n: n <= F.size(tokens) - i + 1)
+        return F.transform(fitting, lambda n: F.array_join(F.slice(tokens, i, n), " "))
 
     def runs(tokens: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(tokens))
@@ -232,9 +233,9 @@ def name_grams(text: Column, max_words: int) -> Column:
     return let(name_tokens(text), runs)
 
 
-def distinct_names(text: Column, max_words: int) -> Column:
-    """The different runs of 1..``max_words`` tokens, in no useful order."""
+def distinct_names(text: Column, lengths: Sequence[int]) -> Column:
+    """The different runs of tokens of the given lengths, in no useful order."""
     return let(
         name_tokens(text),
-        lambda t: F.array_distinct(F.concat(*[runs_of(t, n) for n in range(1, max_words + 1)])),
+        lambda t: F.array_distinct(F.concat(*[runs_of(t, n) for n in sorted(lengths)])),
     )

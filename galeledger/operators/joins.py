@@ -32,8 +32,15 @@ def distinct_keys(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def left_by_url(left: DataFrame, right: DataFrame, on: str = "url") -> DataFrame:
-    """All left rows with the matching right columns."""
-    return left.join(right, on, "left")
+    """All left rows with the matching right columns.
+
+    Adaptive execution can split both sides of an inner join but only the left side of a
+    left join, so left rows without a match, which need only the distinct right keys,
+    are found apart. A key that is hot on either side is split.
+    """
+    matched = left.join(right, on)
+    alone = left.join(distinct_keys(right, on), on, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def semi_by_url(left: DataFrame, right: DataFrame, on: str = "url") -> DataFrame:

@@ -10,19 +10,28 @@ from pyspark.sql import functions as F
 from galeledger.session import materialise
 
 
-def sort_by_date(results: DataFrame) -> DataFrame:
+SORT_BYTES = 128 * 1024 * 1024
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a table that was just read."""
+    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
+    return files.agg(F.sum("file_size")).first()[0] or 0
+
+
+def sort_by_date(results: DataFrame, part_bytes: int = SORT_BYTES) -> DataFrame:
     """Results by date, missing dates first, then by url, then in input order.
 
     The range sort samples its input before shuffling it, so the input is
-    written out first and the texts are judged once. Input order as last key
-    also lets copies of one article spread over several sorted partitions.
+    written out first, the texts are judged once, and its size gives the number of
+    sorted parts. Input order as last key also lets copies of one article spread over
+    several sorted partitions.
     """
     keyed = results.withColumn("__row", F.monotonically_increasing_id())
-    return (
-        materialise(keyed, "unsorted")
-        .orderBy(F.col("date").asc_nulls_first(), "url", "__row")
-        .drop("__row")
-    )
+    written = materialise(keyed, "unsorted")
+    keys = [F.col("date").asc_nulls_first(), F.col("url"), F.col("__row")]
+    parts = file_bytes(written) // part_bytes + 1
+    return written.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("__row")
 
 
 def by_count(counts: DataFrame, name: str, limit: int | None = None) -> DataFrame:
@@ -34,11 +43,26 @@ def by_count(counts: DataFrame, name: str, limit: int | None = None) -> DataFram
 def rows_at(rows: DataFrame, positions: Sequence[int], *order: str) -> DataFrame:
     """Rows at 1-based positions of the given total order.
 
-    Only the rows up to the last position are ranked: a top-k on every
-    partition, then one short window.
+    Rows are range-partitioned by the order and numbered within their part; the number
+    of rows in the parts before, one number per part, gives the position.
     """
-    last = max(positions)
-    ranked = rows.orderBy(*order).limit(last).withColumn(
-        "__position", F.row_number().over(Window.orderBy(*order))
+    wanted = sorted(set(positions))
+    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ranged = rows.repartitionByRange(int(parts), *order).withColumn("__part", F.spark_partition_id())
+    ranged = materialise(ranged, "ranged")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select(
+        "__part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start")
+    )
+    listed = F.array(*map(F.lit, wanted))
+    # Only parts that hold a wanted position are sorted.
+    some = starts.filter(
+        F.exists(listed, lambda p: (p > F.col("__start")) & (p <= F.col("__start") + F.col("n")))
+    )
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return (
+        ranged.join(some.select("__part", "__start"), "__part")
+        .withColumn("__position", F.col("__start") + within)
+        .filter(F.col("__position").isin(wanted))
+        .select(*rows.columns)
     )
-    return ranked.filter(F.col("__position").isin(list(positions))).drop("__position")

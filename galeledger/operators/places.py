@@ -1,10 +1,10 @@
 """Matching articles against gazetteer tables of any size.
 
-A gazetteer that is proven small by counting it (never more than the bound plus
-one row is fetched) becomes a literal list, and matching is a narrow per-row
-expression. A larger one is joined on exact keys, so neither side is broadcast
-on faith and no article x place pairs are formed. Rows are identified by the
-hash of their text: copies of a text collapse before they are regrouped.
+A table is first brought to one form by one rule. A form that an aggregate has
+measured to be small becomes a literal list, and matching is a narrow per-row
+expression; a larger one is joined on exact keys, so neither side is broadcast on
+faith and no article x place pairs are formed. Both give the same rows. Texts are
+identified by their digest: copies of a text collapse before they are regrouped.
 """
 
 from __future__ import annotations
@@ -16,18 +16,19 @@ from pyspark.sql import functions as F
 
 from galeledger.functions.columns import constant, let, once, strings
 from galeledger.functions.events import locations, place_names
-from galeledger.functions.text import distinct_names, name_grams
-from galeledger.operators.joins import distinct_keys, per_key
+from galeledger.functions.text import distinct_names, name_grams, name_tokens
+from galeledger.operators.joins import per_key
 from galeledger.vocab import LOCATION_STOPWORDS, Place
 
-SMALL_STEMS = 500
-SMALL_NAMES = 1000
-SMALL_CHARS = 100
+#: A table of at most so many rows and characters becomes a literal list.
+SMALL_ROWS = 1000
+SMALL_CHARS = 50_000
 MENTION = "array<struct<name:string,type:string,confidence:double>>"
+_LAST = (1 << 63) - 1
 
 
 def text_key(text: Column) -> Column:
-    return F.sha2(text, 256)
+    return F.unhex(F.sha2(text, 256))
 
 
 def _keyed(articles: DataFrame, text: str) -> DataFrame:
@@ -36,47 +37,50 @@ def _keyed(articles: DataFrame, text: str) -> DataFrame:
     return texts.select(once(text_key(F.col("text")), "text_key"), "text")
 
 
-def bounded_rows(table: DataFrame, limit: int) -> list | None:
-    """All rows if there are at most ``limit`` and all texts in them are short."""
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit or any(
-        len(v) > SMALL_CHARS for r in rows for v in r if isinstance(v, str)
-    ):
+def small_rows(table: DataFrame, limit: int, chars_limit: int = SMALL_CHARS) -> list | None:
+    """All rows of a table measured to be small, else nothing."""
+    kinds = dict(table.dtypes)
+    chars = sum((F.coalesce(F.length(c), F.lit(0)) for c in table.columns if kinds[c] == "string"), F.lit(0))
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(chars).alias("chars")).first()
+    if size["n"] > limit or (size["chars"] or 0) > chars_limit:
         return None
-    return rows
+    return table.collect()
 
 
 # --- substring gazetteers -----------------------------------------------------
 
 
-def _windows(low: Column, size: int) -> Column:
-    """Distinct pieces of ``size`` characters starting anywhere in the text."""
-    return F.when(
-        F.length(low) > 0,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.substr(low, i, F.lit(size)))
-        ),
-    )
+def clean_stems(gazetteer: DataFrame) -> DataFrame:
+    """Rows that can match: a name and a stem that is not empty, in lower case. Rows
+    without an order come last."""
+    return gazetteer.select(
+        F.coalesce(F.col("ord").cast("long"), F.lit(_LAST)).alias("ord"),
+        "name", "type", "confidence", F.lower("stem").alias("stem"),
+    ).filter("name IS NOT NULL AND stem IS NOT NULL AND stem != ''")
+
+
+def _pieces(low: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` characters of a text."""
+    starts = F.sequence(F.lit(1), F.length(low) - (size - 1))
+    cut = F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(size))))
+    return F.when(F.length(low) >= size, cut).otherwise(strings())
 
 
-def stem_hits(articles: DataFrame, gazetteer: DataFrame, text: str = "text") -> DataFrame:
-    """``(text_key, ord, name, type, confidence)`` of every stem contained in a text.
+def stem_hits(articles: DataFrame, stems: DataFrame, text: str = "text") -> DataFrame:
+    """``(text_key, ord, name, type, confidence)`` of every clean stem in a text.
 
-    Containment becomes an equality: every window of a text is joined on its
-    first characters, as many as the shortest stem has, and then compared.
+    Containment becomes equality: a text's pieces of each length that a stem has are
+    joined to the stems. One number per different length comes to the driver.
     """
-    sizes = gazetteer.select(F.length("stem").alias("n")).agg(F.min("n"), F.max("n")).first()
-    shortest, longest = sizes
-    if not shortest:
-        raise ValueError("the gazetteer needs non-empty stems")
-    windows = _keyed(articles, text).select(
-        "text_key", F.explode(let(F.lower("text"), lambda low: _windows(low, longest))).alias("window")
+    lengths = sorted(r["n"] for r in stems.select(F.length("stem").alias("n")).distinct().collect())
+    pieces = let(
+        F.lower("text"),
+        lambda low: F.concat(strings(), *[_pieces(low, n) for n in lengths]),
     )
-    stems = gazetteer.select("ord", "name", "type", "confidence", F.lower("stem").alias("stem"))
     return (
-        windows.withColumn("head", F.left("window", F.lit(shortest)))
-        .join(stems.withColumn("head", F.left("stem", F.lit(shortest))), "head")
-        .filter(F.startswith("window", "stem"))
+        _keyed(articles, text)
+        .select("text_key", F.explode(pieces).alias("stem"))
+        .join(stems, "stem")
         .select("text_key", "ord", "name", "type", "confidence")
         .distinct()
     )
@@ -105,24 +109,25 @@ def with_locations(
     gazetteer: DataFrame,
     text: str = "text",
     name: str = "locations",
-    small: int = SMALL_STEMS,
+    small: int = SMALL_ROWS,
 ) -> DataFrame:
     """Add the places of a gazetteer table whose stem occurs in the text.
 
     ``gazetteer`` has ``(ord, name, type, confidence, stem)``; mentions come in
-    ``ord`` order. For a large gazetteer the articles themselves are shuffled
-    once, so drop columns that are not needed first.
+    ``ord`` order. Rows without a name or a stem match nothing. For a large gazetteer
+    the articles themselves are shuffled once, so drop columns that are not needed
+    first.
     """
-    rows = bounded_rows(
-        gazetteer.select("ord", "name", "type", "confidence", "stem"), small
-    )
+    stems = clean_stems(gazetteer)
+    rows = small_rows(stems, small)
     if rows is not None:
+        order = lambda r: [(v is not None, v) for v in (r["ord"], r["name"], r["type"], r["confidence"])]
         places = [
             Place(r["name"], r["type"], r["confidence"], (r["stem"],))
-            for r in sorted(rows, key=lambda r: r["ord"])
+            for r in sorted(rows, key=order)
         ]
         return articles.select("*", once(locations(text, tuple(places)), name))
-    mentions = _mentions(stem_hits(articles, gazetteer, text)).withColumnRenamed("mentions", name)
+    mentions = _mentions(stem_hits(articles, stems, text)).withColumnRenamed("mentions", name)
     keyed = articles.select("*", once(text_key(F.col(text)), "text_key"))
     return (
         keyed.join(mentions, "text_key", "left")
@@ -134,26 +139,32 @@ def with_locations(
 # --- whole names ----------------------------------------------------------------
 
 
+def clean_names(names: DataFrame, stopwords: Sequence[str] = LOCATION_STOPWORDS) -> DataFrame:
+    """``(key, words, name)`` of the names that can match: cut into words as texts
+    are, of any length, without stopwords. Names that differ only between their words
+    are one, reported as the first of them in order."""
+    allowed = names.filter(~F.lower("name").isin([w.lower() for w in stopwords]))
+    tokens = allowed.select("name", name_tokens(F.col("name")).alias("tokens")).filter("size(tokens) > 0")
+    return per_key(
+        tokens.select(F.array_join("tokens", " ").alias("key"), F.size("tokens").alias("words"), "name"),
+        "key", "words",
+    ).agg(F.min("name").alias("name")).select("key.*", "name")
+
+
 def name_hits(
-    articles: DataFrame,
-    names: DataFrame,
-    stopwords: Sequence[str] = LOCATION_STOPWORDS,
-    text: str = "text",
-    max_words: int = 3,
+    articles: DataFrame, listed: DataFrame, lengths: Sequence[int], text: str = "text"
 ) -> DataFrame:
-    """``(text_key, found)``: the listed names found in a text as whole words.
+    """``(text_key, found)``: keys and names of the listed names in a text.
 
-    Stopwords leave the name list, not the mentions. Both sides of the join are
-    distinct per text and name, so a frequent word makes only the article side
-    hot, which adaptive execution splits; copies of a text merge map-side.
+    Both sides of the join are distinct per text and name, so a frequent word makes
+    only the article side hot, which adaptive execution splits; copies of a text
+    merge map-side.
     """
-    allowed = names.filter(~F.lower("name").isin([w.lower() for w in stopwords]))
-    wanted = distinct_keys(allowed, "name")
     grams = _keyed(articles, text).select(
-        "text_key", F.explode(distinct_names(F.col("text"), max_words)).alias("name")
+        "text_key", F.explode(distinct_names(F.col("text"), lengths)).alias("key")
     )
-    found = per_key(grams.join(wanted, "name"), "text_key")
-    return found.agg(F.collect_set("name").alias("found")).select("key.*", "found")
+    found = per_key(grams.join(listed.select("key", "name"), "key"), "text_key")
+    return found.agg(F.collect_set(F.struct("key", "name")).alias("found")).select("key.*", "found")
 
 
 def with_other_names(
@@ -162,23 +173,30 @@ def with_other_names(
     stopwords: Sequence[str] = LOCATION_STOPWORDS,
     text: str = "text",
     name: str = "other_names",
-    max_words: int = 3,
-    small: int = SMALL_NAMES,
+    small: int = SMALL_ROWS,
+    small_chars: int = SMALL_CHARS,
 ) -> DataFrame:
     """Add the ``array<string>`` of listed names in the text, by position.
 
     The column is what :func:`galeledger.functions.events.locations` takes as
-    ``others``. ``names`` has a ``name`` column.
+    ``others``. ``names`` has a ``name`` column; names may have any number of words,
+    and what stands between the words does not matter. Names without a word and
+    stopwords match nothing.
     """
-    rows = bounded_rows(names.select("name").distinct(), small)
+    listed = clean_names(names, stopwords)
+    rows = small_rows(listed, small, small_chars)
     if rows is not None:
-        short = [r["name"] for r in rows if r["name"] and r["name"].count(" ") < max_words]
-        return articles.select("*", once(place_names(F.col(text), short, stopwords), name))
-    found = name_hits(articles, names, stopwords, text, max_words)
+        short = tuple((r["key"], r["name"]) for r in rows)
+        return articles.select("*", once(place_names(F.col(text), short), name))
+    lengths = [r["words"] for r in listed.select("words").distinct().collect()]
+    if not lengths:
+        return articles.select("*", once(strings(), name))
+    found = name_hits(articles, listed, lengths, text)
     keyed = articles.select("*", once(text_key(F.col(text)), "text_key"))
-    by_position = F.array_intersect(name_grams(F.col(text), max_words), F.col("found"))
+    by_position = F.array_intersect(name_grams(F.col(text), lengths), F.col("found.key"))
+    reported = F.transform(by_position, lambda k: F.element_at(F.map_from_entries("found"), k))
     return (
         keyed.join(found, "text_key", "left")
-        .withColumn(name, F.when(F.col("found").isNotNull(), by_position).otherwise(strings()))
+        .withColumn(name, F.when(F.col("found").isNotNull(), reported).otherwise(strings()))
         .drop("text_key", "found")
     )

@@ -33,21 +33,33 @@ def unite(*parts: Column, sep: str = "\n") -> Column:
     return F.concat_ws(sep, *parts)
 
 
-def attach_transcripts(contents: DataFrame, transcripts: DataFrame) -> DataFrame:
+def attach_transcripts(
+    contents: DataFrame, transcripts: DataFrame, latest: Sequence[str] | None = None
+) -> DataFrame:
     """Give each archive record the transcript of its ``url``.
 
-    A url transcribed more than once gives one transcript (the greatest), so the
-    result has exactly the rows of ``contents``.
+    Of several transcripts of a url the greatest by the columns ``latest`` counts
+    (default: ``landed``, if the table has it) among those that are not null, ties by
+    text; so the result has exactly the rows of ``contents``.
+
+    The choice is made on the keys alone. The texts are shuffled once, for the join on
+    url and chosen row, where a hot url on the archive side is split.
     """
-    one_each = per_key(transcripts, "url").agg(F.max("transcript").alias("transcript"))
-    one_each = one_each.select("key.*", "transcript")
-    return contents.join(one_each, "url", "left")
+    if latest is None:
+        latest = [c for c in ("landed",) if c in transcripts.columns]
+    rank = F.struct(*latest, F.xxhash64("transcript"), F.monotonically_increasing_id())
+    texts = transcripts.filter("transcript IS NOT NULL").select("url", "transcript", rank.alias("__rank"))
+    chosen = per_key(texts, "url").agg(F.max("__rank").alias("__rank")).select("key.*", "__rank")
+    records = contents.join(chosen, "url", "left")
+    return records.join(texts, ["url", "__rank"], "left").drop("__rank")
 
 
-def corpus(contents: DataFrame, transcripts: DataFrame) -> DataFrame:
+def corpus(
+    contents: DataFrame, transcripts: DataFrame, latest: Sequence[str] | None = None
+) -> DataFrame:
     """Articles ``(date, url, text)`` from archive records and transcripts."""
     joined = attach_transcripts(
-        contents.select("date", "heading", "lead", "url"), transcripts
+        contents.select("date", "heading", "lead", "url"), transcripts, latest
     )
     return joined.select(
         to_article_date(F.col("date")).alias("date"),

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from galeledger import schemas
 from galeledger.operators.wind import (
     enrich_with_stations,
     monthly_mean,
     station_summary,
     wind_statistics,
 )
+from galeledger.session import materialise
 from galeledger.sources.files import read_measurements, read_stations, write_csv, write_json
 from galeledger.vocab import WIND_ELEMENT, WIND_YEAR
 
@@ -23,20 +24,21 @@ def process_wind(
     year: int = WIND_YEAR,
     element: str = WIND_ELEMENT,
     fmt: str = "json",
+    schema: T.StructType | None = None,
 ) -> dict[str, DataFrame]:
     """Write the enriched measurements as JSON and CSV and return their reports.
 
-    The pages are parsed once into the JSON output; the CSV and the reports read
-    that.
+    Both outputs have all fields of the pages, or those of ``schema``, which spares the
+    pass that finds them. The pages are parsed into one Parquet table, from which the
+    outputs and the reports read the columns they need.
     """
     stations = read_stations(spark, stations_path)
-    pages = read_measurements(spark, pages_path, year, element, fmt)
+    pages = read_measurements(spark, pages_path, year, element, fmt, schema)
     coordinates = stations.select("station", "latitude", "longitude")
-    enriched = enrich_with_stations(pages, coordinates)
-    write_json(enriched, f"{output_path}/json")
-    landed = spark.read.schema(enriched.schema).json(f"{output_path}/json")
-    write_csv(landed, f"{output_path}/csv")
-    measurements = landed.select(*schemas.MEASUREMENT.fieldNames())
+    measurements = materialise(enrich_with_stations(pages, coordinates), "measurements")
+    write_json(measurements, f"{output_path}/json")
+    write_csv(measurements, f"{output_path}/csv")
+    measurements = measurements.drop("latitude", "longitude")
     return {
         "statistics": wind_statistics(measurements),
         "stations": station_summary(measurements, coordinates),

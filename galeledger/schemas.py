@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: Whole numbers as they are written in texts.
+WHOLE = T.DecimalType(38, 0)
+
 ARTICLE = T.StructType([
     T.StructField("date", T.DateType()),
     T.StructField("url", T.StringType()),
@@ -35,7 +38,7 @@ DAMAGE = T.StructType([
 ])
 
 DURATION = T.StructType([
-    T.StructField("value", T.LongType()),
+    T.StructField("value", WHOLE),
     T.StructField("unit", T.StringType()),
     T.StructField("confidence", T.DoubleType()),
 ])
@@ -47,7 +50,7 @@ FINANCIAL = T.StructType([
 ])
 
 SEVERITY = T.StructType([
-    T.StructField("affected_customers", T.LongType()),
+    T.StructField("affected_customers", WHOLE),
     T.StructField("duration", DURATION),
     T.StructField("financial_damage", FINANCIAL),
     T.StructField("scale", T.StringType()),

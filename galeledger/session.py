@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,13 +47,13 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables that every executor can reach.
 
-    That is ``spark.checkpoint.dir``. Only a local session without one, where
-    all tasks share this machine, falls back to a temporary folder.
+    That is ``spark.checkpoint.dir``. Only a session whose tasks all run in this
+    process, without that setting, falls back to a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="galeledger-")
     spark.conf.set("spark.checkpoint.dir", folder)

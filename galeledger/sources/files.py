@@ -16,20 +16,13 @@ from galeledger.vocab import WIND_ELEMENT, WIND_YEAR
 Path = str | Sequence[str]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on files that split into few tasks, such as one JSON array or
-    one row group. What moves is less than one split per core; a large input has
-    more splits than cores and stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_records(
-    spark: SparkSession, path: Path, schema: T.StructType, fmt: str = "json"
+    spark: SparkSession, path: Path, schema: T.StructType | None, fmt: str = "json"
 ) -> DataFrame:
     """Records with an explicit schema: ``json`` (one array or object per file),
-    ``jsonl`` (one object per line, splittable) or ``parquet``."""
-    reader = spark.read.schema(schema)
+    ``jsonl`` (one object per line, splittable) or ``parquet``. Without a schema all
+    fields that occur are read, at the price of one more pass over JSON."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "json":
         return reader.json(path, multiLine=True)
     if fmt == "jsonl":
@@ -41,7 +34,7 @@ def read_records(
 
 def read_articles(spark: SparkSession, path: Path, fmt: str = "json") -> DataFrame:
     """Articles ``(date, url, text)``."""
-    return spread(read_records(spark, path, schemas.ARTICLE, fmt))
+    return read_records(spark, path, schemas.ARTICLE, fmt)
 
 
 def read_measurements(
@@ -50,10 +43,21 @@ def read_measurements(
     year: int | None = WIND_YEAR,
     element: str | None = WIND_ELEMENT,
     fmt: str = "json",
-    schema: T.StructType = schemas.MEASUREMENT,
+    schema: T.StructType | None = schemas.MEASUREMENT,
 ) -> DataFrame:
-    """All landed pages of measurements, of one year and element."""
+    """All landed pages of measurements, of one year and element.
+
+    ``schema`` may name more fields than the jobs use; ``None`` keeps whatever fields
+    the pages have. The known fields have their types in any case.
+    """
     rows = read_records(spark, path, schema, fmt)
+    if schema is None:
+        known = {f.name: f.dataType for f in schemas.MEASUREMENT}
+        absent = [F.lit(None).cast(t).alias(n) for n, t in known.items() if n not in rows.columns]
+        rows = rows.select(
+            *[F.col(f"`{c}`").cast(known[c]).alias(c) if c in known else F.col(f"`{c}`") for c in rows.columns],
+            *absent,
+        )
     if year is not None:
         rows = rows.filter(F.col("aasta") == year)
     if element is not None:
@@ -110,47 +114,57 @@ def read_stations(spark: SparkSession, path: Path) -> DataFrame:
 def read_archive_contents(
     spark: SparkSession,
     path: Path,
-    content: T.StructType = schemas.CONTENT,
+    content: T.StructType | None = schemas.CONTENT,
     fmt: str = "json",
 ) -> DataFrame:
-    """One row per record listed in the landed archive responses."""
-    response = T.StructType().add(
+    """One row per record listed in the landed archive responses of all months, with
+    the fields of ``content`` or, for ``None``, all fields that occur."""
+    response = content and T.StructType().add(
         "seriesList", T.StructType().add("contents", T.ArrayType(content))
     )
     return read_records(spark, path, response, fmt).select(F.inline("seriesList.contents"))
 
 
 def read_transcripts(spark: SparkSession, path: Path, fmt: str = "jsonl") -> DataFrame:
-    """``(url, transcript)`` of landed ``{url, response}`` records.
+    """``(url, transcript, landed)`` of landed ``{url, response}`` records.
 
     The text is in the first element of the response; a failed request, landed
-    without one, gives a null transcript.
+    without one, gives a null transcript. ``landed`` orders files by time and path.
     """
     landed = T.StructType().add("url", T.StringType()).add(
         "response", T.ArrayType(schemas.TRANSCRIPT_PAGE)
     )
     pages = read_records(spark, path, landed, fmt)
     return pages.select(
-        "url", assemble_transcript(F.get("response", F.lit(0))["data"]).alias("transcript")
+        "url",
+        assemble_transcript(F.get("response", F.lit(0))["data"]).alias("transcript"),
+        F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("landed"),
     )
 
 
 def read_csv(
-    spark: SparkSession, path: Path, schema: T.StructType, multiline: bool = True
+    spark: SparkSession, path: Path, schema: T.StructType | None, multiline: bool = True
 ) -> DataFrame:
     """Headered CSV, empty fields missing; switch ``multiline`` off to split files
-    without line breaks inside fields."""
-    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=multiline)
+    without line breaks inside fields, which are else one task each. Without a schema
+    all fields are text."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.csv(path, header=True, escape='"', multiLine=multiline)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
-    """One JSON object per line."""
-    df.write.mode(mode).json(path)
+    """One JSON object per line, fields without a value as null."""
+    df.write.mode(mode).json(path, ignoreNullFields=False)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Headered CSV of flat columns."""
-    df.write.mode(mode).csv(
+    """Headered CSV; nested columns as JSON."""
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    flat = df.select(*[
+        F.to_json(df[f"`{f.name}`"]).alias(f.name) if isinstance(f.dataType, nested) else df[f"`{f.name}`"]
+        for f in df.schema
+    ])
+    flat.write.mode(mode).csv(
         path,
         header=True,
         escape='"',
@@ -160,8 +174,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Classified articles written by the news job."""
-    return spark.read.schema(schemas.CLASSIFIED).json(f"{path}/results")
+    """Classified articles written by the news job and by its stream."""
+    reader = spark.read.schema(schemas.CLASSIFIED).option("recursiveFileLookup", True)
+    return reader.json(f"{path}/results")
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:

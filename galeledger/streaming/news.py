@@ -34,12 +34,20 @@ def classify_new_files(
     checkpoint: str,
     min_confidence: float = DEFAULT_MIN_CONFIDENCE,
 ) -> StreamingQuery:
-    """Append the classified relevant articles of all new files to
-    ``output_path/results``, where the batch reports read them."""
+    """Add the classified relevant articles of all new files to the results of the batch
+    job, which reports read.
+
+    Every batch has a folder of its own below ``output_path/results``, so a batch that
+    is run again replaces itself, and the other results stay readable as they are.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{output_path}/results/streamed-{number:010d}")
+
     return (
         gated_articles(articles, min_confidence)
-        .writeStream.format("json")
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(f"{output_path}/results")
+        .start()
     )

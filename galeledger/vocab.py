@@ -160,6 +160,10 @@ SEVERITY = SeverityRules(
     durations=(("days", ("päev",)), ("hours", ("tund",)), ("minutes", ("minut",))),
 )
 
+# Numbers as they are written in texts; ``{space}`` is any white space.
+COUNT_SHAPE = r"\d+(?:,\d+)?(?:{space}*000)?"
+AMOUNT_SHAPE = r"\d+(?:[.,]\d+)?"
+
 PREFILTER_STEMS = ("torm", "elektrikatk", "üleuju", "rahe")
 HEADING_PREFIX = r"^UUDISED.\s+"
 SAMPLE_POSITIONS = (3, 37, 70, 75, 86)

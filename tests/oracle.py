@@ -61,7 +61,7 @@ if __name__ == "__main__":
     con = connect(folder)
     bad = 0
     for name, query in queries().items():
-        if names and name not in names:
+        if names and name not in names or name not in oracle_sql():
             continue
         start = time.time()
         try:

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from galeledger import schemas, session
+from galeledger.operators import order
 from galeledger.plans import news, wind
 from galeledger.sources import files
 from galeledger.streaming.news import classify_new_files, stream_articles
@@ -29,6 +30,51 @@ def corpus(tmp_path):
     return str(path)
 
 
+def in_part_order(out):
+    """``(date, url)`` of the results as they stand in the files, in name order."""
+    found = []
+    for part in sorted(pathlib.Path(out, "results").glob("part-*.json")):
+        found += [json.loads(line) for line in part.read_text(encoding="utf-8").splitlines()]
+    return [(r.get("date"), r["url"]) for r in found]
+
+
+def test_results_are_in_date_order_over_many_parts(spark, tmp_path, monkeypatch):
+    """Ties in date and url follow the input, also over several sorted parts."""
+    day = lambda i: f"2023-01-{i % 3 + 1:02d}"
+    rows = [{"date": day(i), "url": f"u{i % 2}", "text": f"Torm ja rahe {i}. {i} klienti"} for i in range(60)]
+    (tmp_path / "a.json").write_text(json.dumps(rows), encoding="utf-8")
+    monkeypatch.setattr(order.sort_by_date, "__defaults__", (1000,))
+    out = str(tmp_path / "out")
+    news.process_news(spark, str(tmp_path / "a.json"), out, 0.65)
+    lines = []
+    parts = sorted(pathlib.Path(out, "results").glob("part-*.json"))
+    for part in parts:
+        lines += [json.loads(line) for line in part.read_text(encoding="utf-8").splitlines()]
+    assert sum(p.stat().st_size > 0 for p in parts) > 2
+    number = lambda r: int(r["classification"]["severity"]["affected_customers"])
+    found = [(r["date"], r["url"], number(r)) for r in lines]
+    assert found == sorted((r["date"], r["url"], i) for i, r in enumerate(rows))
+
+
+def test_news_job_reads_its_corpus_once(spark, corpus, tmp_path):
+    """Counts and texts come from the judged table, so a vanished corpus changes nothing."""
+    plans = []
+    written = session.materialise
+
+    def keep(df, label):
+        plans.append(df.inputFiles())
+        return written(df, label)
+
+    import galeledger.plans.news as job
+
+    original, job.materialise = job.materialise, keep
+    try:
+        news.process_news(spark, corpus, str(tmp_path / "o"), 0.65)
+    finally:
+        job.materialise = original
+    assert sum(any("articles.json" in f for f in p) for p in plans) == 1
+
+
 def test_news_job_and_its_reports(spark, corpus, tmp_path):
     out = str(tmp_path / "out")
     places = spark.createDataFrame([("Ruusmäel",)], "name string")
@@ -36,8 +82,7 @@ def test_news_job_and_its_reports(spark, corpus, tmp_path):
     results = files.read_results(spark, out)
     assert results.schema == schemas.CLASSIFIED
     assert sorted(r["url"] for r in results.collect()) == ["x", "y", "z"]
-    in_order = spark.read.schema(schemas.CLASSIFIED).json(f"{out}/results/*.json")
-    assert in_order.count() == 3
+    assert in_part_order(out) == [(None, "z"), ("2023-08-06", "y"), ("2023-08-07", "x")]
     reports = news.analyze_results(spark, out)
     summary = reports["summary"].first()
     assert (summary["total_articles"], summary["relevant_articles"]) == (6, 3)
@@ -139,7 +184,7 @@ def test_wind_job(spark, tmp_path):
                 "vaartus": value, "id": 1, **more}
 
     pages = [
-        [row("Narva", 1, 4.0), row("Mujal", 2, 6.0)],
+        [row("Narva", 1, 4.0, paev=7), row("Mujal", 2, 6.0)],
         [row("Narva", 1, 8), row("Narva", 1, 99.0, aasta=2022), row("N", 1, 9.0, element_kood="T")],
     ]
     for i, page in enumerate(pages):
@@ -152,10 +197,12 @@ def test_wind_job(spark, tmp_path):
     assert [tuple(r) for r in reports["months"].collect()] == [(1, 6.0), (2, 6.0)]
     by_name = {r["jaam_nimi"]: r for r in reports["stations"].collect()}
     assert by_name["Narva"]["latitude"] == "N 59°23’22”" and by_name["Mujal"]["latitude"] is None
-    csv = files.read_csv(
-        spark, f"{out}/csv", T.StructType([*schemas.MEASUREMENT, *schemas.STATION[1:3]])
-    )
-    assert csv.filter("latitude IS NOT NULL").count() == 2 and csv.count() == 3
+    csv = files.read_csv(spark, f"{out}/csv", None)
+    assert csv.count() == 3
+    stored = files.read_csv(spark, f"{out}/csv", None)
+    assert stored.columns.index("latitude") > 0 and {"id", "paev"} <= set(stored.columns)
+    assert stored.filter("latitude IS NOT NULL AND id = '1'").count() == 2
+    assert {r["paev"] for r in spark.read.json(f"{out}/json").collect()} == {7, None}
 
 
 def test_csv_keeps_text_as_it_is(spark, tmp_path):
@@ -178,6 +225,38 @@ def test_streamed_files_are_classified_once(spark, tmp_path):
     assert sorted(r["url"] for r in files.read_results(spark, out).collect()) == list("rxyz")
 
 
+def test_batch_and_streamed_results_are_read_together(spark, corpus, tmp_path):
+    landing, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    news.process_news(spark, corpus, out, 0.65)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps({"url": "w", "text": "Torm, rahe, äike."}))
+    classify_new_files(stream_articles(spark, landing), out, state).awaitTermination(120)
+    assert sorted(r["url"] for r in files.read_results(spark, out).collect()) == list("wxyz")
+
+
+def test_archive_export_and_filter_check(spark, tmp_path):
+    def month(*records):
+        return {"seriesList": {"contents": list(records)}}
+
+    (tmp_path / "m").mkdir()
+    for i in range(2):
+        records = [{"url": f"u{i}{k}", "date": "2023-01-01", "heading": "H, x", "media": {"n": k}} for k in range(3)]
+        (tmp_path / "m" / f"{i}.json").write_text(json.dumps(month(*records)))
+    news.export_archive(spark, str(tmp_path / "m"), str(tmp_path / "out"))
+    csv = files.read_csv(spark, str(tmp_path / "out" / "csv"), None)
+    assert csv.count() == 6 and csv.first()["media"].startswith('{"n"')
+    assert spark.read.json(str(tmp_path / "out" / "json")).agg(F.sum("media.n")).first()[0] == 6
+    (tmp_path / "filtered.csv").write_text("url,heading\nu00,\"H, x\"\nu01,other\nzz,\n")
+    found = news.check_filter(spark, str(tmp_path / "out" / "csv"), str(tmp_path / "filtered.csv"))
+    urls = {k: sorted(r["url"] for r in v.collect()) for k, v in found.items()}
+    assert urls == {"found": ["u00", "u01"], "joined": ["u00", "u01", "zz"], "unlike": ["u01", "zz"], "missed": ["u01"]}
+
+
+def test_sample_corpus_is_written(spark, corpus, tmp_path):
+    news.write_sample(files.read_articles(spark, corpus), str(tmp_path / "sample"), [1, 3])
+    assert spark.read.json(str(tmp_path / "sample")).count() == 2
+
+
 def test_intermediate_tables_live_in_the_shared_folder(spark):
     kept = session.materialise(spark.range(5), "numbers")
     folder = spark.conf.get("spark.checkpoint.dir")

@@ -55,8 +55,8 @@ def test_corpus_has_one_row_per_record(spark):
         "date string, heading string, lead string, url string",
     )
     transcripts = spark.createDataFrame(
-        [("u1", "text 1"), ("u1", "text 2"), ("u9", "z"), ("u2", None)],
-        "url string, transcript string",
+        [("u1", "text 3", 1), ("u1", "text 2", 2), ("u1", None, 3), ("u9", "z", 1), ("u2", None, 1), ("u1", "text 2", 2)],
+        "url string, transcript string, landed int",
     )
     found = prepare.corpus(contents, transcripts).orderBy("url", "text")
     day = dt.date(2023, 1, 2)
@@ -230,6 +230,42 @@ def test_large_and_small_name_tables_agree(spark, texts):
     assert len(found.orderBy("id").first()["l"]) == 3
 
 
+def test_stems_without_a_match_and_null_rows(spark, texts):
+    """One answer for every table size: empty and null stems and names match nothing."""
+    rows = STEMS + [
+        (5, "Tühi", "x", 0.1, ""), (6, "Null", "x", 0.1, None), (7, None, "x", 0.1, "tartu"),
+        (None, "Viimane", None, None, "xyz"), (8, "Pikk", "x", 0.1, "x" * 150),
+    ]
+    table = spark.createDataFrame(rows, "ord int, name string, type string, confidence double, stem string")
+    for chosen in (table, table.limit(0)):
+        small = with_locations(texts(TEXTS), chosen).orderBy("id").collect()
+        large = with_locations(texts(TEXTS), chosen, small=0).orderBy("id").collect()
+        assert small == large
+    found = {p["name"] for r in with_locations(texts(TEXTS), table).collect() for p in r["locations"]}
+    assert {"Viimane", "Pikk"} <= found and not found & {"Tühi", "Null", None}
+
+
+def test_names_of_any_length_and_punctuation(spark, texts):
+    names = spark.createDataFrame(
+        [("Suure Jaani vana linnus",), ("St. Petersburg",), ("Kohtla  Järve",), ("O'Leary",), (None,), ("",),
+         ("--",), ("aga",), ("Üks kaks kolm neli viis kuus seitse",), ("Petersburg",)],
+        "name string",
+    )
+    values = [
+        "Suure Jaani vana linnus ja St Petersburg, St. Petersburg", "Kohtla Järve; O’Leary", "aga --", None, "",
+        "üks Üks kaks kolm neli viis kuus seitse kaheksa",
+    ]
+    small = with_other_names(texts(values), names).orderBy("id").collect()
+    large = with_other_names(texts(values), names, small=0).orderBy("id").collect()
+    assert small == large
+    assert [r["other_names"] for r in small] == [
+        ["Suure Jaani vana linnus", "St. Petersburg", "Petersburg"], ["Kohtla  Järve", "O'Leary"], [], [], [],
+        ["Üks kaks kolm neli viis kuus seitse"],
+    ]
+    none = with_other_names(texts(values), names.limit(0), small=-1)
+    assert all(r["other_names"] == [] for r in none.collect())
+
+
 def test_joins_survive_a_hot_text(spark):
     """A third of all rows are copies of one text; every copy gets its places."""
     copies = spark.range(3000).select(
@@ -259,7 +295,7 @@ def measurements(spark):
 @pytest.fixture(scope="module")
 def stations(spark):
     return spark.createDataFrame(
-        [("Narva", "N 59°23’22”", "E 28°06’33”"), ("Ruhnu", "N 57°47’00”", "E 23°15’32”")],
+        [("Narva", "N 59°10’20”", "E 28°30’40”"), ("Ruhnu", "N 57°05’00”", "E 23°50’10”")],
         "station string, latitude string, longitude string",
     )
 

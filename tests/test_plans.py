@@ -13,7 +13,7 @@ from galeledger.functions.text import scan_groups
 from galeledger.operators import joins, prepare
 from galeledger.operators.places import with_other_names
 from galeledger.vocab import WEATHER
-from tests.test_queries import SF_DIR, pytestmark  # noqa: F401
+from tests.test_queries import OWN, SF_DIR, pytestmark  # noqa: F401
 
 # Windows over a row per threshold or the first rows of an order.
 SHORT_WINDOWS = {
@@ -43,7 +43,7 @@ def plan(spark):
         spark.conf.set(key, value)
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", OWN)
 def test_plan(plan, name):
     text = plan(name)
     for operator in ("CartesianProduct", "NestedLoop", "BroadcastExchange", "EvalPython"):
@@ -69,7 +69,7 @@ def test_places_are_matched_in_one_place(plan, name):
 
 @pytest.mark.parametrize("name", ["relevance_verdict", "gated_articles", "classify_articles"])
 def test_classifying_needs_no_shuffle_of_its_own(plan, name):
-    # The one exchange spreads the single row group of the small driver file.
+    # The one exchange deals out the single row group of the small driver file.
     assert plan(name).count("Exchange") == 1
 
 
@@ -134,6 +134,23 @@ def test_a_hot_text_is_split_when_it_is_joined(spark, final_plan, hot_rows):
     assert plan.count("skew=true") == 2
 
 
+@pytest.mark.parametrize("side", ["left", "right"])
+def test_a_hot_url_is_split_on_either_side_of_a_left_join(final_plan, hot_rows, side):
+    single = hot_rows.select("url").distinct().withColumn("n", F.lit(1))
+    few = single.unionByName(single.select(F.concat(F.lit("no"), "url").alias("url"), "n"))
+    left, right = (hot_rows, single) if side == "left" else (few, hot_rows)
+    rows, plan = final_plan(joins.left_by_url(left, right))
+    assert len(rows) == (40_000 if side == "left" else 40_000 + 20_001)
+    assert "skew=true" in plan
+
+
+def test_transcripts_are_shuffled_once(plan, spark):
+    text = plan("transcript_attach")
+    moved = [line for line in text.splitlines() if "transcript" in line and "Exchange hashpartitioning" in line]
+    whole = re.findall(r"Exchange hashpartitioning\(url[^,]*, __rank", text)
+    assert len(whole) == 2 and not moved
+
+
 @pytest.mark.parametrize("kind", ["semi", "anti", "transcripts"])
 def test_a_hot_url_is_split_when_it_is_joined(final_plan, hot_rows, kind):
     other = hot_rows.filter("id % 4 < 2").select("url", F.col("text").alias("transcript"))

@@ -8,29 +8,77 @@ from pyspark.sql import functions as F
 from galeledger.functions.relevance import confidence_table, is_relevant, verdict
 from galeledger.operators.relevance import relevance_gate, relevant_only
 from galeledger.vocab import WEATHER, Category, Vocabulary
-from tests.brute import as_tuple, judge
 
 MIXED = Vocabulary(
     (Category("a", ("storm", "big storm"), 0.7), Category("b", ("fire",), 0.1)), ("match",)
 )
 
+# Text, hits per category (weather, infrastructure, emergency, impact), kept categories
+# with their rounded shares, confidence; worked out by hand from weights 1, 1, 0.8, 0.6.
+WORKED = [
+    ("Torm.", (1, 0, 0, 0), {"severe_weather": 1.0}, 0.62),
+    ("TORM, rahe!", (2, 0, 0, 0), {"severe_weather": 1.0}, 0.68),
+    ("oht", (0, 0, 0, 1), {"impact": 1.0}, 0.62),
+    ("Torm ja oht", (1, 0, 0, 1), {"severe_weather": 0.62, "impact": 0.37}, 0.75),
+    ("torm rahe äike oht kriis", (3, 0, 0, 2), {"severe_weather": 0.71, "impact": 0.29}, 0.9),
+    ("päästjad, torm, elektrita, kriis", (1, 1, 1, 1), None, 0.95),
+    ("päästjad " + "oht " * 20, (0, 0, 1, 20), {"impact": 0.94}, 0.82),
+    ("tormid ja päästjate kriisid", (0, 0, 0, 0), None, None),
+]
+
+
+def test_worked_verdicts(evaluate):
+    found = evaluate([w[0] for w in WORKED], verdict)
+    names = [c.name for c in WEATHER.categories]
+    for (text, hits, kept, confidence), row in zip(WORKED, found):
+        assert row["relevant"] == (confidence is not None), text
+        counts = {c["name"]: len(c["matches"]) for c in row["categories"]}
+        assert all(n == hits[names.index(name)] for name, n in counts.items()), text
+        if kept is not None:
+            assert {c["name"]: c["score"] for c in row["categories"]} == kept, text
+        if confidence is not None:
+            assert row["confidence"] == pytest.approx(confidence, abs=0.011), text
+            assert row["confidence"] in {v for r in confidence_table(4) for v in r}
+
+
+def test_overlapping_words_count_each(evaluate):
+    (row,) = evaluate(["A big storm, storm and fire"], lambda t: verdict(t, MIXED))
+    assert row["categories"][0]["matches"] == ["storm", "storm", "big storm"]
+    assert row["categories"][0]["score"] == 0.95 and len(row["categories"]) == 1
+    (row,) = evaluate(["big storm match"], lambda t: verdict(t, MIXED))
+    assert (row["relevant"], row["confidence"]) == (False, 0.8)
+
 
 @pytest.mark.parametrize("vocab", [WEATHER, MIXED, Vocabulary(WEATHER.categories)])
-def test_verdict_equals_plain_rules(evaluate, vocab):
+def test_verdict_invariants(evaluate, vocab):
+    """What holds for every text, whatever the vocabulary."""
     rng = random.Random(11)
     words = list(vocab.all_words)
-    pieces = words * 2 + [w.upper() for w in words] + ["ja", "tormid", "kontserdid", "oht", "İ"]
-    gaps = [" ", ", ", ".\n", "", "-", "̇"]
-    samples = [None, "", " ", "\n"]
-    samples += ["päästjad " + "oht " * n for n in range(1, 16)]
-    for _ in range(400):
-        some = rng.sample(pieces, min(len(pieces), rng.randint(1, 9)))
-        if rng.random() < 0.8:
-            some = [p for p in some if p.lower() not in vocab.negatives]
-        samples.append("".join(rng.choice(some or ["x"]) + rng.choice(gaps) for _ in range(8)))
+    gaps = [" ", ", ", ".\n", " - "]
+    samples, used = [], []
+    for _ in range(200):
+        some = [rng.choice(words) for _ in range(rng.randint(1, 6))]
+        used.append(some)
+        samples.append("".join(w + rng.choice(gaps) for w in some))
     found = evaluate(samples, lambda t: verdict(t, vocab))
-    for text, row in zip(samples, found):
-        assert as_tuple(row) == judge(text, vocab), text
+    shuffled = evaluate([s.upper() for s in samples], lambda t: verdict(t, vocab))
+    for some, row, upper in zip(used, found, shuffled):
+        assert row["relevant"] == (not set(some) & set(vocab.negatives))
+        shares = [c["score"] for c in row["categories"]]
+        assert sum(shares) <= 1.02 and all(s >= 0.1 for s in shares)
+        if row["relevant"]:
+            assert 0.62 <= row["confidence"] <= 1.0 and shares
+            assert sum(len(c["matches"]) for c in row["categories"]) >= 1
+        order = [c.name for c in vocab.categories]
+        names = [c["name"] for c in row["categories"]]
+        assert names == sorted(names, key=order.index)
+        assert (upper["relevant"], upper["confidence"]) == (row["relevant"], row["confidence"])
+
+
+def test_words_need_boundaries(evaluate):
+    texts = ["torm", "torm-", "tormi", "augusti_torm", "eeltorm", "(torm)", "torm1", "ÄIKE", "äiket"]
+    found = evaluate(texts, verdict)
+    assert [r["relevant"] for r in found] == [True, True, False, False, False, True, False, True, False]
 
 
 def test_share_just_above_the_cutoff_is_kept(evaluate):

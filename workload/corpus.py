@@ -10,16 +10,18 @@ from galeledger.operators import joins, prepare
 from galeledger.operators.classify import gated_articles
 from galeledger.operators.order import rows_at, sort_by_date
 from galeledger.operators.union import bind_rows
-from galeledger.plans.news import sample_corpus
+from galeledger.plans.news import check_filter, export_archive, sample_corpus
 from galeledger.session import scratch_path
 from galeledger.sources.files import (
     read_archive_contents,
     read_articles,
+    read_csv,
     read_results,
     read_transcripts,
+    write_csv,
     write_json,
 )
-from galeledger.vocab import SAMPLE_POSITIONS
+from galeledger.vocab import PREFILTER_STEMS, SAMPLE_POSITIONS
 from workload.events import GATED_SQL
 from workload.inputs import ARTICLES, CONTENTS, SEGMENTS, articles, derive, documents, table
 
@@ -39,19 +41,29 @@ def _pieces(html: str = "html"):
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, SEGMENTS).select(
-        "url", prepare.assemble_transcript(_pieces()).alias("transcript")
+        "url", prepare.assemble_transcript(_pieces()).alias("transcript"), "landed", "page_id"
     )
 
 
 def transcript_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.transform(F.split("text", "\n"), lambda p: F.struct(p.alias("content")))
-    return documents(spark, sf_dir).select(
-        "doc_id", F.md5(prepare.assemble_transcript(lines)).alias("transcript")
+    """Conversations as transcripts: their turns are the segments, some without text;
+    a conversation of one turn has an empty list."""
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(F.col("turn") % 3 != 2, F.col("text")).alias("content")
+    )
+    grouped = turns.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "content"))).alias("segments")
+    )
+    segments = F.when(F.size("segments") > 1, F.col("segments")).otherwise(F.slice("segments", 1, 0))
+    return grouped.select(
+        "conv_id", F.md5(prepare.assemble_transcript(segments)).alias("transcript")
     )
 
 
 def transcript_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prepare.attach_transcripts(_contents(spark, sf_dir), _transcripts(spark, sf_dir))
+    rows = prepare.attach_transcripts(
+        _contents(spark, sf_dir), _transcripts(spark, sf_dir), ["landed", "page_id"]
+    )
     return rows.select(
         "url", "heading", F.md5("transcript").alias("transcript")
     )
@@ -64,7 +76,8 @@ def _hashed(corpus: DataFrame) -> DataFrame:
 
 
 def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hashed(prepare.corpus(_contents(spark, sf_dir), _transcripts(spark, sf_dir)))
+    transcripts = _transcripts(spark, sf_dir)
+    return _hashed(prepare.corpus(_contents(spark, sf_dir), transcripts, ["landed", "page_id"]))
 
 
 def strip_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,27 +88,97 @@ def strip_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _write_blocks(rows: DataFrame, path: str, *blocks: str) -> None:
+    """One file per block, with the one value that the block has."""
+    rows.repartition(*blocks).write.partitionBy(*blocks).text(path)
+
+
+def _land_months(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Archive responses of twelve months, each one object with many records, with a
+    field more than the corpus needs; a month of many pages has several responses."""
+    records = derive(spark, sf_dir, CONTENTS).withColumn("month", F.month("date"))
+    response = F.to_json(
+        F.struct(F.struct(F.collect_list(F.struct("date", "heading", "lead", "url", "id"))
+                          .alias("contents")).alias("seriesList"))
+    )
+    months = records.groupBy("month", F.expr("id div 3000").alias("block")).agg(response.alias("value"))
+    _write_blocks(months, path, "month", "block")
+
+
+def _land_transcripts(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Batches of transcript responses, each with a further page that does not count."""
+    pages = derive(spark, sf_dir, SEGMENTS).filter("landed = 1").select(
+        "url",
+        F.array(F.struct(_pieces().alias("data")), F.struct(_pieces("url").alias("data"))).alias("response"),
+        (F.col("page_id") % 7).alias("batch"),
+    )
+    pages.repartition("batch").write.partitionBy("batch").json(path)
+
+
 def corpus_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus from responses landed as files in their original nesting."""
     folder = scratch_path(spark, "archive")
-    contents = _contents(spark, sf_dir).select(
-        F.struct(F.array(F.struct("date", "heading", "lead", "url")).alias("contents")).alias(
-            "seriesList"
-        )
-    )
-    write_json(contents, f"{folder}/contents")
-    pages = derive(spark, sf_dir, SEGMENTS).select(
-        "url", F.array(F.struct(_pieces().alias("data"))).alias("response")
-    )
-    write_json(pages, f"{folder}/transcripts")
+    _land_months(spark, sf_dir, f"{folder}/contents")
+    _land_transcripts(spark, sf_dir, f"{folder}/transcripts")
     return _hashed(
         prepare.corpus(
-            read_archive_contents(spark, f"{folder}/contents", fmt="jsonl"),
+            read_archive_contents(spark, f"{folder}/contents/month=*/block=*"),
             read_transcripts(spark, f"{folder}/transcripts"),
         )
     )
 
 
+def archive_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of twelve monthly files, exported with all their fields to JSON and
+    CSV and read back from the CSV."""
+    folder = scratch_path(spark, "months")
+    _land_months(spark, sf_dir, f"{folder}/contents")
+    export_archive(spark, f"{folder}/contents/month=*/block=*", f"{folder}/out")
+    stored = spark.read.json(f"{folder}/out/json").select("url", F.col("id").alias("json_id"))
+    csv = read_csv(spark, f"{folder}/out/csv", None)
+    joined = csv.join(stored, (csv["id"].cast("bigint") == stored["json_id"]) & (csv["url"] == stored["url"]))
+    return joined.select(csv["url"], csv["id"].cast("bigint").alias("id"), "date", "heading", "lead")
+
+
+def transcript_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of several batches of responses with several pages each."""
+    folder = scratch_path(spark, "batches")
+    _land_transcripts(spark, sf_dir, folder)
+    return read_transcripts(spark, folder).select("url", F.md5("transcript").alias("transcript"))
+
+
+def articles_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles landed as files that hold one JSON array each."""
+    folder = scratch_path(spark, "arrays")
+    rows = articles(spark, sf_dir).select(
+        F.expr("doc_id div 500").alias("block"), F.to_json(F.struct(*schemas.ARTICLE.fieldNames())).alias("one")
+    )
+    arrays = rows.groupBy("block").agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("one"), ","), F.lit("]")).alias("value")
+    )
+    _write_blocks(arrays, folder, "block")
+    return _hashed(read_articles(spark, f"{folder}/block=*"))
+
+
+def filter_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a filter's CSV has that the archive's CSV lacks, checked by the job."""
+    folder = scratch_path(spark, "check")
+    write_csv(_archive(spark, sf_dir), f"{folder}/archive")
+    write_csv(_listed(spark, sf_dir), f"{folder}/filtered")
+    found = check_filter(spark, f"{folder}/archive", f"{folder}/filtered", ["url", "record"])
+    missed = found["missed"].select(F.lit("missed").alias("part"), "url", "record")
+    counts = [
+        found[part].select(F.lit(part).alias("part"), "url", F.lit(None).cast("string").alias("record"))
+        for part in ("found", "joined", "unlike")
+    ]
+    whole = missed
+    for part in counts:
+        whole = whole.unionByName(part)
+    return whole.groupBy("part", "url").agg(
+        F.count("*").alias("n"), F.max(F.col("record").cast("bigint")).alias("record")
+    ).withColumn("url", F.col("url").cast("bigint"))
+
+
 def articles_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "articles")
     write_json(articles(spark, sf_dir).select(*schemas.ARTICLE.fieldNames()), folder)
@@ -190,6 +273,10 @@ QUERIES = {
     "corpus_text": corpus_text,
     "strip_prefix": strip_prefix,
     "corpus_landed": corpus_landed,
+    "archive_months": archive_months,
+    "transcript_batches": transcript_batches,
+    "articles_array": articles_array,
+    "filter_check": filter_check,
     "articles_landed": articles_landed,
     "results_landed": results_landed,
     "keyword_prefilter": keyword_prefilter,
@@ -205,14 +292,19 @@ QUERIES = {
 
 # --- SQL --------------------------------------------------------------------
 
-_CORPUS = f"""WITH c AS ({CONTENTS}),
-t AS (SELECT url, max(replace(html, '<', chr(10))) AS transcript FROM ({SEGMENTS})
-      GROUP BY 1),
+def _corpus_sql(landed: str) -> str:
+    return f"""WITH c AS ({CONTENTS}),
+t AS (SELECT url, arg_max(replace(html, '<', chr(10)), landed * 1000000000 + page_id) AS transcript
+      FROM ({SEGMENTS}) WHERE html IS NOT NULL {landed} GROUP BY 1),
 j AS (SELECT c.*, t.transcript FROM c LEFT JOIN t USING (url)),
 corpus AS (
   SELECT date, url, concat_ws(chr(10),
     CASE WHEN starts_with(heading, 'UUDISED. ') THEN substr(heading, 10) ELSE heading END,
     lead, transcript) AS text FROM j)"""
+
+
+_CORPUS = _corpus_sql("")
+_POSITIONS = ", ".join(map(str, SAMPLE_POSITIONS))
 _ARCHIVE = """WITH a AS (
   SELECT o_custkey AS url, o_orderkey AS record,
          CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status FROM orders),
@@ -220,16 +312,29 @@ l AS (SELECT c_custkey * 7 AS url, CASE WHEN c_custkey % 2 > 0 THEN 'O' END AS s
       FROM customer),
 missed AS (SELECT * FROM l WHERE NOT EXISTS (
   SELECT 1 FROM a WHERE a.url = l.url AND a.status IS NOT DISTINCT FROM l.status))"""
-_TORM = "(?i)torm|elektrikatk|üleuju|rahe"
+_TORM = "(?i)" + "|".join(PREFILTER_STEMS)
 
 ORACLE = {
-    "transcript_assembly": "SELECT doc_id, md5(text) AS transcript FROM documents",
+    "transcript_assembly": """SELECT conv_id, md5(CASE WHEN count(*) > 1 THEN
+        coalesce(string_agg(CASE WHEN turn % 3 <> 2 THEN text END, chr(10) ORDER BY turn), '')
+        ELSE '' END) AS transcript FROM conversations GROUP BY 1""",
     "transcript_attach": f"{_CORPUS} SELECT url, heading, md5(transcript) AS transcript FROM j",
     "corpus_text": f"{_CORPUS} SELECT date, url, md5(text) AS text FROM corpus",
     "strip_prefix": f"""{_CORPUS} SELECT url, date,
         CASE WHEN starts_with(heading, 'UUDISED. ') THEN substr(heading, 10)
              ELSE heading END AS heading FROM c""",
-    "corpus_landed": f"{_CORPUS} SELECT date, url, md5(text) AS text FROM corpus",
+    "corpus_landed": f"{_corpus_sql('AND landed = 1')} SELECT date, url, md5(text) AS text FROM corpus",
+    "archive_months": f"SELECT url, id, date, heading, lead FROM ({CONTENTS})",
+    "transcript_batches": f"""SELECT url, md5(replace(html, '<', chr(10))) AS transcript
+        FROM ({SEGMENTS}) WHERE landed = 1""",
+    "articles_array": f"""SELECT CAST(date AS VARCHAR) AS date, url, md5(text) AS text
+        FROM ({ARTICLES})""",
+    "filter_check": f"""{_ARCHIVE}, parts AS (
+        SELECT 'missed' AS part, url, record FROM a WHERE url IN (SELECT url FROM missed)
+        UNION ALL SELECT 'found', url, NULL FROM a WHERE url IN (SELECT url FROM l)
+        UNION ALL SELECT 'joined', l.url, NULL FROM l LEFT JOIN a USING (url)
+        UNION ALL SELECT 'unlike', url, NULL FROM missed)
+      SELECT part, url, count(*) AS n, max(record) AS record FROM parts GROUP BY 1, 2""",
     "articles_landed": f"""SELECT CAST(date AS VARCHAR) AS date, url, md5(text) AS text
         FROM ({ARTICLES})""",
     "results_landed": f"""{GATED_SQL} SELECT date, url, confidence, scale,
@@ -241,10 +346,10 @@ ORACLE = {
         WHERE regexp_matches(text, '(?i){'|'.join(PROSE_STEMS)}')""",
     "slice_rows": f"""SELECT CAST(date AS VARCHAR) AS date, url, md5(text) AS text FROM (
         SELECT *, row_number() OVER (ORDER BY date NULLS FIRST, url) AS i FROM ({ARTICLES})
-        WHERE regexp_matches(text, '{_TORM}')) WHERE i IN (3, 37, 70, 75, 86)""",
-    "slice_orders": """SELECT o_orderkey, o_totalprice FROM (
+        WHERE regexp_matches(text, '{_TORM}')) WHERE i IN ({_POSITIONS})""",
+    "slice_orders": f"""SELECT o_orderkey, o_totalprice FROM (
         SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS i FROM orders)
-        WHERE i IN (3, 37, 70, 75, 86)""",
+        WHERE i IN ({_POSITIONS})""",
     "left_join": f"""{_ARCHIVE} SELECT l.url, l.status AS listed_status, a.record, a.status
         FROM l LEFT JOIN a USING (url)""",
     "semi_join": f"{_ARCHIVE} SELECT * FROM a WHERE url IN (SELECT url FROM l)",

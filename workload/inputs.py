@@ -11,8 +11,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galeledger.sources.files import spread
-
 BULLETINS = [
     "''",
     "'Torm jättis ' || CAST(n_chars AS STRING) || ' klienti elektrita.'",
@@ -42,6 +40,9 @@ BULLETINS = [
     "repeat('torm elektrita päästjad kriis ', CAST(n_chars % 5 + 1 AS INT))"
     " || 'Ida-Virumaal ja Jõgeval, Valga ja Rapla.'",
     "'Õhtul sadas rahe. Teateid tuli ' || CAST(n_chars AS STRING) || '.'",
+    "'Torm! Katkestus kestis ' || CAST(n_chars AS STRING)"
+    " || '12345678901234567890 tundi, ' || CAST(n_chars AS STRING)"
+    " || '98765432109876543210987 klienti.'",
 ]
 
 _BULLETIN = "CASE doc_id % {n} {whens} END".format(
@@ -94,13 +95,27 @@ SELECT CAST(DATE '2023-01-01' + CAST(page_id % 365 AS INT) AS STRING) AS date,
        CASE WHEN page_id % 3 > 0 THEN 'UUDISED. ' ELSE '' END || 'Leht UUDISED. '
          || CAST(page_id AS STRING) AS heading,
        CASE WHEN page_id % 10 > 0 THEN 'Sisu ' || CAST(length(html) AS STRING) END AS lead,
-       url
+       url, page_id AS id
 FROM pages
 """
 
+# Landed transcripts: the first landing, for some pages a second one, for some a third
+# that failed.
 SEGMENTS = """
-SELECT page_id, CASE WHEN page_id % 8 > 0 THEN url ELSE url || '-puudub' END AS url, html
+SELECT page_id, CASE WHEN page_id % 8 > 0 THEN url ELSE url || '-puudub' END AS url, html, 1 AS landed
 FROM pages
+UNION ALL
+SELECT page_id, url, 'Parandatud<' || html AS html, 2 AS landed
+FROM pages WHERE page_id % 5 = 0
+UNION ALL
+SELECT page_id, url, CAST(NULL AS STRING) AS html, 3 AS landed
+FROM pages WHERE page_id % 4 = 0
+"""
+
+# Each document with the name of one nation, or none.
+TEXTS_OF_NATIONS = """
+SELECT d.doc_id, d.text || coalesce(chr(10) || n.n_name, '') AS text
+FROM documents d LEFT JOIN nation n ON d.doc_id % 30 = n.n_nationkey
 """
 
 TABLES = (
@@ -115,15 +130,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run input SQL over the driver tables it names."""
-    used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"FROM {t}\b", sql)}
+    used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"(FROM|JOIN) {t}\b", sql)}
     for name in used:
-        sql = re.sub(rf"FROM {name}\b", f"FROM {{{name}}}", sql)
+        sql = re.sub(rf"(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
     return spark.sql(sql, **used)
 
 
+def on_all_cores(df: DataFrame) -> DataFrame:
+    """The driver's tables have one row group, which is one task; deal the rows out."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(derive(spark, sf_dir, ARTICLES))
+    return on_all_cores(derive(spark, sf_dir, ARTICLES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return on_all_cores(table(spark, sf_dir, "documents"))

@@ -14,8 +14,15 @@ from galeledger.operators.wind import (
     station_summary,
     wind_statistics,
 )
+from galeledger.plans.wind import process_wind
 from galeledger.session import scratch_path
-from galeledger.sources.files import read_csv, read_measurements, write_csv, write_json
+from galeledger.sources.files import (
+    read_csv,
+    read_measurements,
+    read_stations,
+    write_csv,
+    write_json,
+)
 from workload.inputs import MEASUREMENTS, STATIONS, derive
 
 # --- Spark ------------------------------------------------------------------
@@ -76,6 +83,35 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("o_orderkey", "jaam_nimi", "kuu", "vaartus", "latitude", "longitude")
 
 
+def stations_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as blocks of the station list, written as text and read back."""
+    folder = scratch_path(spark, "stations")
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit(" "), "station"), F.concat(F.lit("Laius: "), "latitude"), F.lit(""),
+        F.concat(F.lit("Pikkus: "), "longitude"), F.lit("AJTEST01"),
+    )
+    _stations(spark, sf_dir).select(lines).write.text(folder)
+    return read_stations(spark, folder).select(
+        "station", "latitude", "longitude",
+        F.round("lat_deg", 9).alias("lat_deg"), F.round("lon_deg", 9).alias("lon_deg"),
+    )
+
+
+def wind_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wind job on pages with a field that it does not know, from its CSV and JSON."""
+    folder = scratch_path(spark, "wind")
+    write_json(_measurements(spark, sf_dir), f"{folder}/pages")
+    _stations(spark, sf_dir).select(
+        F.concat_ws("\n", "station", F.concat(F.lit("Laius: "), "latitude"), F.concat(F.lit("Pikkus: "), "longitude"))
+    ).write.text(f"{folder}/stations")
+    process_wind(spark, f"{folder}/pages", f"{folder}/stations", f"{folder}/out", 1997, "DWSX", "jsonl")
+    columns = ["jaam_nimi", "latitude", F.col("o_orderkey").cast("bigint"), F.col("vaartus").cast("double")]
+    csv = read_csv(spark, f"{folder}/out/csv", None).select(*columns, F.lit("csv").alias("source"))
+    return csv.unionByName(
+        spark.read.json(f"{folder}/out/json").select(*columns, F.lit("json").alias("source"))
+    )
+
+
 def wind_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = wind_statistics(_measurements(spark, sf_dir))
     return stats.withColumn("mean_speed", F.round("mean_speed", 6))
@@ -94,6 +130,8 @@ def monthly_mean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "station_degrees": station_degrees,
     "station_enrichment": station_enrichment,
+    "stations_landed": stations_landed,
+    "wind_outputs": wind_outputs,
     "page_concat": page_concat,
     "page_union": page_union,
     "csv_roundtrip": csv_roundtrip,
@@ -108,15 +146,22 @@ _CTES = f"WITH m AS ({MEASUREMENTS}), st AS ({STATIONS})"
 _PAGES = f"""{_CTES}, pages AS (
   SELECT * FROM m UNION ALL SELECT * FROM m WHERE kuu <= 6)"""
 
-ORACLE = {
-    "station_degrees": """SELECT s_name AS station,
+_DEGREES = """SELECT s_name AS station,
         round((CASE WHEN s_suppkey % 5 = 0 THEN -1 ELSE 1 END) * (
           (s_suppkey % 89 + 1)::DOUBLE + (s_suppkey % 60)::DOUBLE / 60
           + (s_suppkey * 7 % 60)::DOUBLE / 3600), 9) AS lat_deg,
         round((CASE WHEN s_suppkey % 7 = 0 THEN -1 ELSE 1 END) * (
           (s_nationkey + 1)::DOUBLE + (s_suppkey * 3 % 60)::DOUBLE / 60
           + (s_suppkey * 11 % 60)::DOUBLE / 3600), 9) AS lon_deg
-        FROM supplier""",
+        FROM supplier"""
+
+ORACLE = {
+    "station_degrees": _DEGREES,
+    "stations_landed": f"""WITH d AS ({_DEGREES}), st AS ({STATIONS})
+        SELECT station, latitude, longitude, lat_deg, lon_deg FROM st JOIN d USING (station)""",
+    "wind_outputs": f"""{_CTES} SELECT o_orderkey, jaam_nimi, vaartus, latitude, source
+        FROM m LEFT JOIN st ON m.jaam_nimi = st.station CROSS JOIN (VALUES ('csv'), ('json')) v(source)
+        WHERE aasta = 1997 AND element_kood = 'DWSX'""",
     "station_enrichment": f"""{_CTES}
         SELECT o_orderkey, jaam_nimi, vaartus, latitude, longitude
         FROM m LEFT JOIN st ON m.jaam_nimi = st.station""",
