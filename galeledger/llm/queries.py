@@ -203,8 +203,51 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 FROM t LEFT JOIN kept USING (doc_id)
 """
 
+
+def _shingles_sql(name: str, table: str, key: str) -> str:
+    """Words and five-word shingles with their counts, as named subqueries."""
+    return rf"""
+{name}_w AS (
+  SELECT {key}, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+{name} AS (
+  SELECT {key}, g, count(*) AS c FROM (
+    SELECT {key}, array_to_string(w[i:i + 4], ' ') AS g
+    FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM {name}_w WHERE len(w) > 0))
+  GROUP BY ALL)"""
+
+
+_CONTAINED_SQL = f"""
+WITH {_shingles_sql("d", "documents", "doc_id")},
+{_shingles_sql("b", "benchmark", "item_id")},
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY 1)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY ALL) JOIN n USING (item_id)
+WHERE n_shared >= 0.8::DOUBLE * n_shingles
+"""
+
+_CLASSES_SQL = f"""
+WITH RECURSIVE {_shingles_sql("d", "documents", "doc_id")},
+n AS (SELECT doc_id, sum(c) AS n FROM d GROUP BY 1),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS same
+  FROM d a JOIN d b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+  WHERE same::DOUBLE / (p.n + q.n - same) >= 0.8
+  UNION ALL
+  SELECT a.doc_id, b.doc_id FROM d_w a JOIN d_w b ON a.text = b.text AND a.doc_id <> b.doc_id
+  WHERE len(a.w) = 0),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT doc_id, y FROM reached JOIN links ON other = x)
+SELECT doc_id, min(other) AS class_id FROM reached GROUP BY 1
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": _SUBSTRINGS_SQL.replace("\\\\", "\\"),
+    "op3_dart_minhash": _CLASSES_SQL.replace("\\\\", "\\"),
+    "op9_decontamination": _CONTAINED_SQL.replace("\\\\", "\\"),
     "op2_mixing": _MIXING_SQL.replace("\\\\", "\\"),
     "op7_license_scan": _LICENSES_SQL.replace("\\\\", "\\"),
 }
