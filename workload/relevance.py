@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeledger.functions.relevance import is_relevant
+from galeledger.functions.relevance import (
+    EMPTY,
+    MANY_CATEGORIES,
+    ONE_CATEGORY,
+    UNMATCHED,
+    VETOED,
+    is_relevant,
+)
 from galeledger.operators import reports
 from galeledger.operators.relevance import relevance_gate, relevant_only, with_verdict
 from galeledger.vocab import WEATHER, Category, Vocabulary
@@ -232,14 +239,13 @@ v AS (
   SELECT *,
     CASE WHEN text IS NULL OR text = '' THEN 0 WHEN neg THEN 1 WHEN m = 0 THEN 2 ELSE 3 END AS k,
     k = 3 AS relevant,
-    CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.9 ELSE
+    CASE k WHEN 0 THEN {EMPTY[0]} WHEN 1 THEN {VETOED[0]} WHEN 2 THEN {UNMATCHED[0]} ELSE
       printf('%.2f', (least(0.5::DOUBLE + n * 0.15::DOUBLE, 1) +
                       least(0.5::DOUBLE + m * 0.1::DOUBLE, 1)) / 2)::DOUBLE END::DOUBLE
       AS confidence,
-    CASE k WHEN 0 THEN 'Empty text' WHEN 1 THEN 'Contains non-relevant context'
-      WHEN 2 THEN 'No relevant patterns found' ELSE
-      CASE WHEN n > 1 THEN 'Multiple weather-related patterns found'
-           ELSE 'Weather-related patterns found' END END AS reason,
+    CASE k WHEN 0 THEN '{EMPTY[1]}' WHEN 1 THEN '{VETOED[1]}'
+      WHEN 2 THEN '{UNMATCHED[1]}' ELSE
+      CASE WHEN n > 1 THEN '{MANY_CATEGORIES}' ELSE '{ONE_CATEGORY}' END END AS reason,
     CASE WHEN k = 3 THEN concat_ws(',', {', '.join(
         f"CASE WHEN r{i} > 0.1::DOUBLE THEN '{c.name}' END" for i, c in cats)})
       ELSE '' END AS categories
