@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,16 +112,17 @@ def _components(docs, bands, threshold, words, counted, id_col, text_col) -> Dat
     wanted = members.select("doc_id").distinct().hint("merge")
     grams = materialise(
         plain.join(wanted, "doc_id", "left_semi").mapInArrow(
-            lambda it: _grams(it, words, counted), "tid binary, grams binary"
+            lambda it: _grams(it, words, counted), "tid binary, grams array<int>"
         ),
         "shingles",
     )
-    one = materialise(_compared(_with_hub(members), grams), "compared")
-    failed = members.join(_failed(one, threshold), "tid").select("bucket", "tid", "n", "hub")
-    again = failed.join(_hubs(members), ["bucket", "hub"], "left_semi")
-    two = materialise(_compared(_with_hub(again.select("bucket", "tid", "n")), grams), "compared")
+    placed = materialise(_with_hub(members), "hubs")
+    one = materialise(_compared(_pairs(placed), grams), "compared")
+    failed = one.filter(~_similar(threshold)).select(F.col("a").alias("tid"), F.col("b").alias("hub"))
+    again = placed.filter("tid != hub").join(failed, ["tid", "hub"], "left_semi")
+    two = materialise(_compared(_pairs(_with_hub(again.drop("hub"))), grams), "compared")
     links = _linked(one, threshold).unionByName(_linked(two, threshold))
-    labels = _merge(members.select("tid", F.col("tid").alias("component")).distinct(), links)
+    labels = _merge(placed.select("tid", F.col("tid").alias("component")).distinct(), links)
     rest = materialise(_compared(_unlinked(one, labels, threshold), grams), "compared")
     labels = _merge(labels, _linked(rest, threshold))
     return signed.join(labels, "tid", "left").select(
@@ -188,64 +189,47 @@ def _grams(
         texts = part.column("text")
         x, begins = hashing.shingles(texts, words)
         tids = pa.array(_tids(texts, x, begins, counted), pa.binary())
-        grams = pa.array([e.tobytes() for e in _elements(x, begins, counted)], pa.binary())
+        found = [e.view(np.int32) for e in _elements(x, begins, counted)]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+        grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         yield pa.record_batch([tids, grams], ["tid", "grams"])
 
 
-def _hubs(members: DataFrame) -> DataFrame:
-    """The hub of each bucket: the member with the most company in its buckets, which
-    for a group of copies is one that was changed least."""
+def _with_hub(members: DataFrame) -> DataFrame:
+    """``(bucket, tid, n, hub)``: each member with the hub of its bucket, the member with
+    the most company in its buckets, which for a group of copies is one that was changed
+    least."""
+    members = members.select("bucket", "tid", "n")
     company = members.groupBy("tid").agg(F.sum("n").alias("company"))
-    return (
+    hubs = (
         members.join(company, "tid")
         .groupBy(F.struct("bucket").alias("key"))
         .agg(F.max(F.struct("company", "tid")).alias("top"))
         .select("key.bucket", F.col("top.tid").alias("hub"))
     )
+    return members.join(hubs, "bucket")
 
 
-def _with_hub(members: DataFrame) -> DataFrame:
+def _pairs(placed: DataFrame) -> DataFrame:
     """Every member of a bucket with the bucket's hub."""
-    return (
-        members.select("bucket", "tid")
-        .join(_hubs(members), "bucket")
-        .filter("tid != hub")
-        .select(F.col("tid").alias("a"), F.col("hub").alias("b"))
-        .distinct()
-    )
+    pairs = placed.select(F.col("tid").alias("a"), F.col("hub").alias("b"))
+    return pairs.filter("a != b").distinct()
 
 
 def _compared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     """``pairs`` with the sizes of both sets, of what they share, and what only ``a`` has."""
     one = grams.select(F.col("tid").alias("a"), F.col("grams").alias("one"))
     two = grams.select(F.col("tid").alias("b"), F.col("grams").alias("two"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(
-        _compare, "a binary, b binary, size_a long, size_b long, same long, added array<int>"
+    added = F.array_except("one", "two")
+    return (
+        pairs.join(one, "a")
+        .join(two, "b")
+        .select("a", "b", F.size("one").alias("size_a"), F.size("two").alias("size_b"), added.alias("added"))
+        .withColumn("same", F.col("size_a") - F.size("added"))
     )
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = np.zeros((3, batch.num_rows), np.int64)
-        added = []
-        for row, (one, two) in enumerate(zip(batch.column("one"), batch.column("two"))):
-            x = np.frombuffer(one.as_buffer(), np.uint32)
-            y = np.frombuffer(two.as_buffer(), np.uint32)
-            at = np.searchsorted(y, x)
-            own = np.ones(len(x), bool)
-            inside = at < len(y)
-            own[inside] = y[at[inside]] != x[inside]
-            sizes[:, row] = len(x), len(y), len(x) - int(own.sum())
-            added.append(x[own].view(np.int32))
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in added])]).astype(np.int32)
-        flat = np.concatenate(added) if added else np.zeros(0, np.int32)
-        yield pa.record_batch(
-            [batch.column("a"), batch.column("b"), *map(pa.array, sizes),
-             pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))],
-            ["a", "b", "size_a", "size_b", "same", "added"],
-        )
-
-
 def _similar(threshold: float) -> Column:
     """Exact similarity of at least the threshold."""
     either = F.col("size_a") + F.col("size_b") - F.col("same")
@@ -256,51 +240,67 @@ def _linked(compared: DataFrame, threshold: float) -> DataFrame:
     return compared.filter(_similar(threshold)).select("a", "b")
 
 
-def _failed(compared: DataFrame, threshold: float) -> DataFrame:
-    return compared.filter(~_similar(threshold)).select(F.col("a").alias("tid"), F.col("b").alias("hub"))
-
-
 def _unlinked(compared: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """All pairs of different components around one hub that can be similar.
 
     Let ``s`` fail with hub ``c``. What ``s`` and ``x`` share is what they share outside
     ``c``, plus at most the lesser of what each shares with ``c``; to be similar it must
-    reach ``t / (1 + t)`` of the sum of their sizes. So either they share enough outside
-    ``c``, which a join on these elements counts, or ``x`` is so much shorter than ``c``
-    that what ``s`` shares with ``c`` is enough; where no ``x`` of the hub is as short as
-    that, nothing is joined.
+    reach ``t / (1 + t)`` of the sum of their sizes. So either ``x`` is so much shorter
+    than ``c`` that what ``s`` shares with ``c`` is enough (where no ``x`` of the hub is as
+    short as that, nothing is joined), or both must share at least some number of
+    elements outside ``c``. Then, with the elements of a hub in order from rare to
+    frequent, they share one among their first ones: all but that number less one.
+    Elements that the same texts have are joined as one.
     """
     need = threshold / (1 + threshold)
-    around = compared.join(labels.toDF("a", "component"), "a").select(
-        "b", "a", "component", F.col("size_a").alias("size"), "same",
-        (~_similar(threshold)).alias("failed"), "added",
-    )
-    other = around.select(
-        "b", F.col("a").alias("x"), F.col("component").alias("x_component"),
-        F.col("size").alias("x_size"), F.col("same").alias("x_same"),
+    slack = 1e-6
+    around = materialise(
+        compared.join(labels.toDF("a", "component"), "a").select(
+            "b", "a", "component", F.col("size_a").alias("size"), "same",
+            (~_similar(threshold)).alias("failed"), "added",
+        ),
+        "around",
     )
-    single = around.filter("failed").drop("added")
+    shortest = around.groupBy("b").agg(F.min("size").alias("shortest"))
     apart = F.col("component") != F.col("x_component")
-    outside = around.select("b", "a", "component", "failed", F.explode("added").alias("element"))
-    left = outside.filter("failed").select("b", "element", F.col("a").alias("s"), "component")
-    right = outside.select("b", "element", F.col("a").alias("x"), F.col("component").alias("x_component"))
-    counts = (
-        left.join(right, ["b", "element"]).filter(apart).groupBy("b", "s", "x").agg(F.count(F.lit(1)).alias("outside"))
+
+    least = F.greatest(F.col("shortest"), threshold * F.col("size"))
+    outside = F.greatest(F.lit(1), F.ceil(need * (F.col("size") + least) - F.col("same") - slack))
+    rows = (
+        around.join(shortest, "b")
+        .withColumn("first", F.size("added") - outside + 1)
+        .filter("first > 0")
+        .select("b", "a", "component", "failed", "first", F.explode("added").alias("element"))
+    )
+    kinds = rows.groupBy("b", "element").agg(
+        F.count(F.lit(1)).alias("texts"), F.bit_xor(F.xxhash64("a")).alias("kind")
+    )
+    before = Window.partitionBy("b", "a").orderBy("texts", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    first = (
+        rows.join(kinds, ["b", "element"])
+        .groupBy("b", "a", "component", "failed", "first", "texts", "kind")
+        .agg(F.count(F.lit(1)).alias("weight"))
+        .withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
+        .filter("texts > 1 AND before < first")
+        .select("b", "texts", "kind", "a", "component", "failed")
     )
-    lesser = F.least("same", "x_same")
     through = (
-        counts.join(single.select("b", F.col("a").alias("s"), "size", "same"), ["b", "s"])
-        .join(other.select("b", "x", "x_size", "x_same"), ["b", "x"])
-        .filter(F.col("outside") + lesser >= need * (F.col("size") + F.col("x_size")) - 1e-6)
+        first.filter("failed").drop("failed").withColumnRenamed("a", "s")
+        .join(first.drop("failed").toDF("b", "texts", "kind", "x", "x_component"), ["b", "texts", "kind"])
+        .filter(apart)
         .select("s", "x")
     )
-    reach = F.col("same") / need - F.col("size") + 1e-6
-    shortest = other.groupBy("b").agg(F.min("x_size").alias("shortest"))
+
+    other = around.select(
+        "b", F.col("a").alias("x"), F.col("component").alias("x_component"), F.col("size").alias("x_size")
+    )
+    reach = F.col("same") / need - F.col("size") + slack
     short = (
-        single.join(shortest, "b")
+        around.filter("failed").drop("added")
+        .join(shortest, "b")
         .filter(reach >= F.col("shortest"))
         .join(other, "b")
-        .filter(apart & (F.col("x_size") <= reach) & (F.col("x_size") >= threshold * F.col("size") - 1e-6))
+        .filter(apart & (F.col("x_size") <= reach) & (F.col("x_size") >= threshold * F.col("size") - slack))
         .select(F.col("a").alias("s"), "x")
     )
     both = through.unionByName(short)
@@ -323,19 +323,27 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
         edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(),
         "edges",
     )
-    names = edges.select(F.col("x").alias("name"), F.col("x").alias("root")).distinct()
+    names = materialise(
+        edges.groupBy(F.col("x").alias("name")).agg(F.min("y").alias("root")).select(
+            "name", F.least("name", "root").alias("root")
+        ),
+        "names",
+    )
     while True:
-        seen = edges.join(names.toDF("y", "root"), "y").select(F.col("x").alias("name"), "root")
-        lower = names.unionByName(seen).groupBy("name").agg(F.min("root").alias("root"))
-        jumped = (
-            lower.alias("l")
-            .join(lower.select(F.col("name").alias("up"), F.col("root").alias("top")), F.col("l.root") == F.col("up"))
-            .select("name", F.least("root", "top").alias("root"))
+        own = names.select("name", "root", F.col("root").alias("before"))
+        seen = edges.join(names.toDF("y", "root"), "y").select(
+            F.col("x").alias("name"), "root", F.lit(None).cast("binary").alias("before")
+        )
+        lower = own.unionByName(seen).groupBy("name").agg(
+            F.min("root").alias("root"), F.max("before").alias("before")
+        )
+        above = lower.select(F.col("name").alias("root"), F.col("root").alias("top"))
+        names = materialise(
+            lower.join(above, "root").select("name", F.least("root", "top").alias("root"), "before"),
+            "names",
         )
-        after = materialise(jumped, "names")
-        changed = after.join(names.toDF("name", "before"), "name").filter("root != before")
-        settled = changed.isEmpty()
-        names = after
+        settled = names.filter("root != before").isEmpty()
+        names = names.drop("before")
         if settled:
             break
     renamed = labels.join(names.toDF("component", "root"), "component", "left")
