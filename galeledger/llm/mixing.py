@@ -28,8 +28,9 @@ from galeledger.llm.tables import materialise, packed
 
 EPOCHS = 2
 SEED = "mix"
-#: Rows of a slice of a leaf's order, about; 4096 slices at most per step of 16.
-SLICE_ROWS = 50_000
+#: Rows of a slice of the largest leaf's order, at most about; a leaf with a third of all
+#: rows is so dealt over many tasks.
+SLICE_ROWS = 5_000
 
 Level = tuple[str, Column]
 
