@@ -1,18 +1,16 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Benchmark items are partitioned by their length in five-word shingles into classes
-of ``s`` to ``2 s - 1``. For each class a document is cut into segments of ``3 s``
-shingles, one every ``s``, so that each stretch as long as an item lies within a
-segment whose size is near the item's. There a containment of ``t`` is a Jaccard
-similarity of at least ``t / (3 + 1 - t)``, a quarter for 0.8, which 40 hash
-functions with one row per band miss once in 100,000. Minima are computed once per
-block of the smallest class and combined for the others. Items of fewer than four
-shingles are probed by one of their shingles, which any hit must hold.
-
-Documents never meet all items: their minima are tested against a bitmap of fixed
-size of the items' minima (8 MB however many items there are), and the few segments
-that pass are joined to the items by key. Every candidate is verified by the exact
-containment of the item's shingles in the segment.
+A document that holds a share ``t`` of an item's ``n`` distinct five-word shingles
+lacks at most ``n - ceil(t n)`` of them. So the MinHash sketch of an item has as many
+shingles as its size asks for: ``n - ceil(t n) + h`` least ones, of which such a
+document holds at least ``h``, wherever in the document they stand. Shingles of few
+items come first in the order, then the least hashes, so that common phrases don't
+make candidates. Nothing is missed by chance, and repeats within an item don't count.
+
+Documents never meet all items: their shingles are tested against bitmaps of fixed
+size (8 MB however many items there are) of the sketches and of all items' shingles,
+and those that pass are joined to the sketches by key. Every candidate is verified by
+the exact containment of the item's shingles in the whole document.
 """
 
 from __future__ import annotations
@@ -21,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeledger.llm import hashing
@@ -29,14 +27,9 @@ from galeledger.llm.tables import ascending, documents, materialise, packed
 
 CONTAINMENT = 0.8
 SHINGLE_WORDS = 5
-FUNCTIONS = 40
+#: Shingles of an item's sketch that a document must hold, if the item has as many.
+SKETCH_HITS = 4
 BITMAP_BITS = 1 << 26
-#: Items of fewer shingles form class 0.
-LEAST_CLASS = 4
-_RNG = np.random.Generator(np.random.PCG64(9)).integers(0, 1 << 63, size=(2, FUNCTIONS), dtype=np.uint64)
-_A = _RNG[0] * np.uint64(2) + np.uint64(1)
-_B = _RNG[1]
-_PIECE = 1 << 15
 
 
 def contaminated(
@@ -50,8 +43,8 @@ def contaminated(
     item_text_col: str = "text",
 ) -> DataFrame:
     """``(doc_id, item_id, n_shingles, n_shared, containment)`` for every document that
-    holds an item: at least ``threshold`` of the item's distinct shingles in a stretch
-    of the document.
+    holds an item: at least ``threshold`` of the item's distinct shingles, anywhere in
+    the document.
 
     Items without words are in no document; an item of fewer than ``words`` words is
     only in documents of just these words. Null and empty texts hold nothing. Repeated
@@ -65,38 +58,36 @@ def contaminated(
     )
     index = materialise(
         known.mapInArrow(
-            lambda it: _index(it, words),
-            "item_id long, size int, n_shingles long, keys array<long>, shingles array<long>",
-        ),
+            lambda it: _index(it, words), "item_id long, n_shingles long, shingles array<long>"
+        ).withColumn("set_id", F.xxhash64("shingles")),
         "items",
     )
-    # A power of two per class, so at most 64 numbers.
-    classes = sorted(r["size"] for r in index.select("size").distinct().collect())
-    keys = index.select("item_id", F.explode("keys").alias("key"))
-    spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(_bitmap(keys))
+    sets = index.dropDuplicates(["set_id"]).select("set_id", "n_shingles", "shingles")
+    sketch = materialise(_sketches(sets, threshold), "sketches")
+    every = _bitmap(sets.select(F.explode("shingles").alias("key")))
+    bits = docs.sparkSession.sparkContext.broadcast((_bitmap(sketch), every))
     found = materialise(
         plain.mapInArrow(
-            lambda it: _probe(it, classes, words, bitmap.value),
-            "doc_id long, segment long, keys array<long>, shingles array<long>",
-        ),
-        "segments",
+            lambda it: _probe(it, words, *bits.value),
+            "doc_id long, keys array<long>, shingles array<long>",
+        ).withColumn("row", F.monotonically_increasing_id()),
+        "found",
     )
     pairs = (
-        found.select("doc_id", "segment", F.explode("keys").alias("key"))
-        .join(keys, "key")
-        .select("doc_id", "segment", "item_id")
-        .distinct()
+        found.select("row", F.explode("keys").alias("key"))
+        .join(sketch, "key")
+        .groupBy("row", "set_id")
+        .agg(F.count(F.lit(1)).alias("hits"), F.min("need").alias("need"))
+        .filter("hits >= need")
+        .select("row", "set_id")
     )
-    wanted = index.select("item_id", "n_shingles", F.col("shingles").alias("of_item"))
-    same = pairs["item_id"].eqNullSafe(wanted["item_id"])
     shared = F.size(F.array_intersect("shingles", "of_item")).cast("long")
     return (
-        pairs.join(wanted, same)
-        .select("doc_id", "segment", pairs["item_id"], "n_shingles", "of_item")
-        .join(found.select("doc_id", "segment", "shingles"), ["doc_id", "segment"])
-        .withColumn("n_shared", shared)
+        pairs.join(sets.withColumnRenamed("shingles", "of_item"), "set_id")
+        .join(found.select("row", "doc_id", "shingles"), "row")
+        .select("doc_id", "set_id", "n_shingles", shared.alias("n_shared"))
         .filter(F.col("n_shared") >= F.col("n_shingles") * F.lit(threshold))
+        .join(index.select("item_id", "set_id").distinct(), "set_id")
         .groupBy("doc_id", "item_id", "n_shingles")
         .agg(F.max("n_shared").alias("n_shared"))
         .withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
@@ -111,20 +102,24 @@ def without_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFr
     return keyed.join(bad, keyed["own_id"] == bad["bad_id"], "left_anti").select("row.*")
 
 
-def _class(n: int) -> int:
-    return 0 if n < LEAST_CLASS else 1 << (n.bit_length() - 1)
-
-
-def _values(x: np.ndarray, j: int) -> np.ndarray:
-    value = x * _A[j]
-    value += _B[j]
-    value >>= np.uint64(32)
-    return value
-
-
-def _keys(size: int, j: int, minima: np.ndarray) -> np.ndarray:
-    """Name of a minimum of hash function ``j`` in a class."""
-    return hashing.mix(minima + (np.uint64(j + 1) << np.uint64(32)), size)
+def _sketches(sets: DataFrame, threshold: float) -> DataFrame:
+    """``(key, set_id, need)``: the sketch of every item and how many of its shingles a
+    document that holds the item has at least."""
+    least = F.greatest(F.ceil(F.col("n_shingles") * F.lit(threshold)), F.lit(1))
+    grams = sets.select(
+        "set_id",
+        (F.col("n_shingles") - least).alias("spare"),
+        F.least(least, F.lit(SKETCH_HITS)).alias("need"),
+        F.explode("shingles").alias("key"),
+    )
+    uses = grams.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    order = Window.partitionBy("set_id").orderBy("uses", "key")
+    return (
+        grams.join(uses, "key")
+        .withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") <= F.col("spare") + F.col("need"))
+        .select("key", "set_id", "need")
+    )
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -136,30 +131,16 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def _index(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for part in hashing.slices(batches):
         x, begins = hashing.shingles(part.column("text"), words)
-        rows, sizes, counts, keys, grams = [], [], [], [], []
-        for row, (a, b) in enumerate(zip(begins[:-1], begins[1:])):
-            own = np.unique(x[a:b])
-            if not len(own):
-                continue
-            size = _class(int(b - a))
-            rows.append(row)
-            sizes.append(size)
-            counts.append(len(own))
-            grams.append(own)
-            if size:
-                least = [_keys(size, j, _values(own, j).min(keepdims=True)) for j in range(FUNCTIONS)]
-                keys.append(np.concatenate(least))
-            else:
-                keys.append(hashing.mix(own[:1], 0))
+        grams = [np.unique(x[a:b]) for a, b in zip(begins[:-1], begins[1:])]
+        rows = [row for row, own in enumerate(grams) if len(own)]
+        grams = [grams[row] for row in rows]
         yield pa.record_batch(
             [
                 part.column("item_id").take(pa.array(rows, pa.int64())),
-                pa.array(sizes, pa.int32()),
-                pa.array(counts, pa.int64()),
-                _lists(keys),
+                pa.array([len(own) for own in grams], pa.int64()),
                 _lists(grams),
             ],
-            ["item_id", "size", "n_shingles", "keys", "shingles"],
+            ["item_id", "n_shingles", "shingles"],
         )
 
 
@@ -185,82 +166,23 @@ def _known(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _probe(
-    batches: Iterator[pa.RecordBatch], classes: list[int], words: int, bits: bytes
+    batches: Iterator[pa.RecordBatch], words: int, sketched: bytes, every: bytes
 ) -> Iterator[pa.RecordBatch]:
-    bitmap = np.frombuffer(bits, np.uint8)
+    """Documents with a shingle that a sketch may have: these shingles, and all that an
+    item may have."""
+    sketch_bits, item_bits = np.frombuffer(sketched, np.uint8), np.frombuffer(every, np.uint8)
     for part in hashing.slices(batches):
         x, begins = hashing.shingles(part.column("text"), words)
-        ids = np.asarray(part.column("doc_id"), np.int64)
-        yield from _hits(x, begins, ids, classes, bitmap)
-
-
-def _hits(x, begins, ids, classes, bitmap) -> Iterator[pa.RecordBatch]:
-    sized = [s for s in classes if s]
-    if 0 in classes and len(x):
-        keys = hashing.mix(x, 0)
-        at = np.flatnonzero(_known(bitmap, keys))
-        text = np.searchsorted(begins, at, side="right") - 1
-        low = np.maximum(begins[text], at - 2 * LEAST_CLASS)
-        high = np.minimum(begins[text + 1], at + 2 * LEAST_CLASS + 1)
-        yield _segments(x, ids[text], at - begins[text], 0, low, high, [keys[i : i + 1] for i in at])
-    if not sized or not len(x):
-        return
-    size = sized[0]
-    blocks = -(-np.diff(begins) // size)
-    first = np.concatenate([[0], np.cumsum(blocks)])
-    document = np.repeat(np.arange(len(ids)), blocks)
-    place = np.arange(first[-1]) - first[document]
-    starts = begins[document] + place * size
-    minima = np.full((FUNCTIONS, len(starts)), 0xFFFFFFFF, np.uint32)
-    for low in range(0, len(x), _PIECE):
-        piece = x[low : low + _PIECE]
-        a = max(np.searchsorted(starts, low, side="right") - 1, 0)
-        b = np.searchsorted(starts, low + len(piece), side="left")
-        at = np.maximum(starts[a:b] - low, 0)
-        for j in range(FUNCTIONS):
-            least = np.minimum.reduceat(_values(piece, j), at).astype(np.uint32)
-            np.minimum(minima[j, a:b], least, out=minima[j, a:b])
-    for step in sized:
-        while size < step:
-            size, minima, first, document, place = _double(size, minima, first, document, place)
-        yield from _class_hits(x, begins, ids, size, minima, first, document, place, bitmap)
-
-
-def _double(size, minima, first, document, place):
-    """Minima of blocks of twice the length."""
-    heads = np.flatnonzero(place % 2 == 0)
-    minima = np.minimum.reduceat(minima, heads, axis=1) if len(heads) else minima[:, :0]
-    document, place = document[heads], place[heads] // 2
-    first = np.searchsorted(document, np.arange(len(first)))
-    return 2 * size, minima, first, document, place
-
-
-def _class_hits(x, begins, ids, size, minima, first, document, place, bitmap):
-    """Segments of three blocks with a minimum that an item of the class may have."""
-    blocks = np.diff(first)[document]
-    heads = np.flatnonzero((place == 0) | (place + 2 < blocks))
-    two = heads + (place[heads] + 1 < blocks[heads])
-    three = heads + np.minimum(2, blocks[heads] - 1 - place[heads])
-    found: dict[int, list[np.ndarray]] = {}
-    for j in range(FUNCTIONS):
-        least = np.minimum(np.minimum(minima[j, heads], minima[j, two]), minima[j, three])
-        keys = _keys(size, j, least.astype(np.uint64))
-        for at in np.flatnonzero(_known(bitmap, keys)):
-            found.setdefault(int(at), []).append(keys[at : at + 1])
-    if not found:
-        return
-    rows = np.array(sorted(found))
-    head, text = heads[rows], document[heads[rows]]
-    low = begins[text] + place[head] * size
-    high = np.minimum(begins[text + 1], low + 3 * size)
-    keys = [np.concatenate(found[r]) for r in rows]
-    yield _segments(x, ids[text], place[head], size, low, high, keys)
-
-
-def _segments(x, ids, place, size, low, high, keys) -> pa.RecordBatch:
-    grams = [np.unique(x[a:b]) for a, b in zip(low, high)]
-    name = place.astype(np.int64) * 64 + int(size).bit_length()
-    return pa.record_batch(
-        [pa.array(ids), pa.array(name), _lists(keys), _lists(grams)],
-        ["doc_id", "segment", "keys", "shingles"],
-    )
+        at = np.flatnonzero(_known(item_bits, x))
+        x = x[at]
+        hit = _known(sketch_bits, x)
+        rows = np.unique(np.searchsorted(begins, at[hit], side="right") - 1)
+        bounds = np.searchsorted(at, begins)
+        keys, grams = [], []
+        for a, b in zip(bounds[rows], bounds[rows + 1]):
+            keys.append(np.unique(x[a:b][hit[a:b]]))
+            grams.append(np.unique(x[a:b]))
+        yield pa.record_batch(
+            [part.column("doc_id").take(pa.array(rows, pa.int64())), _lists(keys), _lists(grams)],
+            ["doc_id", "keys", "shingles"],
+        )

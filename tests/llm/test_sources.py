@@ -60,6 +60,23 @@ def test_contamination_of_odd_rows(table, odd_rows):
     assert decontaminate.without_contaminated(docs, frame.limit(0)).count() == len(odd_rows)
 
 
+def test_contamination_by_items_that_are_spread(table):
+    """Question, answer and parts of an item with other text between them."""
+    rnd = random.Random(17)
+    other = lambda n: [f"o{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    items, docs = [], []
+    for k, n in enumerate([20, 34, 59, 66, 90, 130, 300] * 6):
+        item = [f"w{rnd.randrange(10 ** 6)}" for _ in range(n)]
+        cut = rnd.randint(n // 3, n // 2)
+        gap = (1, n // 2, 5 * n)[k % 3]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(other(k) + item[:cut] + other(gap) + item[cut:] + other(40))))
+        docs.append((1000 + k, " ".join(other(k) + item[cut:] + other(gap) + item[:cut])))
+        docs.append((2000 + k, " ".join(other(k) + item[: int(0.7 * n)] + other(gap))))
+    got = pairs(decontaminate.contaminated(table(docs), table(items, "item_id long, text string")))
+    assert got == brute.contained(docs, items) and len(got) > 70
+
+
 def levels():
     return [(name, F.col(name)) for name in ("domain", "lang", "source")]
 
