@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galeledger.llm.license_forms import forms
+
 # Licence texts and notices, as published.
-LICENSES = {
+_SHORT = {
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any
 purpose with or without fee is hereby granted, provided that the above copyright notice
 and this permission notice appear in all copies.
@@ -46,6 +48,8 @@ DEALINGS IN THE SOFTWARE.""",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "MIT-notice": "Released under the MIT License.",
 }
+#: These and the whole texts of ``license_texts``, each in the forms it is found in.
+LICENSES = forms(_SHORT)
 #: Spellings that count as one, as whole words of the canonical form.
 SPELLINGS = {
     "licence": "license",

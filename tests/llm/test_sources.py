@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +195,30 @@ def test_license_table_with_odd_rows(spark, table):
     assert {(r.doc_id, r.license) for r in licenses.scan(docs, known).collect()} == {(1, "a"), (2, None), (3, None)}
     assert licenses.scan(docs, known.limit(0)).count() == 3
     assert licenses.scan(docs.limit(0), known).collect() == []
+
+
+def published(name):
+    return (Path(licenses.__file__).parent / "license_texts" / f"{name}.txt").read_text()
+
+
+def test_whole_license_files(table, spark):
+    """Files as they are commonly found: titles, holders, other line lengths."""
+    mit, isc = licenses.LICENSES["MIT"], licenses.LICENSES["ISC"]
+    apache = published("Apache-2.0")
+    bsd = next(t for n, t in licenses.LICENSES.items() if n == "BSD-3-Clause")
+    files = {
+        "MIT": ["MIT License\n\nCopyright (c) 2020 Some Body\n\n" + mit, "The MIT License (MIT)\n\n" + mit],
+        "ISC": ["ISC License\n\nCopyright (c) 2021, Some Body\n\n" + isc],
+        "Apache-2.0": [
+            apache,
+            apache.replace("[yyyy] [name of copyright owner]", "2019 Some Body"),
+            apache[: apache.index("   APPENDIX")],
+            apache[apache.rindex("   Licensed under the") :],
+        ],
+        "BSD-3-Clause": ["BSD 3-Clause License\n\nCopyright (c) 2015, Some Body\nAll rights reserved.\n\n" + bsd],
+    }
+    files |= {n: [published(n)] for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense")}
+    wanted = dict(enumerate(name for name, texts in files.items() for _ in texts))
+    docs = table(list(enumerate(text for texts in files.values() for text in texts)))
+    got = licenses.scan(docs, licenses.known_licenses(spark)).collect()
+    assert {r.doc_id: r.license for r in got} == wanted
