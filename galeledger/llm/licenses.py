@@ -1,7 +1,7 @@
 """License scans by canonical digests.
 
-A text is brought to a canonical form: lower case, lines that begin with a copyright
-notice left out, equivalent spellings replaced, and everything but letters and digits
+A text is brought to a canonical form: lower case, copyright notices at the start of
+lines (a mark with a year or second mark, and the holder) left out, equivalent spellings replaced, and everything but letters and digits
 turned to single spaces. The digest of the form is looked up among the digests of
 known licences by a hash join; so are the digests of single lines, which finds notices
 inside longer texts. Only DataFrame operations are used.
@@ -63,7 +63,30 @@ SPELLINGS = {
     "ver": "version",
     "v": "version",
 }
-_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|©|\(c\))[^\n]*$"
+def _unlike(starts: tuple[str, ...], first: str = r"[^\s.]") -> str:
+    """Pattern of the part of a word up to where it differs from all ``starts``; written
+    without looking ahead, which the SQL form cannot."""
+    letters: dict[str, list[str]] = {}
+    for start in starts:
+        letters.setdefault(start[0], []).append(start[1:])
+    out = [rf"[^\s.{''.join(sorted(letters))}][^\s.]*"]
+    for letter, rest in sorted(letters.items()):
+        if all(rest):
+            out.append(f"{letter}(?:{_unlike(tuple(rest))})?")
+    return "|".join(out)
+
+
+#: Words that no holder's name goes on with.
+_LICENSE_WORDS = ("licens", "licenc", "permi", "redistribut", "distribut", "released")
+_YEAR = r"(?:(?:19|20)\d\d|[<\[{](?:yyyy|year))[^\s]*"
+_NAME_WORD = rf"(?:(?:{_unlike(_LICENSE_WORDS)})(?:\.[^\s.]+)*|(?:inc|ltd|corp|co|llc|jr|gmbh|[a-z])\.[,]?)"
+#: A notice at the start of a line: the mark, years (or a second mark) and the holder up to
+#: the end of the sentence or line, or to a word of a licence.
+_COPYRIGHT = (
+    r"(?m)^[^\p{L}\p{N}\n]*"
+    rf"(?:(?:copyright|©)[ \t:]*(?:\(c\)|©)[ \t,]*|(?:copyright|©|\(c\))[ \t:]*{_YEAR})"
+    rf"[ \t]*(?:{_NAME_WORD}(?:[ \t]+|$)){{0,40}}(?:{_NAME_WORD}\.)?(?:[ \t]+all rights reserved\.?)?"
+)
 
 
 def canonical(text: Column) -> Column:

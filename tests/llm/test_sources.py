@@ -222,3 +222,21 @@ def test_whole_license_files(table, spark):
     docs = table(list(enumerate(text for texts in files.values() for text in texts)))
     got = licenses.scan(docs, licenses.known_licenses(spark)).collect()
     assert {r.doc_id: r.license for r in got} == wanted
+
+
+def test_only_the_copyright_notice_is_removed(table, spark):
+    mit = " ".join(licenses.LICENSES["MIT"].split())
+    texts = [
+        "Copyright 2020 Foo. Licensed under CC BY 4.0.",
+        "Copyright (c) 2020 Foo Bar, Inc. " + mit,
+        "Copyright (c) 2019-2021 Foo Bar " + mit,
+        "© 2020 Foo Bar <foo@bar.org>. All rights reserved.\n" + mit,
+        mit.replace("OR COPYRIGHT", "OR\nCOPYRIGHT").replace("above copyright", "above\ncopyright"),
+        "Copyright reform passed the vote",
+        "Copyright reform failed",
+        "(c) a third item",
+        "(c) another item",
+    ]
+    got = sorted(licenses.scan(table(list(enumerate(texts))), licenses.known_licenses(spark)).collect())
+    assert [r.license for r in got] == ["CC-BY-4.0"] + ["MIT"] * 4 + [None] * 4
+    assert len({r.digest for r in got}) == 6
