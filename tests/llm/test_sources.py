@@ -78,6 +78,19 @@ def test_contamination_by_items_that_are_spread(table):
     assert got == brute.contained(docs, items) and len(got) > 70
 
 
+def test_contamination_by_repetitive_items(table):
+    """Items of 56 shingles of which six are distinct."""
+    items, docs = [], []
+    for k in range(80):
+        cycle = [f"r{k}x{i}" for i in range(6)]
+        text = [cycle[i % 6] for i in range(60)]
+        items.append((k, " ".join(text)))
+        other = [f"o{k}x{i}" for i in range(400)]
+        docs.append((k, " ".join(other[:200] + text[:10] + other[200:])))
+    got = pairs(decontaminate.contaminated(table(docs), table(items, "item_id long, text string")))
+    assert got == brute.contained(docs, items) and len(got) == 80
+
+
 def levels():
     return [(name, F.col(name)) for name in ("domain", "lang", "source")]
 
