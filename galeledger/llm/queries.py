@@ -16,6 +16,7 @@ from galeledger.llm import (
     substring_dedup,
     token_counts,
     token_files,
+    vector_codes,
 )
 from galeledger.session import scratch_path
 
@@ -91,6 +92,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(_documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector under trained codebooks."""
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -102,6 +108,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 
@@ -244,10 +251,54 @@ reached AS (
 SELECT doc_id, min(other) AS class_id FROM reached GROUP BY 1
 """
 
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignment and new entries of each round, as named subqueries."""
+    return ",".join(
+        f"""
+near{r} AS MATERIALIZED (
+  SELECT i, part, min(d * 256 + entry) AS best
+  FROM (SELECT i, part, entry, sum((x - y) * (x - y))::BIGINT AS d
+        FROM parts JOIN book{r} USING (part, pos) GROUP BY ALL) GROUP BY ALL),
+new{r} AS (
+  SELECT part, best % 256 AS entry, pos, floor(sum(x) / count(*))::BIGINT AS y
+  FROM near{r} JOIN parts USING (i, part) GROUP BY ALL),
+book{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce(n.y, b.y) AS y
+  FROM book{r} b LEFT JOIN new{r} n ON b.part = n.part AND b.entry = n.entry AND b.pos = n.pos)"""
+        for r in range(rounds)
+    )
+
+
+_CODES_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS i, vec_id, label, embedding
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT i, (k - 1) // (n // 4) AS part, (k - 1) % (n // 4) AS pos, floor(1024 * v::DOUBLE)::BIGINT AS x
+  FROM (SELECT i, len(embedding) AS n, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS k FROM kept)),
+book0 AS MATERIALIZED (SELECT part, i AS entry, pos, x AS y FROM parts WHERE i < 256),
+{_rounds_sql(4)},
+last AS (
+  SELECT i, part, min(d * 256 + entry) AS best
+  FROM (SELECT i, part, entry, sum((x - y) * (x - y))::BIGINT AS d
+        FROM parts JOIN book4 USING (part, pos) GROUP BY ALL) GROUP BY ALL),
+coded AS (
+  SELECT vec_id, label, string_agg(right('0' || lower(to_hex(best % 256)), 2), '' ORDER BY part) AS code,
+    sum(best // 256)::BIGINT AS error
+  FROM last JOIN kept USING (i) GROUP BY i, vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book4) AS codebooks_sha256
+FROM coded
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": _SUBSTRINGS_SQL.replace("\\\\", "\\"),
     "op3_dart_minhash": _CLASSES_SQL.replace("\\\\", "\\"),
     "op9_decontamination": _CONTAINED_SQL.replace("\\\\", "\\"),
     "op2_mixing": _MIXING_SQL.replace("\\\\", "\\"),
     "op7_license_scan": _LICENSES_SQL.replace("\\\\", "\\"),
+    "op11_vector_codes": _CODES_SQL,
 }
