@@ -13,6 +13,7 @@ from galeledger.llm import (
     minhash,
     mixing,
     quality,
+    resample,
     substring_dedup,
     token_counts,
     token_files,
@@ -97,6 +98,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the words of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resample.resample(_documents(spark, sf_dir), items)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -109,6 +116,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
     "op11_vector_codes": op11_vector_codes,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 
