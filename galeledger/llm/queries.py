@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from galeledger.llm import (
     dart_minhash,
     decontaminate,
+    html_extraction,
     language_id,
     licenses,
     minhash,
@@ -104,6 +105,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_documents(spark, sf_dir), items)
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -117,6 +123,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_vector_codes": op11_vector_codes,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 
