@@ -41,7 +41,7 @@ _NUMBER_START = r"(?iU)(?<!\d)"
 _COUNT = f"({COUNT_SHAPE.replace('{space}', SPACE)})"
 
 
-def _first_of(key: str, rows: Column) -> Column:
+def first_of(key: str, rows: Column) -> Column:
     """Keep the first row per ``key``, order unchanged."""
     return let(
         F.transform(rows, lambda r: r[key]),
@@ -214,7 +214,7 @@ def _known_places(low: Column, gazetteer: Sequence[Place]) -> Column:
     )
     found = F.filter(rows, lambda p: F.contains(low, p["stem"]))
     return F.transform(
-        let(found, lambda f: _first_of("name", f)),
+        let(found, lambda f: first_of("name", f)),
         lambda p: F.struct(
             p["name"].alias("name"), p["type"].alias("type"), p["confidence"].alias("confidence")
         ),
@@ -266,7 +266,7 @@ def _damage_types(low: Column, phrases: Sequence[DamagePhrase]) -> Column:
     )
     found = F.filter(rows, lambda p: F.contains(low, p["phrase"]))
     return F.transform(
-        let(found, lambda f: _first_of("type", f)),
+        let(found, lambda f: first_of("type", f)),
         lambda p: F.struct(p["type"].alias("type"), p["confidence"].alias("confidence")),
     )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -217,25 +217,23 @@ def runs_of(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, runs).otherwise(strings())
 
 
-def name_grams(text: Column, lengths: Sequence[int]) -> Column:
-    """Runs of tokens of the given lengths by position, shorter runs first."""
+def likely_names(
+    text: Column,
+    lengths: Sequence[int],
+    begins: Callable[[Column], Column],
+    known: Callable[[Column], Column],
+) -> Column:
+    """The different runs of tokens of the given lengths, by first position, shorter runs
+    first, whose first token passes ``begins`` and which pass ``known`` themselves."""
     sizes = constant(sorted(lengths), "array<int>")
 
     def at(tokens: Column, i: Column) -> Column:
         fitting = F.filter(sizes, lambda n: n <= F.size(tokens) - i + 1)
-        return F.transform(fitting, lambda n: F.array_join(F.slice(tokens, i, n), " "))
+        return F.filter(F.transform(fitting, lambda n: F.array_join(F.slice(tokens, i, n), " ")), known)
 
     def runs(tokens: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens))
-        found = F.flatten(F.transform(starts, lambda i: at(tokens, i)))
-        return F.when(F.size(tokens) > 0, found).otherwise(strings())
+        every = F.sequence(F.lit(1), F.size(tokens))
+        starts = F.filter(every, lambda i: begins(F.element_at(tokens, i)))
+        return F.array_distinct(F.flatten(F.transform(starts, lambda i: at(tokens, i))))
 
-    return let(name_tokens(text), runs)
-
-
-def distinct_names(text: Column, lengths: Sequence[int]) -> Column:
-    """The different runs of tokens of the given lengths, in no useful order."""
-    return let(
-        name_tokens(text),
-        lambda t: F.array_distinct(F.concat(*[runs_of(t, n) for n in sorted(lengths)])),
-    )
+    return let(name_tokens(text), lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(strings()))

@@ -15,14 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeledger.functions.columns import constant, let, once, strings
-from galeledger.functions.events import locations, place_names
-from galeledger.functions.text import distinct_names, name_grams, name_tokens
+from galeledger.functions.events import first_of, locations, place_names
+from galeledger.functions.text import likely_names, name_tokens
+from galeledger.operators.filters import key_filter
 from galeledger.operators.joins import per_key
+from galeledger.session import materialise
 from galeledger.vocab import LOCATION_STOPWORDS, Place
 
 #: A table of at most so many rows and characters becomes a literal list.
 SMALL_ROWS = 1000
 SMALL_CHARS = 50_000
+#: Characters of the piece that stands for a stem.
+PIECE = 4
 MENTION = "array<struct<name:string,type:string,confidence:double>>"
 _LAST = (1 << 63) - 1
 
@@ -60,48 +64,45 @@ def clean_stems(gazetteer: DataFrame) -> DataFrame:
 
 
 def _pieces(low: Column, size: int) -> Column:
-    """Distinct pieces of ``size`` characters of a text."""
-    starts = F.sequence(F.lit(1), F.length(low) - (size - 1))
-    cut = F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(size))))
-    return F.when(F.length(low) >= size, cut).otherwise(strings())
+    """Distinct pieces of ``size`` characters of a text, cut in one pass."""
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def stem_hits(articles: DataFrame, stems: DataFrame, text: str = "text") -> DataFrame:
-    """``(text_key, ord, name, type, confidence)`` of every clean stem in a text.
+def keyed_stems(stems: DataFrame, size: int = PIECE) -> DataFrame:
+    """Clean stems with ``piece``, the piece of ``size`` characters that fewest stems
+    share (ties: the least); a shorter stem is its own piece. One row per stem."""
+    whole = F.struct("ord", "name", "type", "confidence", "stem")
+    cut = F.when(F.length("stem") < size, F.array("stem")).otherwise(_pieces(F.col("stem"), size))
+    pieces = stems.distinct().select(whole.alias("place"), F.explode(cut).alias("piece"))
+    counts = per_key(pieces, "piece").agg(F.count(F.lit(1)).alias("n")).select("key.*", "n")
+    rarest = pieces.join(counts, "piece").groupBy("place").agg(F.min(F.struct("n", "piece")).alias("least"))
+    return rarest.select("place", "least.piece")
 
-    Containment becomes equality: a text's pieces of each length that a stem has are
-    joined to the stems. One number per different length comes to the driver.
-    """
-    lengths = sorted(r["n"] for r in stems.select(F.length("stem").alias("n")).distinct().collect())
-    pieces = let(
-        F.lower("text"),
-        lambda low: F.concat(strings(), *[_pieces(low, n) for n in lengths]),
-    )
-    return (
-        _keyed(articles, text)
-        .select("text_key", F.explode(pieces).alias("stem"))
-        .join(stems, "stem")
-        .select("text_key", "ord", "name", "type", "confidence")
-        .distinct()
-    )
 
+def stem_candidates(articles: DataFrame, stems: DataFrame, text: str = "text", size: int = PIECE) -> DataFrame:
+    """``(text_key, places)``: per text the places whose rarest piece it has.
 
-def _mentions(hits: DataFrame) -> DataFrame:
-    """Hits of a text as one array in gazetteer order, each name once."""
-    first = hits.groupBy("text_key", "name").agg(
-        F.min(F.struct("ord", "type", "confidence")).alias("m")
-    )
-    ordered = F.array_sort(
-        F.collect_list(F.struct("m.ord", "name", "m.type", "m.confidence"))
-    )
-    mentions = F.transform(
-        ordered,
-        lambda m: F.struct(
-            m["name"].alias("name"), m["type"].alias("type"), m["confidence"].alias("confidence")
-        ),
+    A text gives its distinct pieces of one size, and of the shorter sizes that stems have,
+    however many lengths stems have; of these only the ones that a filter of the pieces
+    in use lets through are shuffled. At most ``size`` numbers and a filter of bounded size
+    come to the driver.
+    """
+    keyed = materialise(keyed_stems(stems, size), "stems")
+    sizes = [r["n"] for r in keyed.select(F.length("piece").alias("n")).distinct().collect()]
+    known = key_filter(keyed.select("piece").distinct(), "piece")
+    pieces = let(F.lower("text"), lambda low: F.concat(strings(), *[_pieces(low, n) for n in sorted(sizes)]))
+    found = _keyed(articles, text).select("text_key", F.explode(F.filter(pieces, known)).alias("piece"))
+    grouped = per_key(found.join(keyed, "piece"), "text_key").agg(F.collect_set("place").alias("places"))
+    return grouped.select("key.*", "places")
+
+
+def _mentions(low: Column, places: Column) -> Column:
+    """The places whose stem the text contains, in gazetteer order, each name once."""
+    found = F.array_sort(F.filter(places, lambda p: F.contains(low, p["stem"])))
+    return F.transform(
+        first_of("name", found),
+        lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type"), p["confidence"].alias("confidence")),
     )
-    grouped = per_key(first, "text_key").agg(mentions.alias("mentions"))
-    return grouped.select("key.*", "mentions")
 
 
 def with_locations(
@@ -127,12 +128,13 @@ def with_locations(
             for r in sorted(rows, key=order)
         ]
         return articles.select("*", once(locations(text, tuple(places)), name))
-    mentions = _mentions(stem_hits(articles, stems, text)).withColumnRenamed("mentions", name)
+    found = stem_candidates(articles, stems, text)
     keyed = articles.select("*", once(text_key(F.col(text)), "text_key"))
+    mentions = let(F.lower(text), lambda low: _mentions(low, F.col("places")))
     return (
-        keyed.join(mentions, "text_key", "left")
-        .withColumn(name, F.coalesce(name, constant([], MENTION)))
-        .drop("text_key")
+        keyed.join(found, "text_key", "left")
+        .withColumn(name, F.when(F.col("places").isNotNull(), mentions).otherwise(constant([], MENTION)))
+        .drop("text_key", "places")
     )
 
 
@@ -151,20 +153,23 @@ def clean_names(names: DataFrame, stopwords: Sequence[str] = LOCATION_STOPWORDS)
     ).agg(F.min("name").alias("name")).select("key.*", "name")
 
 
-def name_hits(
-    articles: DataFrame, listed: DataFrame, lengths: Sequence[int], text: str = "text"
-) -> DataFrame:
-    """``(text_key, found)``: keys and names of the listed names in a text.
+def name_hits(articles: DataFrame, listed: DataFrame, text: str = "text") -> DataFrame:
+    """``(text_key, found)``: the listed names in a text, by position.
 
-    Both sides of the join are distinct per text and name, so a frequent word makes
-    only the article side hot, which adaptive execution splits; copies of a text
-    merge map-side.
+    Runs of words are formed only where a word stands that begins a name, and only those
+    that a filter of all names lets through are shuffled; both filters are of bounded
+    size. One number per different length comes to the driver. Both sides of the join are
+    distinct per text and name, so a frequent name makes only the article side hot, which
+    adaptive execution splits; copies of a text merge map-side.
     """
-    grams = _keyed(articles, text).select(
-        "text_key", F.explode(distinct_names(F.col("text"), lengths)).alias("key")
+    lengths = [r["words"] for r in listed.select("words").distinct().collect()]
+    firsts = listed.select(F.substring_index("key", " ", 1).alias("first")).distinct()
+    runs = likely_names(F.col("text"), lengths, key_filter(firsts, "first"), key_filter(listed, "key"))
+    keys = _keyed(articles, text).select("text_key", F.posexplode(runs).alias("at", "key"))
+    found = per_key(keys.join(listed.select("key", "name"), "key"), "text_key")
+    return found.agg(F.collect_set(F.struct("at", "name")).alias("found")).select(
+        "key.*", F.transform(F.array_sort("found"), lambda f: f["name"]).alias("found")
     )
-    found = per_key(grams.join(listed.select("key", "name"), "key"), "text_key")
-    return found.agg(F.collect_set(F.struct("key", "name")).alias("found")).select("key.*", "found")
 
 
 def with_other_names(
@@ -188,15 +193,10 @@ def with_other_names(
     if rows is not None:
         short = tuple((r["key"], r["name"]) for r in rows)
         return articles.select("*", once(place_names(F.col(text), short), name))
-    lengths = [r["words"] for r in listed.select("words").distinct().collect()]
-    if not lengths:
-        return articles.select("*", once(strings(), name))
-    found = name_hits(articles, listed, lengths, text)
+    found = name_hits(articles, materialise(listed, "names"), text)
     keyed = articles.select("*", once(text_key(F.col(text)), "text_key"))
-    by_position = F.array_intersect(name_grams(F.col(text), lengths), F.col("found.key"))
-    reported = F.transform(by_position, lambda k: F.element_at(F.map_from_entries("found"), k))
     return (
         keyed.join(found, "text_key", "left")
-        .withColumn(name, F.when(F.col("found").isNotNull(), reported).otherwise(strings()))
+        .withColumn(name, F.coalesce("found", strings()))
         .drop("text_key", "found")
     )

@@ -46,3 +46,29 @@ def evaluate(texts):
         return [r["v"] for r in sorted(rows, key=lambda r: r["id"])]
 
     return run
+
+
+@pytest.fixture
+def hot_plan(spark):
+    """Plan after running a query with no table known to be small and thresholds
+    low enough for the test data to count as skewed."""
+    settings = {
+        "spark.sql.shuffle.partitions": "64",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+
+    def run(df):
+        rows = df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString()
+        return rows, text[: text.index("Initial Plan")]
+
+    yield run
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)

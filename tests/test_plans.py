@@ -88,32 +88,6 @@ def test_scans_read_only_what_is_used(plan, name, columns):
     assert {c.split(":")[0] for c in schema.split(",")} == columns
 
 
-@pytest.fixture
-def final_plan(spark):
-    """Plan after running a query with no table known to be small and thresholds
-    low enough for the test data to count as skewed."""
-    settings = {
-        "spark.sql.shuffle.partitions": "64",
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
-    }
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-
-    def run(df):
-        rows = df.collect()
-        text = df._jdf.queryExecution().executedPlan().toString()
-        return rows, text[: text.index("Initial Plan")]
-
-    yield run
-    for key, value in before.items():
-        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
 @pytest.fixture
 def hot_rows(spark):
     """Half of all rows are copies of one text with one url."""
@@ -127,20 +101,20 @@ def hot_rows(spark):
     )
 
 
-def test_a_hot_text_is_split_when_it_is_joined(spark, final_plan, hot_rows):
+def test_a_hot_text_is_split_when_it_is_joined(spark, hot_plan, hot_rows):
     names = spark.createDataFrame([("Antsla vald",), ("Rõuge",)], "name string")
     found = with_other_names(hot_rows, names, small=0)
-    rows, plan = final_plan(found.select("id", F.array_join("other_names", ",").alias("n")))
+    rows, plan = hot_plan(found.select("id", F.array_join("other_names", ",").alias("n")))
     assert Counter(r["n"] for r in rows) == {"Antsla vald": 20_000, "Rõuge": 20_000}
     assert plan.count("skew=true") == 2
 
 
 @pytest.mark.parametrize("side", ["left", "right"])
-def test_a_hot_url_is_split_on_either_side_of_a_left_join(final_plan, hot_rows, side):
+def test_a_hot_url_is_split_on_either_side_of_a_left_join(hot_plan, hot_rows, side):
     single = hot_rows.select("url").distinct().withColumn("n", F.lit(1))
     few = single.unionByName(single.select(F.concat(F.lit("no"), "url").alias("url"), "n"))
     left, right = (hot_rows, single) if side == "left" else (few, hot_rows)
-    rows, plan = final_plan(joins.left_by_url(left, right))
+    rows, plan = hot_plan(joins.left_by_url(left, right))
     assert len(rows) == (40_000 if side == "left" else 40_000 + 20_001)
     assert "skew=true" in plan
 
@@ -153,14 +127,14 @@ def test_transcripts_are_shuffled_once(plan, spark):
 
 
 @pytest.mark.parametrize("kind", ["semi", "anti", "transcripts"])
-def test_a_hot_url_is_split_when_it_is_joined(final_plan, hot_rows, kind):
+def test_a_hot_url_is_split_when_it_is_joined(hot_plan, hot_rows, kind):
     other = hot_rows.filter("id % 4 < 2").select("url", F.col("text").alias("transcript"))
     joined = {
         "semi": lambda: joins.semi_by_url(hot_rows, other),
         "anti": lambda: joins.anti_natural(hot_rows, other.select("url")),
         "transcripts": lambda: prepare.attach_transcripts(hot_rows, other),
     }[kind]()
-    rows, plan = final_plan(joined)
+    rows, plan = hot_plan(joined)
     assert len(rows) == {"semi": 30_000, "anti": 10_000, "transcripts": 40_000}[kind]
     # The chosen row of a url is looked up before its text is.
     assert plan.count("skew=true") == (2 if kind == "transcripts" else 1)

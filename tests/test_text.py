@@ -10,9 +10,8 @@ from galeledger.functions.columns import python_round2
 from galeledger.functions.geo import dms_to_degrees
 from galeledger.functions.text import (
     ascii_digits,
-    distinct_names,
+    likely_names,
     mentions_any,
-    name_grams,
     scan_groups,
     whole_word_hits,
 )
@@ -78,12 +77,15 @@ def test_digits_of_any_script(evaluate):
     assert evaluate(["٢٥", "12", "１２३", "𝟗", "a"], ascii_digits) == ["25", "12", "123", "9", "a"]
 
 
-def test_name_grams(evaluate):
-    grams = evaluate(["Lääne-Nigula vald, X", "", None], lambda t: name_grams(t, [1, 2]))
+def test_likely_names(evaluate):
+    every = lambda v: F.lit(True)
+    grams = evaluate(["Lääne-Nigula vald, X", "", None], lambda t: likely_names(t, [1, 2], every, every))
     assert grams[0] == ["Lääne-Nigula", "Lääne-Nigula vald", "vald", "vald X", "X"]
     assert not grams[1] and not grams[2]
-    names = evaluate(["a b a b", "a"], lambda t: distinct_names(t, [1, 2, 3]))
-    assert [sorted(n) for n in names] == [["a", "a b", "a b a", "b", "b a", "b a b"], ["a"]]
+    names = evaluate(["a b a b", "a"], lambda t: likely_names(t, [1, 2, 3], every, every))
+    assert names == [["a", "a b", "a b a", "b", "b a", "b a b"], ["a"]]
+    some = evaluate(["a b a b"], lambda t: likely_names(t, [1, 2, 3], lambda v: v == "b", lambda v: v != "b a"))
+    assert some == [["b", "b a b"]]
 
 
 def test_coordinates(evaluate):
