@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from galeledger.functions.columns import let, once
 from galeledger.functions.text import mentions_any, quote
 from galeledger.operators.joins import per_key
+from galeledger.session import materialise
 from galeledger.vocab import HEADING_PREFIX, PREFILTER_STEMS
 
 
@@ -39,16 +40,22 @@ def attach_transcripts(
     """Give each archive record the transcript of its ``url``.
 
     Of several transcripts of a url the greatest by the columns ``latest`` counts
-    (default: ``landed``, if the table has it) among those that are not null, ties by
-    text; so the result has exactly the rows of ``contents``.
-
-    The choice is made on the keys alone. The texts are shuffled once, for the join on
-    url and chosen row, where a hot url on the archive side is split.
+    (default: ``landed``, if the table has it) among those that are not null, ties by a
+    digest of the text; equal rows count as one. So the result has exactly the rows of
+    ``contents``, whatever order the transcripts come in.
+
+    The transcripts are read once and written to the shared folder, where each row has a
+    number that stays the same however often a task is run. The choice is made on the
+    keys alone. The texts are shuffled once, for the join on url and chosen row, where a
+    hot url on the archive side is split.
     """
     if latest is None:
         latest = [c for c in ("landed",) if c in transcripts.columns]
-    rank = F.struct(*latest, F.xxhash64("transcript"), F.monotonically_increasing_id())
+    rank = F.struct(
+        *latest, F.unhex(F.sha2("transcript", 256)).alias("digest"), F.monotonically_increasing_id().alias("row")
+    )
     texts = transcripts.filter("transcript IS NOT NULL").select("url", "transcript", rank.alias("__rank"))
+    texts = materialise(texts, "transcripts")
     chosen = per_key(texts, "url").agg(F.max("__rank").alias("__rank")).select("key.*", "__rank")
     records = contents.join(chosen, "url", "left")
     return records.join(texts, ["url", "__rank"], "left").drop("__rank")

@@ -186,6 +186,31 @@ def test_threshold_categories_and_borderline(articles):
     assert rows(reports.borderline_sample(judged)) == [("e", 0.62, ["severe_weather"])]
 
 
+# --- transcripts ------------------------------------------------------------------
+
+
+def test_a_transcript_is_found_whatever_order_its_source_has(spark):
+    """Equal landings and ties, from a source that comes in another order each time it is
+    read: every record has one transcript, always the same one."""
+    landings = [(f"u{i % 50}", f"text {i % 7}" if i % 11 else None, i % 3) for i in range(600)]
+    landings += [("u1", "text 1", 2)] * 40 + [(None, "no url", 9), ("u50", None, 9)]
+    source = spark.createDataFrame(landings, "url string, transcript string, landed int")
+    contents = spark.createDataFrame([(f"u{i % 52}", i) for i in range(104)] + [(None, 1)], "url string, n int")
+    seen = set()
+    for order in (F.rand(), F.rand(), F.col("transcript"), F.desc("landed")):
+        found = prepare.attach_transcripts(contents, source.orderBy(order).repartition(5))
+        seen.add(tuple(sorted(map(tuple, found.select("n", "url", "transcript").collect()), key=str)))
+    (found,) = seen
+    assert len(found) == 105
+    latest = {}
+    for url, text, landed in landings:
+        if url and text and landed >= latest.get(url, (-1, set()))[0]:
+            same = latest[url][1] if url in latest and latest[url][0] == landed else set()
+            latest[url] = (landed, same | {text})
+    for _, url, text in found:
+        assert text in latest[url][1] if url in latest else text is None
+
+
 # --- gazetteer tables -------------------------------------------------------------
 
 STEMS = [
