@@ -127,17 +127,21 @@ def export_archive(spark: SparkSession, contents_path: str, output_path: str, fm
 
 
 def check_filter(
-    spark: SparkSession, archive_csv: str, filtered_csv: str, columns: Sequence[str] = ("url",)
+    spark: SparkSession,
+    archive_csv: str,
+    filtered_csv: str,
+    columns: Sequence[str] = ("url",),
+    multiline: bool | None = None,
 ) -> dict[str, DataFrame]:
     """A filter's output against the archive, both as CSV files with a ``url`` column.
 
     ``found``: archive records whose url was filtered; ``joined``: every filtered row
     with its archive record; ``unlike``: filtered rows without an equal archive record
     in all shared columns; ``missed``: the chosen columns of the archive records with
-    the urls of these.
+    the urls of these. ``multiline`` as in :func:`galeledger.sources.files.read_csv`.
     """
-    archive = read_csv(spark, archive_csv, None)
-    filtered = read_csv(spark, filtered_csv, None)
+    archive = read_csv(spark, archive_csv, None, multiline)
+    filtered = read_csv(spark, filtered_csv, None, multiline)
     unlike = anti_natural(filtered, archive)
     more = archive.select("url", *[F.col(c).alias(f"archive_{c}") for c in archive.columns if c != "url"])
     return {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -142,12 +143,41 @@ def read_transcripts(spark: SparkSession, path: Path, fmt: str = "jsonl") -> Dat
     )
 
 
+#: A line that doesn't end inside a quoted field.
+_CLOSED_LINE = r'^(?:(?:"(?:[^"]|"")*+"[^,]*+|[^",][^,]*+)?(?:,|$))*+$'
+
+
+def fields_have_breaks(spark: SparkSession, path: Path) -> bool:
+    """Whether a line of the files ends inside a quoted field, by one pass over the lines
+    that ends at the first one found in each task."""
+    lines = spark.read.text(path)
+    return not lines.filter(~F.col("value").rlike(_CLOSED_LINE)).isEmpty()
+
+
+def largest_file(spark: SparkSession, path: Path) -> int:
+    """Bytes of the largest file, from the listing."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.agg(F.max("length")).first()[0] or 0
+
+
+def split_bytes(spark: SparkSession) -> int:
+    """Files up to this size are one task for any reader."""
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    number, unit = re.fullmatch(r"(\d+)\s*([a-zA-Z]*)", size.strip()).groups()
+    return int(number) << 10 * "bkmgtp".index((unit.lower() or "b")[0])
+
+
 def read_csv(
-    spark: SparkSession, path: Path, schema: T.StructType | None, multiline: bool = True
+    spark: SparkSession, path: Path, schema: T.StructType | None, multiline: bool | None = None
 ) -> DataFrame:
-    """Headered CSV, empty fields missing; switch ``multiline`` off to split files
-    without line breaks inside fields, which are else one task each. Without a schema
-    all fields are text."""
+    """Headered CSV, empty fields missing. Without a schema all fields are text.
+
+    Files with line breaks inside fields (``multiline``) are one task each, others are
+    split. By default the data decide: where a file is larger than a split, its lines are
+    looked through for one that ends inside a field.
+    """
+    if multiline is None:
+        multiline = largest_file(spark, path) <= split_bytes(spark) or fields_have_breaks(spark, path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.csv(path, header=True, escape='"', multiLine=multiline)
 

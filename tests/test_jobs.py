@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import csv
 import datetime as dt
 import json
 import pathlib
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,6 +216,83 @@ def test_csv_keeps_text_as_it_is(spark, tmp_path):
     assert sorted(map(tuple, back), key=str) == sorted(rows, key=str)
 
 
+@pytest.fixture
+def split_size(spark):
+    """Sets the size of a split for one test."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    yield lambda size: spark.conf.set(key, size)
+    spark.conf.set(key, before)
+
+
+def write_one_csv(path, rows):
+    """One file as a spreadsheet would write it, with quotes only where they are needed."""
+    with path.open("w", newline="", encoding="utf-8") as file:
+        writer = csv.writer(file, lineterminator="\n")
+        writer.writerows([("a", "b"), *rows])
+
+
+def test_a_large_csv_file_is_split_unless_fields_have_line_breaks(spark, tmp_path, split_size):
+    rnd = random.Random(3)
+    make = lambda: "".join(rnd.choice('ab ,"öü') for _ in range(rnd.randint(1, 12))) + "."
+    rows = [(str(i), make()) for i in range(3000)]
+    write_one_csv(tmp_path / "plain.csv", rows)
+    split_size("8192")
+    plain = files.read_csv(spark, str(tmp_path / "plain.csv"), None)
+    assert plain.rdd.getNumPartitions() > 3
+    assert Counter(map(tuple, plain.collect())) == Counter(rows)
+    whole = files.read_csv(spark, str(tmp_path / "plain.csv"), None, multiline=True)
+    assert whole.rdd.getNumPartitions() == 1 and whole.count() == 3000
+    broken = [*rows, ("3000", "one\ntwo"), ("3001", '"\n,\n"')]
+    write_one_csv(tmp_path / "broken.csv", broken)
+    found = files.read_csv(spark, str(tmp_path / "broken.csv"), None)
+    assert Counter(map(tuple, found.collect())) == Counter(broken)
+    # Files that are one task anyway need no look at their lines.
+    split_size("128MB")
+    assert files.split_bytes(spark) == 128 << 20
+    assert files.read_csv(spark, str(tmp_path / "broken.csv"), None).count() == 3002
+
+
+def test_check_filter_splits_its_files(spark, tmp_path, split_size):
+    write_one_csv(tmp_path / "archive.csv", [(f"u{i}", "x") for i in range(4000)])
+    (tmp_path / "archive.csv").write_text((tmp_path / "archive.csv").read_text().replace("a,b\n", "url,b\n", 1))
+    (tmp_path / "filtered.csv").write_text("url,b\nu7,x\nu9,y\n")
+    split_size("4096")
+    found = news.check_filter(spark, str(tmp_path / "archive.csv"), str(tmp_path / "filtered.csv"))
+    assert [r["url"] for r in found["missed"].collect()] == ["u9"] and found["found"].count() == 2
+    whole = news.check_filter(spark, str(tmp_path / "archive.csv"), str(tmp_path / "filtered.csv"), multiline=True)
+    assert whole["found"].count() == 2
+
+
+def test_lines_that_end_inside_a_field(spark):
+    """Against reading the line character by character."""
+
+    def open_line(line):
+        at_start = quoted = False
+        at_start, i = True, 0
+        while i < len(line):
+            c = line[i]
+            if quoted:
+                if c == '"' and line[i + 1 : i + 2] == '"':
+                    i += 1
+                elif c == '"':
+                    quoted = False
+            elif at_start and c == '"':
+                quoted, at_start = True, False
+            else:
+                at_start = c == ","
+            i += 1
+        return quoted
+
+    rnd = random.Random(6)
+    lines = ["".join(rnd.choice('a,"') for _ in range(rnd.randint(0, 9))) for _ in range(800)]
+    lines += ['"' * 20_000, "a," * 20_000]
+    found = spark.createDataFrame(list(enumerate(lines)), "i int, v string").select(
+        "i", (~F.col("v").rlike(files._CLOSED_LINE)).alias("open")
+    )
+    assert {r["i"]: r["open"] for r in found.collect()} == {i: open_line(x) for i, x in enumerate(lines)}
+
+
 def test_streamed_files_are_classified_once(spark, tmp_path):
     landing, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     (tmp_path / "in").mkdir()
