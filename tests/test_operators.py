@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galeledger.functions.events import locations
-from galeledger.operators import joins, prepare, reports
+from galeledger.operators import joins, order, prepare, reports
 from galeledger.operators.classify import classify_articles, gated_articles
 from galeledger.operators.order import rows_at, sort_by_date
 from galeledger.operators.places import with_locations, with_other_names
@@ -81,6 +81,37 @@ def test_rows_at_positions(spark):
     assert rows(rows_at(numbers.limit(2), [5], "n")) == []
 
 
+def test_rows_at_positions_among_ties_copies_and_missing_keys(spark):
+    values = [(None, "x"), (2, "b"), (2, "a"), (1, "z"), (2, "a"), (None, None), (2, "a")] + [(3, f"t{i}") for i in range(40)]
+    table = spark.createDataFrame(values, "k int, text string").repartition(4)
+    some = Counter()
+    for p in (3, 4, 5, 6, 7, 48):
+        some.update(rows(rows_at(table, [p], "k")))
+    assert some == Counter(values[1:5] + values[6:7])
+    # All at once: the same rows, copies as often as they occur.
+    assert Counter(rows(rows_at(table, range(1, 60), "k"))) == Counter(values)
+    assert sorted(rows(rows_at(table, [7, 4, 3, 3], "k", "text"))) == [(1, "z"), (2, "a"), (2, "b")]
+    assert rows(rows_at(table, [], "k")) == rows(rows_at(table.limit(0), [1], "k")) == []
+
+
+def test_rows_at_moves_keys_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5000).select((F.col("id") * 7 % 5000).alias("n"), F.repeat(F.lit("x"), 50).alias("text")).write.parquet(path)
+    found = rows_at(spark.read.parquet(path), [10, 4000], "n")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "TakeOrderedAndProject" in plan
+    assert "EqualNullSafe(n," in plan
+    assert [r["n"] for r in found.collect()] == [9, 3999]
+
+
+def test_rows_at_with_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(order, "PART_KEYS", 100)
+    numbers = spark.range(3000).select((F.col("id") * 37 % 1000).alias("n"), "id")
+    found = rows(rows_at(numbers, [1, 2, 3, 4, 1500, 2999, 3000, 3001], "n"))
+    assert [r[0] for r in found] == [0, 0, 0, 1, 499, 999, 999]
+    assert len(set(found)) == 7
+
+
 # --- joins ----------------------------------------------------------------------
 
 
