@@ -126,6 +126,43 @@ def hash_spans(
     return out
 
 
+#: Longer spans are hashed byte by byte.
+_WORD_BYTES = 64
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII letters in lower case."""
+    return _LOWER[data]
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span, eight bytes at a time (spans ascend and don't
+    overlap). Other hashes than :func:`hash_spans`."""
+    size = stops - starts
+    room = np.zeros((len(data) + 23) // 8 * 8, np.uint8)
+    room[: len(data)] = data
+    eights = room.view("<u8")
+    mask = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+    def load(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Up to eight bytes from each place on."""
+        place, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        # Two shifts, as one by 64 isn't defined.
+        high = (eights[place + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        return ((eights[place] >> shift) | high) & mask[np.minimum(left, 8)]
+
+    out = mix(load(starts, size) + size.astype(np.uint64) * _ROOT)
+    more = np.flatnonzero(size > 8)
+    done = 8
+    while len(more) and done < _WORD_BYTES:
+        out[more] = mix(out[more] + load(starts[more] + done, size[more] - done) * _INVERSE, 1)
+        done += 8
+        more = more[size[more] > done]
+    if len(more):
+        out[more] ^= hash_spans(data, starts[more], stops[more])
+    return out
+
+
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of every ``n`` consecutive entries, at its first position; the array is
     ``len(words) - n + 1`` long, or empty."""

@@ -1,95 +1,113 @@
 """Re-Pair grammar compression of token ids, in numpy.
 
-Frequent pairs of neighbours are replaced by new symbols, again and again. A round
-counts all pairs at once by sorting and replaces the most frequent ones together;
-of occurrences that overlap, every other one from the left is taken. Symbols from
-``base`` on are rules; a rule is a pair of earlier symbols. With the expansion length
-of each rule, any part of the sequence is decoded without decoding the rest.
+Frequent pairs of neighbours are replaced by new symbols, until no pair is left that
+pays for its rule. A round counts the pairs by sorting and replaces many at once: those
+that are more frequent than the pairs that overlap them. Of occurrences that overlap
+each other, every other one from the left counts. Only pairs that are new since the last
+round, or were frequent in it, are counted again: others can't become more frequent. The
+sequence is a linked list meanwhile, so a round costs as much as it counts.
+
+Symbols from ``base`` on are rules; a rule is a pair of earlier symbols. With the
+expansion length of each rule, any part of the sequence is decoded without decoding the
+rest.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Pairs replaced in one round, and how often a pair must occur.
-ROUND_PAIRS = 2048
-LEAST_USES = 6
-ROUNDS = 12
-#: A round that shortens the sequence by less than this share is the last.
-LEAST_GAIN = 0.01
+#: A rule is two numbers, and each use saves one.
+LEAST_USES = 3
+#: Bits of a symbol and of a place that fit into one sorted number.
+_SYMBOL, _PLACE = np.uint64(20), np.uint64(24)
 
 
-def compress(
-    ids: np.ndarray, base: int, rounds: int = ROUNDS
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequence of symbols, rules (n x 2) and expansion length of every rule."""
+def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence of symbols, rules (n x 2) and expansion length of every rule.
+
+    In the sequence no pair has :data:`LEAST_USES` occurrences that don't overlap.
+    """
     sequence = ids.astype(np.uint32)
+    n = len(sequence)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    gone = np.zeros(n, bool)
+    # How frequent the pair at a place is, as a rank; one more place on either side.
+    rank_at = np.zeros(n + 2, np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
-    for _ in range(rounds):
-        before = len(sequence)
-        if before < 2:
-            break
-        key = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
-        pairs = _frequent(key)
-        if not len(pairs):
+    at = np.arange(max(n - 1, 0))
+    while len(at):
+        at, pairs, ranks = _ranked(sequence, after, at, base + len(lengths))
+        if not len(at):
             break
-        at, rule = _places(key, pairs)
-        uses = np.bincount(rule, minlength=len(pairs))
-        good = uses >= LEAST_USES
-        number = np.cumsum(good) - 1
-        keep = good[rule]
-        at, rule = at[keep], number[rule[keep]]
-        pairs = pairs[good]
-        if not len(pairs):
-            break
-        first = base + len(lengths)
-        made = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1)
-        made = made.astype(np.uint32)
-        known = np.concatenate([np.zeros(0, np.int64), lengths])
-        size = lambda s: np.where(s < base, 1, known[np.maximum(s.astype(np.int64) - base, 0)] if len(known) else 1)
-        lengths = np.concatenate([lengths, size(made[:, 0]) + size(made[:, 1])])
+        # A pair is replaced where it outranks its neighbours; the first of all always is.
+        rank_at[at + 1] = ranks
+        best = (ranks > rank_at[before[at] + 1]) & (ranks > rank_at[after[at] + 1])
+        rank_at[at + 1] = 0
+        paying = np.bincount(ranks[best], minlength=len(pairs)) >= LEAST_USES
+        best &= paying[ranks]
+        made = pairs[paying]
+        symbol = (base + len(lengths) + np.cumsum(paying) - 1).astype(np.uint32)
+        size = np.ones(made.shape, np.int64)
+        deeper = made >= base
+        size[deeper] = lengths[made[deeper].astype(np.int64) - base]
         rules.append(made)
-        sequence[at] = (first + rule).astype(np.uint32)
-        left = np.ones(before, bool)
-        left[at + 1] = False
-        sequence = sequence[left]
-        if len(sequence) > before * (1 - LEAST_GAIN):
-            break
+        lengths = np.concatenate([lengths, size.sum(axis=1)])
+        place = at[best]
+        second = after[place]
+        sequence[place] = symbol[ranks[best]]
+        gone[second] = True
+        after[place] = after[second]
+        follows = after[place]
+        before[follows[follows < n]] = place[follows < n]
+        left = before[place]
+        at = np.concatenate([at[~best], place, left[left >= 0]])
+        at = np.sort(at[~gone[at] & (after[at] < n)])
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
     flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return sequence, flat, lengths
+    return sequence[~gone], flat, lengths
 
 
-def _frequent(key: np.ndarray) -> np.ndarray:
-    """The most frequent pairs, ascending."""
-    ordered = np.sort(key)
-    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    count = np.diff(np.append(at, len(ordered)))
+def _ranked(
+    sequence: np.ndarray, after: np.ndarray, at: np.ndarray, symbols: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of frequent pairs, the pairs by rank (rarest first, none at 0), and the
+    rank of each place."""
+    key = (sequence[at].astype(np.uint64) << np.uint64(32)) | sequence[after[at]]
+    same = np.zeros(len(at), bool)
+    same[1:] = (key[1:] == key[:-1]) & (after[at[:-1]] == at[1:])
+    if same.any():
+        number = np.arange(len(at))
+        odd = (number - np.maximum.accumulate(np.where(same, 0, number))) % 2 == 1
+        at, key = at[~odd], key[~odd]
+    order, key = _sorted(key, symbols)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.append(first, len(key)))
     often = np.flatnonzero(count >= LEAST_USES)
-    if len(often) > ROUND_PAIRS:
-        # Ties at the cut go to the smaller pair.
-        rank = np.argsort(-count[often], kind="stable")[:ROUND_PAIRS]
-        often = np.sort(often[rank])
-    return ordered[at[often]]
-
-
-def _places(key: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that start a chosen pair, without overlaps, and which pair."""
-    table = np.zeros(1 << 16, bool)
-    table[_slot(pairs)] = True
-    at = np.flatnonzero(table[_slot(key)])
-    rule = np.minimum(np.searchsorted(pairs, key[at]), len(pairs) - 1)
-    match = pairs[rule] == key[at]
-    at, rule = at[match], rule[match]
-    head = np.ones(len(at), bool)
-    head[1:] = at[1:] != at[:-1] + 1
-    run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-    even = (np.arange(len(at)) - run) % 2 == 0
-    return at[even], rule[even]
-
-
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    by_count = often[np.argsort(count[often], kind="stable")]
+    rank = np.zeros(len(count), np.uint32)
+    rank[by_count] = np.arange(1, len(by_count) + 1)
+    ranks = np.empty(len(at), np.uint32)
+    ranks[order] = np.repeat(rank, count)
+    frequent = ranks > 0
+    chosen = key[first[by_count]]
+    pairs = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    return at[frequent], np.concatenate([np.zeros((1, 2), np.uint32), pairs]), ranks[frequent]
+
+
+def _sorted(key: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and the keys in it. Small symbols and places are sorted as
+    one number, which is several times faster."""
+    if symbols > 1 << int(_SYMBOL) or len(key) > 1 << int(_PLACE):
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    low = np.uint64((1 << int(_SYMBOL)) - 1)
+    whole = ((key >> np.uint64(32)) << (_SYMBOL + _PLACE)) | ((key & low) << _PLACE)
+    whole |= np.arange(len(key), dtype=np.uint64)
+    whole.sort()
+    order = (whole & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)
+    whole >>= _PLACE
+    return order, ((whole >> _SYMBOL) << np.uint64(32)) | (whole & low)
 
 
 def expand(

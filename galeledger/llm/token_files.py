@@ -1,19 +1,21 @@
 """Token ids of a corpus in files of Re-Pair compressed shards.
 
-A shard holds the documents of a range of ids, in ascending order, each followed by
-the end id. Shards are rows of a Parquet table (written by Spark, so a lost task
-leaves nothing behind), with the columns
+A shard holds consecutive documents in ascending order of their ids, each followed by
+the end id. Documents are dealt to parts by ranges of ids, which Spark finds from a
+sample of bounded size; the rows of one id are spread over several ranges if they are
+many. A part is read in order and cut into shards of :data:`SHARD_BYTES` of text, so no
+task holds more than a shard, however long the texts of a range are.
 
-* ``shard``, ``n_tokens``, ``base``: its number in id order, its ids, and the first
-  symbol that is a rule;
+Shards are rows of a Parquet table (written by Spark, so a lost task leaves nothing
+behind), with the columns
+
+* ``part``, ``shard``, ``n_tokens``, ``base``: its part in id order, its number in the
+  part, its ids, and the first symbol that is a rule;
 * ``doc_ids`` (int64) and ``doc_tokens`` (uint32): its documents and their ids with
   the end id, little-endian;
 * ``low`` and ``high`` (uint16), ``rules`` (uint32 pairs) and ``lengths`` (uint32): the
   halves of the symbols, which compress better apart, the rules, and the expansion
   length of each rule for random access.
-
-Texts are encoded where they are read; only ids move, two bytes each if the
-vocabulary allows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galeledger.llm import hashing, repair
-from galeledger.llm.order import range_bounds, range_count, range_of
+from galeledger.llm.order import range_count
+from galeledger.llm.pieces import worker_state
 from galeledger.llm.tables import documents, row_bytes
 from galeledger.llm.token_ids import Encoder
 
@@ -35,9 +38,11 @@ MODEL = "word_bpe_49k.json"
 END_ID = 2
 #: Larger than every id of the vocabulary; two-byte ids travel below it.
 BASE = 1 << 16
+#: Bytes of text in a shard, about; a longer text is a shard of its own.
+SHARD_BYTES = 8 << 20
 
 _SHARD = (
-    "shard int, n_tokens long, base long, doc_ids binary, doc_tokens binary, "
+    "part int, shard int, n_tokens long, base long, doc_ids binary, doc_tokens binary, "
     "low binary, high binary, rules binary, lengths binary"
 )
 
@@ -53,62 +58,52 @@ def write_token_files(
     """Encode every text and write the shards to ``path``.
 
     Null texts are empty and consist of the end id. Rows with the same id follow each
-    other in the order of their ids' bytes. A null id counts as the greatest. An empty
-    table gives a table without rows.
+    other in an order that depends on their texts; repeated rows are written each. A null
+    id counts as the greatest. An empty table gives a table without rows. Other columns
+    are ignored.
     """
     plain = documents(docs, id_col=id_col, text_col=text_col)
     _, total = row_bytes(plain)
-    bounds = range_bounds(plain, range_count(total))
+    # The hash and the row's number let Spark cut through the rows of one id.
+    keyed = plain.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    keys = ["doc_id", "h", "row"]
+    ranged = keyed.repartitionByRange(range_count(total), *keys).sortWithinPartitions(*keys)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
-        for part in hashing.slices(batches):
-            ids, size = encoder.encode(part.column("text"))
-            ends = np.cumsum(size + 1)
+        encoder = worker_state(("Encoder", model), lambda: Encoder(model))
+        held, size, number, part = [], 0, 0, 0
+        for piece in hashing.slices(batches):
+            part = piece.column("part")[0].as_py()
+            ids, count = encoder.encode(piece.column("text"))
+            ends = np.cumsum(count + 1)
             out = np.full(int(ends[-1]), end_id, np.uint32)
             room = np.ones(len(out), bool)
             room[ends - 1] = False
             out[room] = ids
-            doc_id = np.asarray(part.column("doc_id"), np.int64)
-            raw = _narrow(out)
-            bounds_of = np.concatenate([[0], ends])
-            yield pa.record_batch(
-                [
-                    pa.array(range_of(doc_id, bounds)),
-                    part.column("doc_id"),
-                    pa.array(np.full(len(doc_id), raw.itemsize, np.int32)),
-                    hashing.binary_array(raw, bounds_of),
-                ],
-                ["shard", "doc_id", "width", "ids"],
-            )
+            held.append((np.asarray(piece.column("doc_id"), np.int64), count + 1, out))
+            size += piece.column("text").nbytes
+            if size >= SHARD_BYTES:
+                yield _shard(part, number, held)
+                held, size, number = [], 0, number + 1
+        if held:
+            yield _shard(part, number, held)
 
     (
-        plain.mapInArrow(encode, "shard int, doc_id long, width int, ids binary")
-        .groupBy("shard")
-        .applyInArrow(_shard, _SHARD)
+        ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text")
+        .mapInArrow(encode, _SHARD)
         .write.option("compression", "zstd")
         .parquet(path)
     )
 
 
-def _narrow(ids: np.ndarray) -> np.ndarray:
-    return ids.astype("<u2") if not len(ids) or int(ids.max()) < BASE else ids.astype("<u4")
-
-
-def _shard(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("doc_id", "ascending"), ("width", "ascending"), ("ids", "ascending")])
-    kinds = {2: "<u2", 4: "<u4"}
-    parts = [
-        np.frombuffer(raw.as_buffer(), kinds[width])
-        for raw, width in zip(table["ids"].combine_chunks(), table["width"].to_pylist())
-    ]
-    ids = np.concatenate(parts).astype(np.uint32)
+def _shard(part: int, number: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One shard of the documents' ids, their numbers of tokens and the tokens."""
+    doc_ids, sizes, ids = (np.concatenate(x) for x in zip(*held))
     base = max(BASE, int(ids.max()) + 1)
     sequence, rules, lengths = repair.compress(ids, base)
-    doc_ids = table["doc_id"].combine_chunks().to_numpy()
-    sizes = np.array([len(p) for p in parts])
     columns = {
-        "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
+        "part": pa.array([part], pa.int32()),
+        "shard": pa.array([number], pa.int32()),
         "n_tokens": pa.array([len(ids)], pa.int64()),
         "base": pa.array([base], pa.int64()),
     }
@@ -120,7 +115,7 @@ def _shard(table: pa.Table) -> pa.Table:
         "rules": rules.astype("<u4"),
         "lengths": lengths.astype("<u4"),
     }
-    return pa.table(columns | {k: pa.array([v.tobytes()], pa.binary()) for k, v in packed.items()})
+    return pa.RecordBatch.from_pydict(columns | {k: pa.array([v.tobytes()], pa.binary()) for k, v in packed.items()})
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -131,16 +126,19 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     null if they are not asked for.
     """
     shards = spark.read.schema(_SHARD).parquet(path)
-    # One small row per shard.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("shard", "n_tokens").withColumn(
-        "first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
-    )
+    # Where a part begins, from one number a part, and where a shard begins in its part.
+    sizes = shards.select("part", "shard", "n_tokens")
+    earlier = (Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", before.alias("part_first"))
+    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(*earlier)
+    within = sizes.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("in_part"))
+    starts = within.join(parts, "part").select("part", "shard", (F.col("part_first") + F.col("in_part")).alias("first"))
     found = shards.drop("n_tokens").mapInArrow(
         lambda it: _decode(it, with_ids),
-        "shard int, doc_id long, within long, n_tokens long, ids_crc32 long, ids binary",
+        "part int, shard int, doc_id long, within long, n_tokens long, ids_crc32 long, ids binary",
     )
-    return found.join(starts.select("shard", "first"), "shard").select(
+    return found.join(starts, ["part", "shard"]).select(
         "doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "ids"
     )
 
@@ -161,6 +159,7 @@ def _decode(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.Re
             n = len(size)
             yield pa.record_batch(
                 [
+                    pa.array(np.full(n, one["part"].as_py(), np.int32)),
                     pa.array(np.full(n, one["shard"].as_py(), np.int32)),
                     pa.array(read("doc_ids", "<i8")),
                     pa.array(bounds[:-1]),
@@ -168,7 +167,7 @@ def _decode(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.Re
                     pa.array(np.array(checks, np.int64)),
                     hashing.binary_array(ids, bounds) if with_ids else pa.nulls(n, pa.binary()),
                 ],
-                ["shard", "doc_id", "within", "n_tokens", "ids_crc32", "ids"],
+                ["part", "shard", "doc_id", "within", "n_tokens", "ids_crc32", "ids"],
             )
 
 
@@ -177,9 +176,10 @@ def _symbols(read) -> np.ndarray:
     return high | read("low", "<u2")
 
 
-def token_slice(spark: SparkSession, path: str, shard: int, start: int, stop: int) -> np.ndarray:
+def token_slice(spark: SparkSession, path: str, part: int, shard: int, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` of one shard, expanding only the symbols that cover them."""
-    row = spark.read.schema(_SHARD).parquet(path).filter(F.col("shard") == shard).first()
+    shards = spark.read.schema(_SHARD).parquet(path)
+    row = shards.filter((F.col("part") == part) & (F.col("shard") == shard)).first()
     if row is None:
         return np.zeros(0, np.uint32)
     read = lambda c, kind: np.frombuffer(row[c], kind)

@@ -47,3 +47,18 @@ def test_slices_keep_rows():
     parts = list(hashing.slices(iter([batch]), limit=10))
     assert [len(p) for p in parts] == [2, 1, 2, 1]
     assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+
+
+def test_words_hash_alike_wherever_they_stand():
+    rng = np.random.default_rng(9)
+    words = [bytes(rng.integers(97, 100, rng.integers(1, 90))) for _ in range(3000)] + [b"a" * n for n in range(1, 140)]
+    seen = {}
+    for lead in (b"", b"-", b"---"):
+        data = np.frombuffer(lead + b" ".join(words), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1 + len(lead)
+        starts = ends - [len(w) for w in words]
+        for word, value in zip(words, hashing.hash_words(data, starts, ends).tolist()):
+            assert seen.setdefault(word, value) == value
+    assert len(set(seen.values())) == len(seen)
+    none = np.zeros(0, np.int64)
+    assert len(hashing.hash_words(np.zeros(0, np.uint8), none, none)) == 0

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from galeledger.llm import order, repair, token_counts, token_files, token_ids
+from galeledger.llm import hashing, order, repair, token_counts, token_files, token_ids
 
 sentencepiece = pytest.importorskip("sentencepiece")
 tokenizers = pytest.importorskip("tokenizers")
@@ -67,6 +67,27 @@ def test_known_pieces_are_forgotten(strange, monkeypatch):
     assert np.concatenate(parts).tolist() == whole.tolist()
 
 
+def test_rarely_used_pieces_are_dropped_first(monkeypatch):
+    from galeledger.llm import pieces
+
+    monkeypatch.setattr(pieces, "KNOWN_PIECES", 100)
+    encoded = []
+
+    def encode(some):
+        encoded.extend(some)
+        return np.array([len(x) for x in some for _ in range(2)], np.uint32), np.full(len(some), 2)
+
+    known = pieces.Pieces(encode)
+    often = [f"often{i}" for i in range(10)]
+    for k in range(30):
+        words = often + [f"rare{k}-{i}" for i in range(9)] + ["x" * n for n in (63, 64, 65, 200)]
+        data, offsets = hashing.text_bytes(pa.array(words))
+        values, size = known.sequences(known.look_up(data, offsets[:-1], offsets[1:]))
+        assert values.tolist() == [len(w) for w in words for _ in range(2)] and (size == 2).all()
+        assert len(known.names) <= 100 + 23
+    assert all(encoded.count(w.encode()) == 1 for w in often)
+
+
 def test_token_counts(table, odd_rows):
     model = sentencepiece.SentencePieceProcessor(model_file=public.path(token_counts.MODEL))
     docs = table(odd_rows).withColumn("n_tokens", F.lit("x"))
@@ -92,15 +113,43 @@ def test_grammar_round_trip(n, kinds):
         assert (repair.decode(sequence, rules, lengths, 1000, a, b) == ids[a:b]).all()
 
 
+def brute_uses(sequence):
+    """Occurrences of each pair that don't overlap, taken from the left."""
+    uses, last = {}, {}
+    for i, pair in enumerate(zip(sequence, sequence[1:])):
+        if last.get(pair) != i - 1 or pair[0] != pair[1]:
+            uses[pair] = uses.get(pair, 0) + 1
+            last[pair] = i
+        else:
+            last[pair] = None
+    return uses
+
+
+@pytest.mark.parametrize("n, kinds", [(3000, 2), (3000, 12), (6000, 400), (500, 1)])
+@pytest.mark.parametrize("few", [True, False])
+def test_no_pair_is_left_that_pays(n, kinds, few, monkeypatch):
+    if few:  # symbols and places that don't fit one number
+        monkeypatch.setattr(repair, "_SYMBOL", np.uint64(3))
+    ids = np.random.default_rng(n + kinds).integers(0, kinds, n)
+    sequence, rules, lengths = repair.compress(ids, 1000)
+    assert max(brute_uses(sequence.tolist()).values(), default=0) < repair.LEAST_USES
+    assert (repair.expand(sequence, rules, 1000, lengths) == ids).all()
+    assert len(sequence) + 2 * len(rules) <= n
+    assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+
+
 def test_grammar_shortens_repetition():
     ids = np.tile(np.arange(40), 200)
     sequence, rules, _ = repair.compress(ids, 100)
     assert len(sequence) + 2 * len(rules) < len(ids) / 8
 
 
-@pytest.mark.parametrize("ranges", [(8 << 20, 256 << 20), (600, 1200)])
-def test_token_files_round_trip(spark, table, odd_rows, prose, tmp_path, monkeypatch, ranges):
+@pytest.mark.parametrize("ranges, shard", [((8 << 20, 256 << 20), 8 << 20), ((600, 1200), 500), ((1 << 20, 1 << 20), 900)])
+def test_token_files_round_trip(spark, table, odd_rows, prose, tmp_path, monkeypatch, ranges, shard):
     monkeypatch.setattr(order, "RANGE_BYTES", ranges)
+    monkeypatch.setattr(token_files, "SHARD_BYTES", shard)
+    monkeypatch.setattr(hashing, "SLICE_BYTES", shard)
+    monkeypatch.setattr(hashing.slices, "__defaults__", ("text", min(shard, 4 << 20)))
     rows = odd_rows + [(i + 100, t) for i, t in prose]
     path = str(tmp_path / "tokens")
     token_files.write_token_files(table(rows).withColumn("shard", F.lit(9)), path)
@@ -119,9 +168,9 @@ def test_token_files_round_trip(spark, table, odd_rows, prose, tmp_path, monkeyp
         ids = model.encode(t or "", add_special_tokens=False).ids
         wanted.setdefault(LAST if i is None else i, []).append(ids)
     assert {k: sorted(v) for k, v in made.items()} == {k: sorted(v) for k, v in wanted.items()}
-    first = spark.read.parquet(path).orderBy("shard").first()
+    first = spark.read.parquet(path).orderBy("part", "shard").first()
     whole = [i for r in got for i in np.frombuffer(r.ids, "<u4").tolist()][: first.n_tokens]
-    part = token_files.token_slice(spark, path, first.shard, 3, min(40, len(whole)))
+    part = token_files.token_slice(spark, path, first.part, first.shard, 3, min(40, len(whole)))
     assert part.tolist() == whole[3 : min(40, len(whole))]
 
 
@@ -129,4 +178,4 @@ def test_token_files_of_nothing(spark, table, tmp_path):
     path = str(tmp_path / "none")
     token_files.write_token_files(table([]), path)
     assert token_files.read_token_files(spark, path).collect() == []
-    assert len(token_files.token_slice(spark, path, 0, 0, 5)) == 0
+    assert len(token_files.token_slice(spark, path, 0, 0, 0, 5)) == 0
