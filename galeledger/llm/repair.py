@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import numpy as np
 
-#: A rule is two numbers, and each use saves one.
-LEAST_USES = 3
+#: A rule is three stored numbers (a pair and its expansion length), and each use saves
+#: one; so rules of fewer uses make the files longer.
+LEAST_USES = 4
 #: Bits of a symbol and of a place that fit into one sorted number.
 _SYMBOL, _PLACE = np.uint64(20), np.uint64(24)
 
@@ -27,87 +28,118 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
     In the sequence no pair has :data:`LEAST_USES` occurrences that don't overlap.
     """
-    sequence = ids.astype(np.uint32)
+    sequence = ids.astype(np.uint64)
     n = len(sequence)
     after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    gone = np.zeros(n, bool)
+    gone, busy = np.zeros(n, bool), np.zeros(n, bool)
     # How frequent the pair at a place is, as a rank; one more place on either side.
     rank_at = np.zeros(n + 2, np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
     at = np.arange(max(n - 1, 0))
     while len(at):
-        at, pairs, ranks = _ranked(sequence, after, at, base + len(lengths))
+        follows = after[at]
+        first, then = sequence[at], sequence[follows]
+        odd = _overlapped(first, then, at, follows)
+        waiting = at[odd]
+        if len(waiting):
+            at, first, then, follows = (x[~odd] for x in (at, first, then, follows))
+        pairs, ranks = _ranked(first, then, base + len(lengths))
+        frequent = ranks > 0
+        at, ranks, follows = at[frequent], ranks[frequent], follows[frequent]
         if not len(at):
             break
         # A pair is replaced where it outranks its neighbours; the first of all always is.
         rank_at[at + 1] = ranks
-        best = (ranks > rank_at[before[at] + 1]) & (ranks > rank_at[after[at] + 1])
+        best = (ranks > rank_at[before[at] + 1]) & (ranks > rank_at[follows + 1])
+        waiting_ranks = rank_at[before[waiting] + 1]
         rank_at[at + 1] = 0
         paying = np.bincount(ranks[best], minlength=len(pairs)) >= LEAST_USES
         best &= paying[ranks]
         made = pairs[paying]
-        symbol = (base + len(lengths) + np.cumsum(paying) - 1).astype(np.uint32)
+        symbol = (base + len(lengths) + np.cumsum(paying) - 1).astype(np.uint64)
         size = np.ones(made.shape, np.int64)
         deeper = made >= base
         size[deeper] = lengths[made[deeper].astype(np.int64) - base]
         rules.append(made)
         lengths = np.concatenate([lengths, size.sum(axis=1)])
-        place = at[best]
+        place, of = [at[best]], [ranks[best]]
+        busy[place[0]] = busy[follows[best]] = True
+        # Where such a pair still stands untouched, it is replaced too.
+        more = ~best & paying[ranks]
+        late = paying[waiting_ranks]
+        rest, rest_ranks = np.concatenate([at[more], waiting[late]]), np.concatenate([ranks[more], waiting_ranks[late]])
+        while len(rest):
+            free = ~(busy[rest] | busy[after[rest]])
+            rest, rest_ranks = rest[free], rest_ranks[free]
+            rank_at[rest + 1] = rest_ranks
+            top = (rest_ranks > rank_at[before[rest] + 1]) & (rest_ranks >= rank_at[after[rest] + 1])
+            rank_at[rest + 1] = 0
+            place.append(rest[top])
+            of.append(rest_ranks[top])
+            busy[rest[top]] = busy[after[rest[top]]] = True
+            rest, rest_ranks = rest[~top], rest_ranks[~top]
+        place, of = np.concatenate(place), np.concatenate(of)
         second = after[place]
-        sequence[place] = symbol[ranks[best]]
+        busy[place] = False
+        sequence[place] = symbol[of]
         gone[second] = True
-        after[place] = after[second]
-        follows = after[place]
-        before[follows[follows < n]] = place[follows < n]
+        follows = after[second]
+        after[place] = follows
+        inside = follows < n
+        before[follows[inside]] = place[inside]
         left = before[place]
-        at = np.concatenate([at[~best], place, left[left >= 0]])
+        at = np.concatenate([at[~best], waiting, place, left[left >= 0]])
         at = np.sort(at[~gone[at] & (after[at] < n)])
         at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
     flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return sequence[~gone], flat, lengths
-
-
-def _ranked(
-    sequence: np.ndarray, after: np.ndarray, at: np.ndarray, symbols: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of frequent pairs, the pairs by rank (rarest first, none at 0), and the
-    rank of each place."""
-    key = (sequence[at].astype(np.uint64) << np.uint64(32)) | sequence[after[at]]
-    same = np.zeros(len(at), bool)
-    same[1:] = (key[1:] == key[:-1]) & (after[at[:-1]] == at[1:])
-    if same.any():
-        number = np.arange(len(at))
-        odd = (number - np.maximum.accumulate(np.where(same, 0, number))) % 2 == 1
-        at, key = at[~odd], key[~odd]
-    order, key = _sorted(key, symbols)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.diff(np.append(first, len(key)))
+    return sequence[~gone].astype(np.uint32), flat, lengths
+
+
+def _overlapped(first: np.ndarray, then: np.ndarray, at: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Which places of pairs of one symbol overlap an occurrence that counts."""
+    out = np.zeros(len(at), bool)
+    equal = np.flatnonzero(first == then)
+    if len(equal) > 1:
+        joined = np.zeros(len(equal), bool)
+        joined[1:] = (follows[equal[:-1]] == at[equal[1:]]) & (first[equal[1:]] == first[equal[:-1]])
+        number = np.arange(len(equal))
+        out[equal] = (number - np.maximum.accumulate(np.where(joined, 0, number))) % 2 == 1
+    return out
+
+
+def _ranked(first: np.ndarray, then: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent pairs by rank (rarest first, none at 0), and the rank of each place."""
+    order, key = _sorted(first, then, symbols)
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.append(begin, len(key)))
     often = np.flatnonzero(count >= LEAST_USES)
     by_count = often[np.argsort(count[often], kind="stable")]
     rank = np.zeros(len(count), np.uint32)
     rank[by_count] = np.arange(1, len(by_count) + 1)
-    ranks = np.empty(len(at), np.uint32)
+    ranks = np.empty(len(first), np.uint32)
     ranks[order] = np.repeat(rank, count)
-    frequent = ranks > 0
-    chosen = key[first[by_count]]
-    pairs = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-    return at[frequent], np.concatenate([np.zeros((1, 2), np.uint32), pairs]), ranks[frequent]
+    some = order[begin[by_count]]
+    pairs = np.zeros((len(by_count) + 1, 2), np.uint32)
+    pairs[1:, 0], pairs[1:, 1] = first[some], then[some]
+    return pairs, ranks
 
 
-def _sorted(key: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the keys, and the keys in it. Small symbols and places are sorted as
-    one number, which is several times faster."""
-    if symbols > 1 << int(_SYMBOL) or len(key) > 1 << int(_PLACE):
+def _sorted(first: np.ndarray, then: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the pairs, and a key of each in it. Small symbols and places are sorted
+    as one number, which is several times faster."""
+    if symbols > 1 << int(_SYMBOL) or len(first) > 1 << int(_PLACE):
+        key = (first << np.uint64(32)) | then
         order = np.argsort(key, kind="stable")
         return order, key[order]
-    low = np.uint64((1 << int(_SYMBOL)) - 1)
-    whole = ((key >> np.uint64(32)) << (_SYMBOL + _PLACE)) | ((key & low) << _PLACE)
-    whole |= np.arange(len(key), dtype=np.uint64)
+    whole = first << _SYMBOL
+    whole |= then
+    whole <<= _PLACE
+    whole |= np.arange(len(first), dtype=np.uint64)
     whole.sort()
     order = (whole & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)
     whole >>= _PLACE
-    return order, ((whole >> _SYMBOL) << np.uint64(32)) | (whole & low)
+    return order, whole
 
 
 def expand(
@@ -133,20 +165,16 @@ def expand(
 
 
 def _copied(sequence, rules, base, lengths) -> np.ndarray:
-    whole = expand(np.arange(base, base + len(rules)), rules, base)
-    first = np.cumsum(lengths) - lengths
-    made = np.flatnonzero(sequence >= base)
-    rule = sequence[made].astype(np.int64) - base
-    size = np.ones(len(sequence), np.int64)
-    size[made] = lengths[rule]
+    """Every symbol copied from a table of all ids and the expansions of all rules."""
+    table = np.concatenate([
+        np.arange(base, dtype=np.uint32), expand(np.arange(base, base + len(rules)), rules, base)
+    ])
+    begin = np.concatenate([np.arange(base), base + np.cumsum(lengths) - lengths])
+    size = np.concatenate([np.ones(base, np.int64), lengths])[sequence]
     ends = np.cumsum(size)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-    single = sequence < base
-    out[ends[single] - 1] = sequence[single]
-    own = lengths[rule]
-    within = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-    out[np.repeat(ends[made] - own, own) + within] = whole[np.repeat(first[rule], own) + within]
-    return out
+    at = np.repeat(begin[sequence] - ends + size, size)
+    at += np.arange(len(at))
+    return table[at]
 
 
 def decode(
