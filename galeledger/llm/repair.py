@@ -29,7 +29,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     In the sequence no pair has :data:`LEAST_USES` occurrences that don't overlap.
     """
     sequence = ids.astype(np.uint64)
-    n = len(sequence)
+    n, removed = len(sequence), 0
     after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
     gone, busy = np.zeros(n, bool), np.zeros(n, bool)
     # How frequent the pair at a place is, as a rank; one more place on either side.
@@ -38,24 +38,36 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     lengths = np.zeros(0, np.int64)
     at = np.arange(max(n - 1, 0))
     while len(at):
+        if removed > n // 4:
+            # Close the gaps, so that neighbours are near each other in memory.
+            left = ~gone
+            at = (np.cumsum(left) - 1)[at]
+            sequence = sequence[left]
+            n, removed = len(sequence), 0
+            after, before = after[:n], before[:n]
+            after[:], before[:] = np.arange(1, n + 1), np.arange(-1, n - 1)
+            gone, busy, rank_at = np.zeros(n, bool), np.zeros(n, bool), rank_at[: n + 2]
         follows = after[at]
         first, then = sequence[at], sequence[follows]
         odd = _overlapped(first, then, at, follows)
         waiting = at[odd]
-        if len(waiting):
-            at, first, then, follows = (x[~odd] for x in (at, first, then, follows))
-        pairs, ranks = _ranked(first, then, base + len(lengths))
-        frequent = ranks > 0
-        at, ranks, follows = at[frequent], ranks[frequent], follows[frequent]
-        if not len(at):
+        # No symbol is as great, so these count for no pair.
+        symbols = base + len(lengths) + 1
+        then[odd] = symbols
+        pairs, ranks = _ranked(first, then, symbols)
+        ranks[odd] = 0
+        frequent = np.flatnonzero(ranks)
+        if not len(frequent):
             break
+        at, ranks, follows = at[frequent], ranks[frequent], follows[frequent]
         # A pair is replaced where it outranks its neighbours; the first of all always is.
         rank_at[at + 1] = ranks
         best = (ranks > rank_at[before[at] + 1]) & (ranks > rank_at[follows + 1])
         waiting_ranks = rank_at[before[waiting] + 1]
         rank_at[at + 1] = 0
         paying = np.bincount(ranks[best], minlength=len(pairs)) >= LEAST_USES
-        best &= paying[ranks]
+        pays = paying[ranks]
+        best &= pays
         made = pairs[paying]
         symbol = (base + len(lengths) + np.cumsum(paying) - 1).astype(np.uint64)
         size = np.ones(made.shape, np.int64)
@@ -66,7 +78,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         place, of = [at[best]], [ranks[best]]
         busy[place[0]] = busy[follows[best]] = True
         # Where such a pair still stands untouched, it is replaced too.
-        more = ~best & paying[ranks]
+        more = pays & ~best
         late = paying[waiting_ranks]
         rest, rest_ranks = np.concatenate([at[more], waiting[late]]), np.concatenate([ranks[more], waiting_ranks[late]])
         while len(rest):
@@ -84,28 +96,36 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         busy[place] = False
         sequence[place] = symbol[of]
         gone[second] = True
+        removed += len(second)
         follows = after[second]
         after[place] = follows
         inside = follows < n
         before[follows[inside]] = place[inside]
         left = before[place]
-        at = np.concatenate([at[~best], waiting, place, left[left >= 0]])
-        at = np.sort(at[~gone[at] & (after[at] < n)])
-        at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+        at = _ascending(np.concatenate([at[~best], waiting, place, left[left >= 0]]), gone)
+        at = at[:-1] if len(at) and after[at[-1]] == n else at
     flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return sequence[~gone].astype(np.uint32), flat, lengths
 
 
+def _ascending(at: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """The places that are left, each once, in order."""
+    if len(at) > len(gone) // 32:
+        mark = np.zeros(len(gone), bool)
+        mark[at] = True
+        mark &= ~gone
+        return np.flatnonzero(mark)
+    at = np.sort(at[~gone[at]])
+    return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+
+
 def _overlapped(first: np.ndarray, then: np.ndarray, at: np.ndarray, follows: np.ndarray) -> np.ndarray:
-    """Which places of pairs of one symbol overlap an occurrence that counts."""
-    out = np.zeros(len(at), bool)
+    """Which pairs of one symbol overlap an occurrence that counts."""
     equal = np.flatnonzero(first == then)
-    if len(equal) > 1:
-        joined = np.zeros(len(equal), bool)
-        joined[1:] = (follows[equal[:-1]] == at[equal[1:]]) & (first[equal[1:]] == first[equal[:-1]])
-        number = np.arange(len(equal))
-        out[equal] = (number - np.maximum.accumulate(np.where(joined, 0, number))) % 2 == 1
-    return out
+    joined = np.zeros(len(equal), bool)
+    joined[1:] = (follows[equal[:-1]] == at[equal[1:]]) & (first[equal[1:]] == first[equal[:-1]])
+    number = np.arange(len(equal))
+    return equal[(number - np.maximum.accumulate(np.where(joined, 0, number))) % 2 == 1]
 
 
 def _ranked(first: np.ndarray, then: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +148,7 @@ def _ranked(first: np.ndarray, then: np.ndarray, symbols: int) -> tuple[np.ndarr
 def _sorted(first: np.ndarray, then: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the pairs, and a key of each in it. Small symbols and places are sorted
     as one number, which is several times faster."""
-    if symbols > 1 << int(_SYMBOL) or len(first) > 1 << int(_PLACE):
+    if symbols >= 1 << int(_SYMBOL) or len(first) > 1 << int(_PLACE):
         key = (first << np.uint64(32)) | then
         order = np.argsort(key, kind="stable")
         return order, key[order]
