@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -116,9 +118,86 @@ def test_quality_of_odd_rows(table, odd_rows):
     assert len({r.score for r in one.collect()}) == 1
 
 
-def test_score_does_not_depend_on_the_batch():
-    import numpy as np
+def plain_features(text):
+    """Words, runs of words and character n-grams of a text, with their counts."""
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", text.encode()) if w]
+    out = Counter()
+    for n in range(1, quality.WORDS + 1):
+        out.update(("w", *words[k : k + n]) for k in range(len(words) - n + 1))
+    for word in words:
+        bounded = b" " + word + b" "
+        for n in (3, 4):
+            out.update(("c", bounded[k : k + n]) for k in range(len(bounded) - n + 1))
+    return out
+
+
+def test_features_equal_the_plain_ones():
+    texts = ["a bc def a bc", "", "was was was was was was", "é\tü ñandú", " x ", "lone", "a b"]
+    keys, text, n = quality._features(pa.array(texts))
+    assert n == len(texts)
+    buckets = {}
+    for row, one in enumerate(texts):
+        found = Counter(keys[text == row].tolist())
+        # Alone, a text has the same buckets as in a batch.
+        assert found == Counter(quality._features(pa.array([one]))[0].tolist())
+        plain = plain_features(one)
+        assert sorted(found.values()) == sorted(plain.values())
+        for word in {f[1] for f in plain if f[0] == "w" and len(f) == 2}:
+            buckets.setdefault(word, set()).update(quality._features(pa.array([word.decode()]))[0].tolist())
+    # A word's own buckets are among those of each text that holds it.
+    for row, one in enumerate(texts):
+        for word in one.split():
+            assert buckets[word.encode()] <= set(keys[text == row].tolist())
+
+
+def test_one_step_of_descent_equals_the_plain_one(monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    monkeypatch.setattr(quality, "BUCKETS", 8)
+    keys = [np.array([1, 5]), np.array([2, 5, 7])]
+    counts = [np.array([3, 1], np.float32), np.array([1, 1, 2], np.float32)]
+    labels = np.array([1, 0])
+    worth, bias = quality.descend(keys, counts, labels, seed=6)
+
+    rng = np.random.Generator(np.random.PCG64(6))
+    size = quality.DIMENSIONS
+    vectors = rng.uniform(-1 / size, 1 / size, (8, size)).astype(np.float32).astype(float)
+    layer, b = np.zeros((2, size)), np.zeros(2)
+    for step, i in enumerate(rng.permutation(2)):
+        rate = quality.RATE * (1 - step / 2)
+        share = counts[i] / counts[i].sum()
+        mean = sum(share[j] * vectors[k] for j, k in enumerate(keys[i]))
+        power = np.exp(layer @ mean + b)
+        error = power / power.sum() - np.eye(2)[labels[i]]
+        toward = error @ layer
+        for j, k in enumerate(keys[i]):
+            vectors[k] = vectors[k] - rate * 0.1 * math.sqrt(share[j]) * toward
+        layer = layer - rate * 0.1 * np.outer(error, mean)
+        b = b - rate * 0.001 * error
+    assert np.allclose(worth, vectors @ (layer[1] - layer[0]), atol=1e-4)
+    assert bias == pytest.approx(b[1] - b[0], abs=1e-5)
+
+
+def test_score_is_the_softmax_of_the_average():
+    worth = np.random.default_rng(2).normal(size=quality.BUCKETS).astype(np.float32)
+    for text in ("a bc def a", "was was was", "é ü x"):
+        keys, _, _ = quality._features(pa.array([text]))
+        logit = 0.3 + worth[keys].astype(float).mean()
+        assert quality._scores(pa.array([text]), worth, 0.3)[0] == pytest.approx(1 / (1 + math.exp(-logit)))
+
+
+def test_held_out_quality_is_ranked_well(spark):
+    """Measured on the held-out rows: the share of pairs of a good and a bad text in order."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [r for r in quality.score_quality(docs, labels).collect() if r.held_out and r.doc_id in known]
+    good = np.sort([r.score for r in rows if known[r.doc_id] == 1])
+    bad = [r.score for r in rows if known[r.doc_id] == 0]
+    assert np.mean(1 - np.searchsorted(good, bad) / len(good)) > 0.92
+    assert np.mean(good >= quality.THRESHOLD) > 0.99
 
+
+def test_score_does_not_depend_on_the_batch():
     worth = np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32)
     texts = ["a bc def", "", "was was was", "é ü"]
     together = quality._scores(pa.array(texts), worth, 0.5)
