@@ -8,27 +8,36 @@ bits. A context that a language never saw costs nothing to leave. The language w
 the shortest code for the whole text is predicted; the score is its share of the
 probabilities of all languages.
 
-The trees are learned from a sample of bounded size (``SAMPLE_BYTES`` of text per
-language, whole texts chosen by a hash of their id), counted in Spark, and laid out
-as sorted tables with the costs of all languages, which tasks search once per
-distinct four bytes of a text.
+The trees are learned from a sample of bounded size: of each language, whole texts in
+the order of a hash of their id until :data:`SAMPLE_BYTES` are reached, one at least.
+Bytes are counted in Spark. Languages are dealt to blocks, and one task a block lays the
+counts out as sorted tables with the costs of the block's languages, which scoring tasks
+search once per distinct four bytes of a text. There may be any number of languages; a
+task's memory grows with the number of blocks, the work on a text with that of languages.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeledger.llm import hashing
+from galeledger.llm.tables import materialise
 
-#: Bytes of text per language that the trees are learned from, about.
+#: Bytes of text per language that the trees are learned from: reached by whole texts, and
+#: passed by a tenth and one text at most.
 SAMPLE_BYTES = 2 << 20
-LANGUAGES = 1000
+#: Languages whose trees are laid out together.
+BLOCK = 64
+#: Languages up to which a table of them is sent to every task.
+FEW_LANGUAGES = 100_000
+#: Numbers in a matrix of costs.
+_CELLS = 1 << 22
 ORDER = 3
 UNDECIDED = "und"
 _FOLD = hashing._LOWER.copy()
@@ -51,12 +60,14 @@ def predict_languages(
 
     Learns from text and language of the rows that are not held out and have both. Null
     texts and texts without a letter are ``und`` with score 0, as is every text if no
-    row has a language. Ties go to the first language in order.
+    row has a language. Ties go to the first language in order. Equal texts get equal
+    answers, repeated rows one each; a null id stays null and is not held out. An empty
+    table gives an empty result. Other columns are ignored.
     """
     seen = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    model = learn(seen, sample_bytes)
+    blocks = learn(seen, sample_bytes)
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -64,12 +75,12 @@ def predict_languages(
         text.alias("text"),
         text.rlike(r"\p{L}").alias("letters"),
     )
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.levels))
+    shared = docs.sparkSession.sparkContext.broadcast([(t.langs, t.levels) for t in blocks])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = Trees(*shared.value)
+        trees = [Trees(*block) for block in shared.value]
         for part in hashing.slices(batches):
-            names, score = trees.predict(part.column("text"))
+            names, score = predict(trees, part.column("text"))
             letters = np.asarray(part.column("letters").to_numpy(zero_copy_only=False), bool)
             names[~letters] = UNDECIDED
             score[~letters] = 0.0
@@ -81,30 +92,56 @@ def predict_languages(
     return plain.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def learn(seen: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Trees:
-    """Trees of all languages from ``(doc_id, text, lang)``."""
-    sizes = (
-        seen.groupBy("lang")
-        .agg(F.sum(F.octet_length("text")).alias("bytes"))
-        .filter("bytes > 0")
-        .orderBy("lang")
-        .limit(LANGUAGES + 1)
-        .collect()
+def sample(seen: DataFrame, sample_bytes: int) -> DataFrame:
+    """``(text, lang)`` of the texts to learn from.
+
+    Texts are ordered by a hash of their id, in steps that are each a tenth longer; the
+    first steps of a language that hold the wanted bytes are taken whole.
+    """
+    chance = (F.xxhash64("doc_id").bitwiseAND((1 << 53) - 1) + 1) / float(1 << 53)
+    keyed = seen.filter("octet_length(text) > 0").select(
+        "text", "lang", F.floor(-8 * F.log2(chance)).cast("int").alias("step")
     )
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not sizes:
-        return Trees([], [])
-    langs = [r["lang"] for r in sizes]
-    table = F.create_map(*[F.lit(x) for i, r in enumerate(sizes) for x in (r["lang"], float(min(1.0, sample_bytes / r["bytes"])))])
-    chance = (F.xxhash64("doc_id").bitwiseAND((1 << 53) - 1)) / float(1 << 53)
-    sample = seen.filter(chance < F.element_at(table, F.col("lang"))).select("text", "lang")
+    steps = keyed.groupBy("lang", "step").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    before = Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = steps.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    last = needed.filter(F.col("before") < sample_bytes).groupBy("lang").agg(F.min("step").alias("last"))
+    last = materialise(last, "language-steps")
+    # A row a language, of which so many are known to fit; then the texts stay in place.
+    last = F.broadcast(last) if last.count() <= FEW_LANGUAGES else last
+    return keyed.join(last, "lang").filter("step >= last").select("text", "lang")
+
+
+def learn(seen: DataFrame, sample_bytes: int = SAMPLE_BYTES, block: int = BLOCK) -> list[Trees]:
+    """Trees of all languages of ``(doc_id, text, lang)``, some languages together; the
+    languages ascend. The driver gets the finished trees, one row a block."""
+    chosen = sample(seen, sample_bytes)
     counts = (
-        sample.mapInArrow(lambda it: _count(it, langs), "lang int, length int, gram long, n long")
+        chosen.mapInArrow(_count, "lang string, length int, gram long, n long")
         .groupBy("lang", "length", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    return Trees.build(langs, counts.toPandas())
+    counts = materialise(counts, "language-grams")
+    langs = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    if not langs:
+        return []
+    names = counts.sparkSession.createDataFrame(
+        [(lang, i // block, i % block) for i, lang in enumerate(langs)], "lang string, block int, number int"
+    )
+    made = (
+        counts.join(names, "lang")
+        .select("block", "number", "length", "gram", "n")
+        .groupBy("block")
+        .applyInArrow(lambda t: _lay_out(t, langs, block), "block int, trees binary")
+    )
+    return [Trees(*pickle.loads(r["trees"])) for r in made.orderBy("block").collect()]
+
+
+def _lay_out(counts: pa.Table, langs: list[str], block: int) -> pa.Table:
+    of = counts["block"][0].as_py()
+    trees = Trees.build(langs[of * block : (of + 1) * block], counts)
+    raw = pickle.dumps((trees.langs, trees.levels), protocol=5)
+    return pa.table({"block": pa.array([of], pa.int32()), "trees": pa.array([raw], pa.binary())})
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,18 +174,17 @@ def _suffix(code: np.ndarray, length: int) -> np.ndarray:
     return code & np.uint32((1 << (8 * length)) - 1)
 
 
-def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.RecordBatch]:
-    number = {name: i for i, name in enumerate(langs)}
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in hashing.slices(batches):
         code, offsets = _grams(part.column("text"))
-        own = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
+        names = part.column("lang").dictionary_encode()
+        own = np.asarray(names.indices, np.uint64)
         lang = np.repeat(own, np.diff(offsets))
         for length in range(1, ORDER + 2):
-            key = (lang.astype(np.uint64) << np.uint64(32)) | _suffix(code, length)
-            found, n = np.unique(key, return_counts=True)
+            found, n = np.unique((lang << np.uint64(32)) | _suffix(code, length), return_counts=True)
             yield pa.record_batch(
                 [
-                    pa.array((found >> np.uint64(32)).astype(np.int32)),
+                    names.dictionary.take(pa.array((found >> np.uint64(32)).astype(np.int64))),
                     pa.array(np.full(len(found), length, np.int32)),
                     pa.array((found & np.uint64(0xFFFFFFFF)).astype(np.int64)),
                     pa.array(n.astype(np.int64)),
@@ -165,13 +201,15 @@ class Trees:
         self.langs, self.levels = langs, levels
 
     @classmethod
-    def build(cls, langs: list[str], counts: pd.DataFrame) -> Trees:
+    def build(cls, langs: list[str], counts: pa.Table) -> Trees:
+        """From rows ``(number, length, gram, n)``: language, and count of a gram in it."""
         trees = cls(langs, [])
+        every = {c: counts[c].to_numpy() for c in ("number", "length", "gram", "n")}
         for length in range(1, ORDER + 2):
-            own = counts[counts["length"] == length]
-            grams = np.unique(own["gram"].to_numpy().astype(np.uint32))
+            number, gram, times = (every[c][every["length"] == length] for c in ("number", "gram", "n"))
+            grams, at = np.unique(gram.astype(np.uint32), return_inverse=True)
             n = np.zeros((len(grams), len(langs)))
-            n[np.searchsorted(grams, own["gram"].to_numpy().astype(np.uint32)), own["lang"].to_numpy()] = own["n"]
+            n[at, number] = times
             contexts, of = np.unique(grams >> np.uint32(8), return_inverse=True)
             total, kinds = np.zeros((2, len(contexts), len(langs)))
             np.add.at(total, of, n)
@@ -207,16 +245,22 @@ class Trees:
         code, offsets = _grams(texts)
         text, distinct, count = _per_text(code, offsets)
         total = np.zeros((len(texts), len(self.langs)))
-        if len(distinct):
-            cost = self._cost(distinct, ORDER + 1).astype(np.float64) * count[:, None]
-            heads = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-            total[text[heads]] = np.add.reduceat(cost, heads, axis=0)
+        step = max(1, _CELLS // len(self.langs))
+        for begin in range(0, len(distinct), step):
+            some = slice(begin, begin + step)
+            own = text[some]
+            cost = self._cost(distinct[some], ORDER + 1).astype(np.float64) * count[some, None]
+            heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            total[own[heads]] += np.add.reduceat(cost, heads, axis=0)
         return total
 
-    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if not self.langs:
-            return np.full(len(texts), UNDECIDED, object), np.zeros(len(texts))
-        bits = self.lengths(texts)
-        best = bits.argmin(axis=1)
-        share = np.exp2(-(bits - bits.min(axis=1, keepdims=True))).sum(axis=1)
-        return np.array(self.langs, object)[best], 1.0 / share
+
+def predict(blocks: list[Trees], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The language with the shortest code for each text, and its share."""
+    langs = [lang for trees in blocks for lang in trees.langs]
+    if not langs:
+        return np.full(len(texts), UNDECIDED, object), np.zeros(len(texts))
+    bits = np.concatenate([trees.lengths(texts) for trees in blocks], axis=1)
+    best = bits.argmin(axis=1)
+    share = np.exp2(-(bits - bits.min(axis=1, keepdims=True))).sum(axis=1)
+    return np.array(langs, object)[best], 1.0 / share

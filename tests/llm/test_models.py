@@ -61,7 +61,7 @@ def test_code_lengths_equal_brute_force(table):
         for _ in range(6):
             texts[lang].append("".join(rnd.choice(letters) for _ in range(80)))
     rows = [(k, t, lang) for lang in texts for k, t in enumerate(texts[lang])]
-    trees = language_id.learn(table(rows, "doc_id long, text string, lang string"))
+    (trees,) = language_id.learn(table(rows, "doc_id long, text string, lang string"))
     tests = ["abc abd", "", "zz\nñ é", "QQQ ab", "a", "abcabc dd zz"]
     got = trees.lengths(pa.array(tests))
     for row, text in enumerate(tests):
@@ -69,6 +69,42 @@ def test_code_lengths_equal_brute_force(table):
             assert got[row, column] == pytest.approx(code_length(text, texts[lang]), rel=1e-5, abs=1e-4)
 
 
+def test_languages_of_few_long_texts_are_learned(table):
+    """Each text alone is longer than the sample; one at least is learned."""
+    rows = [(i + 100 * k, f"{word} " * 600, word) for k, word in enumerate(["abc", "déf", "xyz"]) for i in range(4)]
+    docs = table(rows, "doc_id long, text string, lang string")
+    chosen = Counter(r.lang for r in language_id.sample(docs, 500).collect())
+    assert set(chosen) == {"abc", "déf", "xyz"}
+    got = language_id.predict_languages(docs, sample_bytes=500).collect()
+    assert all(r.lang_pred == rows[[x[0] for x in rows].index(r.doc_id)][2] for r in got)
+
+
+def test_sample_is_whole_texts_until_the_bound(table):
+    rows = [(i, "x" * 90 + "é" * 5, "long") for i in range(3000)] + [(i, "y", "short") for i in range(7)]
+    rows += [(9, None, "none"), (10, "", "none")]
+    chosen = language_id.sample(table(rows, "doc_id long, text string, lang string"), 20_000).collect()
+    sizes = Counter()
+    for r in chosen:
+        sizes[r.lang] += len(r.text.encode())
+    assert 20_000 <= sizes["long"] <= 26_000 and sizes["short"] == 7 and "none" not in sizes
+
+
+def test_many_languages(table):
+    """More languages than a block holds: costs are those of all at once."""
+    rnd = random.Random(7)
+    names = [f"l{i:04d}" for i in range(1500)]
+    rows = [(k, f"{name} {name[1:]} " + "".join(rnd.choice("abcdef ") for _ in range(12)), name) for k, name in enumerate(names)]
+    docs = table(rows, "doc_id long, text string, lang string")
+    blocks = language_id.learn(docs)
+    assert [x for t in blocks for x in t.langs] == names and max(len(t.langs) for t in blocks) == language_id.BLOCK
+    few = table(rows[:70], "doc_id long, text string, lang string")
+    one, two = language_id.learn(few, block=100), language_id.learn(few, block=9)
+    texts = pa.array([r[1] for r in rows[:90]])
+    assert np.allclose(one[0].lengths(texts), np.concatenate([t.lengths(texts) for t in two], axis=1))
+    found, score = language_id.predict(blocks, pa.array([r[1] for r in rows[:200]]))
+    assert sum(found == np.array(names[:200], object)) > 190 and ((score > 0) & (score <= 1)).all()
+
+
 def test_languages_of_odd_rows(table, odd_rows):
     rows = [(i, t, None) for i, t in odd_rows] + [(50, "123 !?", "en"), (51, "der die das", "de")]
     docs = table(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
