@@ -217,6 +217,18 @@ def windows(
     return out, np.concatenate([[0], np.cumsum(sizes)])
 
 
+def short_windows(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`windows`, with the hashes that ``whole`` gives texts of ``n`` words."""
+    counts = np.maximum(np.diff(first) - n + 1, 0)
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    at = np.arange(int(begins[-1])) + np.repeat(first[:-1] - begins[:-1], counts)
+    total = words[at].copy()
+    for k in range(1, n):
+        total *= _ROOT
+        total += words[at + k]
+    return mix(total, 1000 + n), begins
+
+
 def shingles(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all ``n``-word shingles (case kept) of each text and the index of each
     text's first one; shorter texts have one shingle of all their words, texts

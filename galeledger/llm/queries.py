@@ -242,9 +242,14 @@ def _shingles_sql(name: str, table: str, key: str) -> str:
 _CONTAINED_SQL = f"""
 WITH {_shingles_sql("d", "documents", "doc_id")},
 {_shingles_sql("b", "benchmark", "item_id")},
+short AS (SELECT DISTINCT len(w) AS k FROM b_w WHERE len(w) BETWEEN 1 AND 4),
+every AS (
+  SELECT doc_id, g FROM d UNION
+  SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') FROM (
+    SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d_w, short WHERE len(w) >= k)),
 n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY 1)
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
-FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY ALL) JOIN n USING (item_id)
+FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM every JOIN b USING (g) GROUP BY ALL) JOIN n USING (item_id)
 WHERE n_shared >= 0.8::DOUBLE * n_shingles
 """
 

@@ -73,8 +73,9 @@ def contained(docs, items, threshold=0.8):
     found = set()
     for item_id, item in items:
         wanted = set(shingles(item))
+        short = len(words(item)) if len(words(item)) < 5 else 5
         for doc_id, text in docs:
-            own = set(shingles(text))
+            own = set(shingles(text, short or 5))
             if wanted and len(wanted & own) >= threshold * len(wanted):
                 found.add((doc_id, item_id))
     return found
