@@ -93,6 +93,66 @@ def test_near_classes_of_a_large_group_of_changed_copies(table):
     assert sorted(map(tuple, dart_minhash.near_duplicates(table(rows)).collect())) == wanted
 
 
+def two_families(n, seed=1):
+    """Texts of one passage, half of them with one more, each with another word changed: of
+    a family only neighbours are similar, and none are across."""
+    rnd = random.Random(seed)
+    base, more = [f"w{rnd.randrange(10 ** 6)}" for _ in range(80)], [f"p{rnd.randrange(10 ** 6)}" for _ in range(30)]
+    out = []
+    for i in range(n):
+        text = base + more if i % 2 else list(base)
+        text[rnd.randrange(80)] = f"c{i}"
+        out.append((i, " ".join(text)))
+    return out
+
+
+def test_pairs_grow_with_the_texts_not_their_square(table, monkeypatch):
+    made, compared = [], near._compared
+
+    def counted(pairs, grams):
+        made.append(pairs.count())
+        return compared(pairs, grams)
+
+    monkeypatch.setattr(near, "_compared", counted)
+    sums = []
+    for n in (1000, 4000):
+        made.clear()
+        classes = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(table(two_families(n))).collect()}
+        assert set(classes.values()) == {0, 1} and all(c == i % 2 for i, c in classes.items())
+        sums.append(sum(made))
+    assert sums[1] < 5 * sums[0] and sums[1] < 8 * 4000
+
+
+@pytest.mark.parametrize("few", [0, 4, 10**6])
+def test_classes_of_families_equal_brute_force(table, monkeypatch, few):
+    """However often the groups are compared by stars before all pairs are."""
+    monkeypatch.setattr(near, "FEW_PAIRS", few)
+    rnd = random.Random(9)
+    rows = two_families(160) + [(200 + i, t) for i, (_, t) in enumerate(two_families(60, seed=2))]
+    for i in range(40):  # chains: each a changed copy of the last
+        text = rows[-1][1].split()
+        for _ in range(rnd.randint(1, 2)):
+            text[rnd.randrange(len(text))] = f"z{i}"
+        rows.append((300 + i, " ".join(text)))
+    assert sorted(map(tuple, dart_minhash.near_duplicates(table(rows)).collect())) == brute.near_classes(rows)
+
+
+def test_fingerprints_equal_the_plain_ones():
+    texts = ["a b c d e f g h", "one two", "", "p " * 40]
+    x, begins = hashing.shingles(pa.array(texts))
+    found = minhash.signatures(x, begins)
+    for row in range(len(texts)):
+        own = [int(v) for v in x[begins[row] : begins[row + 1]]]
+        plain = [
+            min((((v * int(a) + int(b)) % 2**64) >> 32 for v in own), default=0xFFFFFFFF)
+            for a, b in zip(minhash._A, minhash._B)
+        ]
+        assert found[row].tolist() == plain
+        assert minhash.fingerprint_strings(found[row : row + 1]) == ["".join(f"{v % 65536:04x}" for v in plain)]
+    one, two = found[0].astype(int) % 65536, found[3].astype(int) % 65536
+    assert minhash.likeness(found[:1], found[3:])[0] == sum(one == two) / 128
+
+
 def test_one_of_each_class_stays(table, prose, odd_rows):
     odd = [r for r in odd_rows if r[1] != "another text of the same id"]
     rows = [(i + 100, t) for i, t in prose] + odd
