@@ -1,10 +1,13 @@
 """License scans by canonical digests.
 
-A text is brought to a canonical form: lower case, copyright notices at the start of
-lines (a mark with a year or second mark, and the holder) left out, equivalent spellings replaced, and everything but letters and digits
-turned to single spaces. The digest of the form is looked up among the digests of
-known licences by a hash join; so are the digests of single lines, which finds notices
-inside longer texts. Only DataFrame operations are used.
+A text is brought to a canonical form: copyright notices at the start of lines left out,
+lower case, equivalent spellings replaced, and everything but letters and digits turned
+to single spaces. The digest of the form is looked up among the digests of known licences
+by a hash join; so are the digests of single lines, which finds notices inside longer
+texts. Only DataFrame operations are used.
+
+A notice is a mark with a year or a second mark, and the rest of its line up to a phrase
+of a licence; or a line of the word "Copyright" and a holder alone, whose words are names.
 """
 
 from __future__ import annotations
@@ -63,43 +66,58 @@ SPELLINGS = {
     "ver": "version",
     "v": "version",
 }
-def _unlike(starts: tuple[str, ...], first: str = r"[^\s.]") -> str:
-    """Pattern of the part of a word up to where it differs from all ``starts``; written
-    without looking ahead, which the SQL form cannot."""
-    letters: dict[str, list[str]] = {}
-    for start in starts:
-        letters.setdefault(start[0], []).append(start[1:])
-    out = [rf"[^\s.{''.join(sorted(letters))}][^\s.]*"]
-    for letter, rest in sorted(letters.items()):
-        if all(rest):
-            out.append(f"{letter}(?:{_unlike(tuple(rest))})?")
-    return "|".join(out)
-
-
-#: Words that no holder's name goes on with.
-_LICENSE_WORDS = ("licens", "licenc", "permi", "redistribut", "distribut", "released")
-_YEAR = r"(?:(?:19|20)\d\d|[<\[{](?:yyyy|year))[^\s]*"
-_NAME_WORD = rf"(?:(?:{_unlike(_LICENSE_WORDS)})(?:\.[^\s.]+)*|(?:inc|ltd|corp|co|llc|jr|gmbh|[a-z])\.[,]?)"
-#: A notice at the start of a line: the mark, years (or a second mark) and the holder up to
-#: the end of the sentence or line, or to a word of a licence.
-_COPYRIGHT = (
-    r"(?m)^[^\p{L}\p{N}\n]*"
-    rf"(?:(?:copyright|©)[ \t:]*(?:\(c\)|©)[ \t,]*|(?:copyright|©|\(c\))[ \t:]*{_YEAR})"
-    rf"[ \t]*(?:{_NAME_WORD}(?:[ \t]+|$)){{0,40}}(?:{_NAME_WORD}\.)?(?:[ \t]+all rights reserved\.?)?"
-)
-
-
-def canonical(text: Column) -> Column:
-    """Canonical form of a text; null counts as empty."""
-    form = F.lower(F.coalesce(text, F.lit("")))
-    form = F.regexp_replace(form, _COPYRIGHT, " ")
-    form = F.regexp_replace(form, r"[^\p{L}\p{N}]+", " ")
+#: Phrases of a licence that may follow a notice on its line.
+PHRASES = (
+    "licensed under", "licenced under", "released under", "distributed under", "made available under", "permission is",
+    "permission to", "redistribution and use", "this program is", "this software is", "this library is", "this file is",
+    "this work is", "everyone is permitted", "subject to the terms", "use of this source", "spdx license identifier",
+    "spdx-license-identifier",
+)
+#: Words without a capital that a holder's name may have.
+NAME_WORDS = (
+    "and", "or", "of", "the", "by", "for", "other", "others", "its", "their", "contributors", "authors", "developers",
+    "team", "rights", "reserved", "all", "de", "van", "von", "et", "al",
+)
+_START = r"^[^\p{L}\p{N}]*"
+_YEAR = r"(?:(?:19|20)\d\d|[<\[{](?:yyyy|year))"
+_MARKED = rf"(?i){_START}(?:(?:copyright|©)[ \t:]*(?:\(c\)|©)|(?:copyright|©|\(c\))[ \t:]*{_YEAR})"
+_UP_TO_PHRASE = rf"[^\n]*?((?:{'|'.join(PHRASES)})|$)"
+_HOLDER = rf"{_START}(?:Copyright|COPYRIGHT)[ \t\r]+[^\p{{L}}\p{{N}}]*[\p{{Lu}}\p{{N}}]"
+_NAME = rf"^[^\p{{L}}\p{{N}}]*(?:[\p{{Lu}}\p{{N}}].*|(?:{'|'.join(NAME_WORDS)})[^\p{{L}}\p{{N}}]*)?$"
+
+
+def without_notice(line: Column) -> Column:
+    """A line without its copyright notice."""
+
+    def plain(line: Column) -> Column:
+        words = F.slice(F.split(F.regexp_replace(line, r"^[^\p{L}\p{N}]+", ""), r"[ \t\r]+"), 2, 1 << 30)
+        names = F.forall(words, lambda w: w.rlike(_NAME))
+        return (
+            F.when(line.rlike(_MARKED), F.regexp_replace(line, _MARKED + _UP_TO_PHRASE, " $1"))
+            .when(line.rlike(_HOLDER) & names, F.lit(" "))
+            .otherwise(line)
+        )
+
+    # Most lines have no mark at all.
+    return F.when(line.rlike(r"(?i)copyright|©|\(c\)"), plain(line)).otherwise(line)
+
+
+def _canonical(form: Column) -> Column:
+    form = F.regexp_replace(F.lower(form), r"[^\p{L}\p{N}]+", " ")
     form = F.concat(F.lit(" "), F.trim(form), F.lit(" "))
     for other, usual in SPELLINGS.items():
         form = F.replace(form, F.lit(f" {other} "), F.lit(f" {usual} "))
     return F.trim(form)
 
 
+def canonical(text: Column) -> Column:
+    """Canonical form of a text; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    lines = F.transform(F.split(text, "\n"), without_notice)
+    marked = text.rlike(r"(?i)copyright|©|\(c\)")
+    return _canonical(F.when(marked, F.array_join(lines, "\n")).otherwise(text))
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 

@@ -182,10 +182,32 @@ SELECT doc_id, domain, lang, source, n_tokens, unnest(range(1, n + 1))::INTEGER
 """
 
 
+# Written apart from the operator: notices by patterns over the whole text, spellings in
+# a list of their own.
+_SPELLINGS_SQL = [
+    ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("https", "http"),
+    ("organisation", "organization"), ("whilst", "while"), ("authorised", "authorized"),
+    ("non commercial", "noncommercial"), ("ver", "version"), ("v", "version"),
+]
+_LICENSE_START_SQL = (
+    "licen[sc]ed under|released under|distributed under|made available under|permission (?:is|to)|redistribution and use|"
+    "this (?:program|software|library|file|work) is|everyone is permitted|subject to the terms|use of this source|"
+    "spdx[ -]license[ -]identifier"
+)
+_SMALL_SQL = "and|or|of|the|by|for|others?|its|their|contributors|authors|developers|team|rights|reserved|all|de|van|von|et|al"
+
+
 def _canonical_sql(text: str) -> str:
-    form = f"regexp_replace(lower(coalesce({text}, '')), '{licenses._COPYRIGHT}', ' ', 'g')"
+    year = r"(?:(?:19|20)\d\d|[<\[{](?:yyyy|year))"
+    mark = rf"(?:(?:copyright|©)[ \t:]*(?:\(c\)|©)|(?:copyright|©|\(c\))[ \t:]*{year})"
+    notice = rf"(?im)^[^\p{{L}}\p{{N}}\n]*{mark}[^\n]*?({_LICENSE_START_SQL}|$)"
+    lead = r"[^\p{L}\p{N} \t\r\n]*"
+    first, later = rf"{lead}[\p{{Lu}}\p{{N}}][^ \t\r\n]*", rf"{lead}(?:[\p{{Lu}}\p{{N}}][^ \t\r\n]*|(?:{_SMALL_SQL}){lead})?"
+    holder = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:Copyright|COPYRIGHT)[ \t\r]+{first}(?:[ \t\r]+{later})*[ \t\r]*$"
+    form = f"regexp_replace(coalesce({text}, ''), '{notice}', ' \\1', 'g')"
+    form = f"lower(regexp_replace({form}, '{holder}', ' ', 'g'))"
     form = rf"' ' || trim(regexp_replace({form}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
-    for other, usual in licenses.SPELLINGS.items():
+    for other, usual in _SPELLINGS_SQL:
         form = f"replace({form}, ' {other} ', ' {usual} ')"
     return f"trim({form})"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 from pathlib import Path
 
@@ -62,6 +63,39 @@ def test_contamination_of_odd_rows(table, odd_rows):
     assert decontaminate.without_contaminated(docs, frame.limit(0)).count() == len(odd_rows)
 
 
+MIT = licenses._SHORT["MIT"]
+
+
+@pytest.mark.parametrize(
+    "notice",
+    [
+        "Copyright (c) 2020 The Foo Authors", "Copyright The Foo Authors", "COPYRIGHT FOO GMBH",
+        "Copyright Joyent, Inc. and other Node contributors. All rights reserved.",
+        "Copyright (c) 2020 Foo, Bar and Permissive Labs", "Copyright (c) 2018 Distributed Systems Ltd",
+        "Copyright © " + " ".join(f"Holder{i}" for i in range(45)), "(c) 2019 licence lovers <me@example.org>",
+        "// Copyright 2019-2021 someone, somewhere (https://example.org)\r", "Copyright (C) <year> <name>",
+        "Copyright " + " ".join(f"Holder{i}" for i in range(20_000)), "# Copyright 2001 A\n# Copyright 2002 B",
+    ],
+)
+def test_notices_are_left_out(spark, table, notice):
+    """A whole licence file is found whoever holds it, and on one line too."""
+    texts = [f"MIT License\n\n{notice}\n\n{MIT}", f"{notice}\n{MIT}"]
+    if re.search(r"\b20\d\d|©", notice) and "\n" not in notice:
+        texts.append(notice + " " + MIT.replace("\n", " "))
+    found = licenses.scan(table(list(enumerate(texts))), licenses.known_licenses(spark)).collect()
+    assert [r.license for r in found] == ["MIT"] * len(texts)
+
+
+def test_other_words_about_copyright_stay(table):
+    lines = [
+        "Copyright law protects works of 2020.", "Copyright and Similar Rights means rights", "(c) an item of a list",
+        '"Copyright Holder" means the individual', "The copyright (c) of 2020 is theirs", "Copyright", "copyright foo",
+    ]
+    rows = table(list(enumerate(lines))).select("doc_id", "text", licenses.canonical(F.col("text")).alias("form"))
+    for r in rows.collect():
+        assert r.form == " ".join(re.findall(r"[^\W_]+", r.text.lower()))
+
+
 def test_short_items_inside_long_documents(table):
     rnd = random.Random(23)
     other = lambda n: [f"o{rnd.randrange(50)}" for _ in range(n)]
