@@ -82,7 +82,8 @@ _START = r"^[^\p{L}\p{N}]*"
 _YEAR = r"(?:(?:19|20)\d\d|[<\[{](?:yyyy|year))"
 _MARKED = rf"(?i){_START}(?:(?:copyright|©)[ \t:]*(?:\(c\)|©)|(?:copyright|©|\(c\))[ \t:]*{_YEAR})"
 _UP_TO_PHRASE = rf"[^\n]*?((?:{'|'.join(PHRASES)})|$)"
-_HOLDER = rf"{_START}(?:Copyright|COPYRIGHT)[ \t\r]+[^\p{{L}}\p{{N}}]*[\p{{Lu}}\p{{N}}]"
+#: In capitals the word also stands in disclaimers.
+_HOLDER = rf"{_START}Copyright[ \t\r]+[^\p{{L}}\p{{N}}]*[\p{{Lu}}\p{{N}}]"
 _NAME = rf"^[^\p{{L}}\p{{N}}]*(?:[\p{{Lu}}\p{{N}}].*|(?:{'|'.join(NAME_WORDS)})[^\p{{L}}\p{{N}}]*)?$"
 
 

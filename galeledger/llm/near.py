@@ -4,16 +4,17 @@ Copies (texts with the same shingles) are one node. Nodes that share a band are
 candidates; two nodes are linked if the exact Jaccard similarity of their shingle
 sets reaches the threshold, and a class is a connected component of links.
 
-Pairs of a whole group are not made first. The members of a band are compared with its
-hub, those that fail once more with a hub of their own, so a group of copies costs one
-or two pairs per member. That joins most of what belongs together. Of the other pairs
-in a band only those of different components can matter, and of them only those that
-differ from the hub in the same places (:func:`_unlinked`). While these are many, the
-texts that differ in one place are compared with one of them and components are joined,
-round after round; then all pairs that are left are compared. So no link between
-components is lost. Labels, pairs and shingles are tables throughout.
-
-Shingles are compared by 64-bit hashes.
+No pairs of a whole group are made. The members of a band are compared with its hub,
+those that fail once more with a hub of their own, so a group of copies costs one or
+two pairs per member. That joins most of what belongs together. Of the other pairs
+in a band only those of different components can matter, and of them only those
+that can be similar after what both have in common with the hub; these are found by
+what they share outside the hub, between components whose sizes allow a similar pair,
+and compared too. So no link between components is lost. Labels, pairs and shingles are
+tables throughout.
+
+Elements are compared by 32-bit hashes: of two texts of n different elements each, some
+two are taken for equal with a chance of about n * n / 2^32.
 """
 
 from __future__ import annotations
@@ -34,8 +35,6 @@ Bands = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
-#: Pairs for each text up to which all are compared at once.
-FEW_PAIRS = 4
 
 
 def near_classes(
@@ -117,7 +116,7 @@ def _components(docs, bands, threshold, words, counted, id_col, text_col) -> Dat
     wanted = members.select("doc_id").distinct().hint("merge")
     grams = materialise(
         plain.join(wanted, "doc_id", "left_semi").mapInArrow(
-            lambda it: _grams(it, words, counted), "tid binary, grams array<long>"
+            lambda it: _grams(it, words, counted), "tid binary, grams array<int>"
         ),
         "shingles",
     )
@@ -128,28 +127,15 @@ def _components(docs, bands, threshold, words, counted, id_col, text_col) -> Dat
     two = materialise(_compared(_pairs(_with_hub(again.drop("hub"))), grams), "compared")
     links = _linked(one, threshold).unionByName(_linked(two, threshold))
     labels = _merge(placed.select("tid", F.col("tid").alias("component")).distinct(), links)
-    apart = _unlinked(one, labels, threshold)
-    while True:
-        rows = materialise(apart.join(labels.toDF("a", "component"), "a"), "texts")
-        crossings = materialise(_crossings(rows, threshold), "crossings")
-        size = crossings.agg(F.sum(F.col("n") * F.col("x_n")).alias("pairs")).first()["pairs"] or 0
-        if size <= FEW_PAIRS * signed.count():
-            break
-        stars = _ordered(_stars(rows, crossings), threshold)
-        found = _linked(materialise(_compared(stars, grams), "compared"), threshold)
-        if found.isEmpty():
-            break
-        labels = _merge(labels, found)
-    if size:
-        rest = materialise(_compared(_ordered(_crossed(rows, crossings), threshold), grams), "compared")
-        labels = _merge(labels, _linked(rest, threshold))
+    rest = materialise(_compared(_unlinked(one, labels, threshold), grams), "compared")
+    labels = _merge(labels, _linked(rest, threshold))
     return signed.join(labels, "tid", "left").select(
         "doc_id", "tid", F.coalesce("component", "tid").alias("component")
     )
 
 
 def _elements(x: np.ndarray, begins: np.ndarray, counted: bool) -> list[np.ndarray]:
-    """The sorted distinct elements of each text."""
+    """The sorted distinct 32-bit elements of each text."""
     out = []
     for a, b in zip(begins[:-1], begins[1:]):
         own = np.sort(x[a:b])
@@ -160,7 +146,7 @@ def _elements(x: np.ndarray, begins: np.ndarray, counted: bool) -> list[np.ndarr
             own = hashing.mix(own + (np.arange(len(own)) - first).astype(np.uint64) * _STEP)
         else:
             own = hashing.mix(own[new])
-        out.append(np.unique(own))
+        out.append(np.unique((own >> np.uint64(32)).astype(np.uint32)))
     return out
 
 
@@ -207,9 +193,9 @@ def _grams(
         texts = part.column("text")
         x, begins = hashing.shingles(texts, words)
         tids = pa.array(_tids(texts, x, begins, counted), pa.binary())
-        found = [e.view(np.int64) for e in _elements(x, begins, counted)]
+        found = [e.view(np.int32) for e in _elements(x, begins, counted)]
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
         grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         yield pa.record_batch([tids, grams], ["tid", "grams"])
 
@@ -236,17 +222,14 @@ def _pairs(placed: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """``pairs`` with the sizes of both sets, of what they share, and the differences:
-    what only ``a`` has and what only ``b`` has."""
+    """``pairs`` with the sizes of both sets, of what they share, and what only ``a`` has."""
     one = grams.select(F.col("tid").alias("a"), F.col("grams").alias("one"))
     two = grams.select(F.col("tid").alias("b"), F.col("grams").alias("two"))
+    added = F.array_except("one", "two")
     return (
         pairs.join(one, "a")
         .join(two, "b")
-        .select(
-            "a", "b", F.size("one").alias("size_a"), F.size("two").alias("size_b"),
-            F.array_except("one", "two").alias("added"), F.array_except("two", "one").alias("lacking"),
-        )
+        .select("a", "b", F.size("one").alias("size_a"), F.size("two").alias("size_b"), added.alias("added"))
         .withColumn("same", F.col("size_a") - F.size("added"))
     )
 
@@ -262,136 +245,86 @@ def _linked(compared: DataFrame, threshold: float) -> DataFrame:
 
 
 def _unlinked(compared: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """``(b, texts, kind, a, failed, size, hub, l, d)``: texts around a hub that differ from
-    it in the same places, with their sizes, that of the hub, and numbers of elements that
-    they are lacking and that differ. Every similar pair of different components around one hub has a row of one
-    place in common, and one of the pair failed.
-
-    Let ``c`` be a hub that lacks what ``s`` adds and of which ``s`` is lacking ``l``
-    elements, and so for ``x``. What ``s`` and ``x`` share is all of ``c`` but what either
-    is lacking, and what both add. So for a similarity of ``t`` the differences of ``s`` and
-    of ``x`` must have in common ``t / (1 + t) (|s| + |x|) - |c| + l_s + l_x`` elements at
-    least. That is more than 0 if ``s`` failed, and least for an ``x`` of the size of ``c``
-    or the size next to it that can be similar to ``s``. With the elements of the
-    differences around a hub in order from rare to frequent, two texts that have so many in
-    common share one of their first ones: all but that number less one. Elements that the
-    same texts have are one.
+    """All pairs of different components around one hub that can be similar.
+
+    Let ``s`` fail with hub ``c``. What ``s`` and ``x`` share is what they share outside
+    ``c``, plus at most the lesser of what each shares with ``c``; to be similar it must
+    reach ``t / (1 + t)`` of the sum of their sizes. So either ``x`` is so much shorter
+    than ``c`` that what ``s`` shares with ``c`` is enough (where no ``x`` of the hub is as
+    short as that, nothing is joined), or both must share at least some number of
+    elements outside ``c``. Then, with the elements of a hub in order from rare to
+    frequent, they share one among their first ones: all but that number less one.
+    Elements that the same texts have are joined as one.
     """
     need = threshold / (1 + threshold)
     slack = 1e-6
-    failed = ~_similar(threshold)
-    of = compared.join(labels.toDF("a", "component"), "a")
-    # Hubs whose members are not yet one component.
-    open_hubs = (
-        of.groupBy(F.struct("b").alias("key"))
-        .agg(F.max(failed).alias("any"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("any AND low != high")
-        .select("key.b")
-    )
     around = materialise(
-        compared.join(open_hubs, "b").select(
-            "b", "a", F.col("size_a").alias("size"), F.col("size_b").alias("hub"), failed.alias("failed"),
-            F.size("lacking").alias("l"), (F.size("added") + F.size("lacking")).alias("d"),
-            # An element that is added is not the same place as one that is lacking.
-            F.concat(
-                F.transform("added", lambda e: F.struct(e.alias("e"), F.lit(True).alias("added"))),
-                F.transform("lacking", lambda e: F.struct(e.alias("e"), F.lit(False).alias("added"))),
-            ).alias("places"),
+        compared.join(labels.toDF("a", "component"), "a").select(
+            "b", "a", "component", F.col("size_a").alias("size"), "same",
+            (~_similar(threshold)).alias("failed"), "added",
         ),
         "around",
     )
-    shortest = around.groupBy(F.struct("b").alias("key")).agg(F.min("size").alias("shortest"))
-    own, hub = F.col("size"), F.col("hub")
-    other = F.greatest(F.least(hub, own / threshold), F.col("shortest"), threshold * own)
-    common = need * (own + other) - hub + F.col("l") + F.greatest(F.lit(0), hub - other)
-    wanted = F.greatest(F.lit(1), F.ceil(common - slack))
+    shortest = around.groupBy("b").agg(F.min("size").alias("shortest"))
+    apart = F.col("component") != F.col("x_component")
+
+    least = F.greatest(F.col("shortest"), threshold * F.col("size"))
+    outside = F.greatest(F.lit(1), F.ceil(need * (F.col("size") + least) - F.col("same") - slack))
     rows = (
-        around.join(shortest.select("key.b", "shortest"), "b")
-        .withColumn("first", F.size("places") - wanted + 1)
+        around.join(shortest, "b")
+        .withColumn("first", F.size("added") - outside + 1)
         .filter("first > 0")
-        .select("b", "a", "failed", "size", "hub", "l", "d", "first", F.explode("places").alias("place"))
+        .select("b", "a", "component", "failed", "size", "first", F.explode("added").alias("element"))
     )
-    kinds = rows.groupBy("b", "place").agg(
+    kinds = rows.groupBy("b", "element").agg(
         F.count(F.lit(1)).alias("texts"), F.bit_xor(F.xxhash64("a")).alias("kind")
     )
     before = Window.partitionBy("b", "a").orderBy("texts", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    return materialise(
-        rows.join(kinds, ["b", "place"])
-        .groupBy("b", "a", "failed", "size", "hub", "l", "d", "first", "texts", "kind")
+    first = materialise(
+        rows.join(kinds, ["b", "element"])
+        .groupBy("b", "a", "component", "failed", "size", "first", "texts", "kind")
         .agg(F.count(F.lit(1)).alias("weight"))
         .withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .filter("texts > 1 AND before < first")
-        .select("b", "texts", "kind", "a", "failed", "size", "hub", "l", "d"),
+        .select("b", "texts", "kind", "a", "component", "failed", "size"),
         "places",
     )
-
-
-_PLACE = ["b", "texts", "kind"]
-
-
-def _crossings(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of components that meet in a place and can have a similar pair there, of which
-    the second one (``x_``) failed, with the numbers of texts. Bounds of whole components
-    leave out most of them."""
-    one = rows.groupBy(*_PLACE, "component").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failures"),
-        F.min("size").alias("least"), F.max("size").alias("most"), F.min("l").alias("l"), F.max("d").alias("d"),
-        F.min("hub").alias("hub"),
-    )
-    meeting = one.groupBy(F.struct(*_PLACE).alias("key")).agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("failures").alias("any")
+    place = ["b", "texts", "kind"]
+    alike = lambda one, two: F.least(one, two) >= threshold * F.greatest(one, two) - slack
+    # Components that meet in a place; those of quite different sizes have no similar pair.
+    parts = first.groupBy(*place, "component").agg(
+        F.min("size").alias("low"), F.max("size").alias("high"), F.max("failed").alias("any")
     )
-    one = materialise(one.join(meeting.filter("parts > 1 AND any > 0").select("key.*"), _PLACE), "parts")
-    two = one.filter("failures > 0").select(
-        *_PLACE, *[F.col(c).alias(f"x_{c}") for c in ("component", "least", "most", "l", "d")],
-        F.col("failures").alias("x_n"),
+    failures = parts.filter("any").select(
+        *place, F.col("component").alias("x_component"), F.col("low").alias("x_low"), F.col("high").alias("x_high")
     )
-    sizes = (F.col("most") >= threshold * F.col("x_least")) & (F.col("x_most") >= threshold * F.col("least"))
-    able = _common(threshold, "least", "l", "x_least", "x_l") <= F.least("d", "x_d")
-    return (
-        one.join(two, _PLACE)
-        .filter(F.col("component") != F.col("x_component"))
-        .filter(sizes & able)
-        .select(*_PLACE, "component", "n", "x_component", "x_n")
+    near = (F.col("high") >= threshold * F.col("x_low") - slack) & (F.col("x_high") >= threshold * F.col("low") - slack)
+    meeting = parts.join(failures, place).filter(apart & near).select(*place, "component", "x_component")
+    through = (
+        first.select(*place, F.col("a").alias("x"), "component", F.col("size").alias("x_size"))
+        .join(meeting, [*place, "component"])
+        .join(
+            first.filter("failed").select(*place, F.col("a").alias("s"), F.col("component").alias("x_component"), "size"),
+            [*place, "x_component"],
+        )
+        .filter(alike("size", "x_size"))
+        .select("s", "x")
     )
 
-
-def _common(threshold: float, size: str, l: str, x_size: str, x_l: str) -> Column:  # noqa: E741
-    """How much the differences of two texts from their hub have in common at least."""
-    need = threshold / (1 + threshold)
-    return need * (F.col(size) + F.col(x_size)) - F.col("hub") + F.col(l) + F.col(x_l) - 1e-6
-
-
-def _others(rows: DataFrame) -> DataFrame:
-    failed = rows.filter("failed").select(*_PLACE, "component", "a", "size", "l", "d")
-    return failed.toDF(*_PLACE, "x_component", "x", "x_size", "x_l", "x_d")
-
-
-def _stars(rows: DataFrame, crossings: DataFrame) -> DataFrame:
-    """One failed text of each place with those of the components that cross its own."""
-    able = crossings.select(*_PLACE, "x_component").distinct()
-    centres = (
-        _others(rows).join(able, [*_PLACE, "x_component"])
-        .groupBy(F.struct(*_PLACE).alias("key"))
-        .agg(F.min(F.struct(F.xxhash64("x_component", "x").alias("h"), "x_component", "x", "x_size", "x_l", "x_d")).alias("c"))
-        .select("key.*", "c.*")
-        .drop("h")
+    other = around.select(
+        "b", F.col("a").alias("x"), F.col("component").alias("x_component"), F.col("size").alias("x_size")
     )
-    met = crossings.select(*_PLACE, "component", "x_component")
-    return rows.join(met, [*_PLACE, "component"]).join(centres, [*_PLACE, "x_component"])
-
-
-def _crossed(rows: DataFrame, crossings: DataFrame) -> DataFrame:
-    """All pairs of texts of the components that cross in a place, of which one failed."""
-    met = crossings.select(*_PLACE, "component", "x_component")
-    return rows.join(met, [*_PLACE, "component"]).join(_others(rows), [*_PLACE, "x_component"])
-
-
-def _ordered(pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)`` that can be similar, each once."""
-    sizes = F.least("size", "x_size") >= threshold * F.greatest("size", "x_size")
-    able = _common(threshold, "size", "l", "x_size", "x_l") <= F.least("d", "x_d")
-    return pairs.filter(sizes & able).select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
+    reach = F.col("same") / need - F.col("size") + slack
+    short = (
+        around.filter("failed").drop("added")
+        .join(shortest, "b")
+        .filter(reach >= F.col("shortest"))
+        .join(other, "b")
+        .filter(apart & (F.col("x_size") <= reach) & (F.col("x_size") >= threshold * F.col("size") - slack))
+        .select(F.col("a").alias("s"), "x")
+    )
+    both = through.unionByName(short)
+    return both.select(F.least("s", "x").alias("a"), F.greatest("s", "x").alias("b")).distinct()
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -203,7 +203,7 @@ def _canonical_sql(text: str) -> str:
     notice = rf"(?im)^[^\p{{L}}\p{{N}}\n]*{mark}[^\n]*?({_LICENSE_START_SQL}|$)"
     lead = r"[^\p{L}\p{N} \t\r\n]*"
     first, later = rf"{lead}[\p{{Lu}}\p{{N}}][^ \t\r\n]*", rf"{lead}(?:[\p{{Lu}}\p{{N}}][^ \t\r\n]*|(?:{_SMALL_SQL}){lead})?"
-    holder = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:Copyright|COPYRIGHT)[ \t\r]+{first}(?:[ \t\r]+{later})*[ \t\r]*$"
+    holder = rf"(?m)^[^\p{{L}}\p{{N}}\n]*Copyright[ \t\r]+{first}(?:[ \t\r]+{later})*[ \t\r]*$"
     form = f"regexp_replace(coalesce({text}, ''), '{notice}', ' \\1', 'g')"
     form = f"lower(regexp_replace({form}, '{holder}', ' ', 'g'))"
     form = rf"' ' || trim(regexp_replace({form}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"

@@ -123,10 +123,7 @@ def test_pairs_grow_with_the_texts_not_their_square(table, monkeypatch):
     assert sums[1] < 5 * sums[0] and sums[1] < 8 * 4000
 
 
-@pytest.mark.parametrize("few", [0, 4, 10**6])
-def test_classes_of_families_equal_brute_force(table, monkeypatch, few):
-    """However often the groups are compared by stars before all pairs are."""
-    monkeypatch.setattr(near, "FEW_PAIRS", few)
+def test_classes_of_families_equal_brute_force(table):
     rnd = random.Random(9)
     rows = two_families(160) + [(200 + i, t) for i, (_, t) in enumerate(two_families(60, seed=2))]
     for i in range(40):  # chains: each a changed copy of the last

@@ -69,7 +69,7 @@ MIT = licenses._SHORT["MIT"]
 @pytest.mark.parametrize(
     "notice",
     [
-        "Copyright (c) 2020 The Foo Authors", "Copyright The Foo Authors", "COPYRIGHT FOO GMBH",
+        "Copyright (c) 2020 The Foo Authors", "Copyright The Foo Authors", "Copyright FOO GMBH",
         "Copyright Joyent, Inc. and other Node contributors. All rights reserved.",
         "Copyright (c) 2020 Foo, Bar and Permissive Labs", "Copyright (c) 2018 Distributed Systems Ltd",
         "Copyright © " + " ".join(f"Holder{i}" for i in range(45)), "(c) 2019 licence lovers <me@example.org>",
