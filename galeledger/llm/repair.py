@@ -47,8 +47,10 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
             after, before = after[:n], before[:n]
             after[:], before[:] = np.arange(1, n + 1), np.arange(-1, n - 1)
             gone, busy, rank_at = np.zeros(n, bool), np.zeros(n, bool), rank_at[: n + 2]
-        follows = after[at]
-        first, then = sequence[at], sequence[follows]
+        # At first every place is looked at, one after the other.
+        whole = len(at) == n - 1
+        follows = after[:-1] if whole else after[at]
+        first, then = (sequence[:-1], sequence[1:].copy()) if whole else (sequence[at], sequence[follows])
         odd = _overlapped(first, then, at, follows)
         waiting = at[odd]
         # No symbol is as great, so these count for no pair.
@@ -59,12 +61,19 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         frequent = np.flatnonzero(ranks)
         if not len(frequent):
             break
-        at, ranks, follows = at[frequent], ranks[frequent], follows[frequent]
         # A pair is replaced where it outranks its neighbours; the first of all always is.
-        rank_at[at + 1] = ranks
-        best = (ranks > rank_at[before[at] + 1]) & (ranks > rank_at[follows + 1])
-        waiting_ranks = rank_at[before[waiting] + 1]
-        rank_at[at + 1] = 0
+        if whole:
+            rank_at[1:n] = ranks
+            best = ((ranks > rank_at[: n - 1]) & (ranks > rank_at[2 : n + 1]))[frequent]
+            at, ranks, follows = frequent, ranks[frequent], frequent + 1
+            waiting_ranks = rank_at[waiting]
+            rank_at[:] = 0
+        else:
+            at, ranks, follows = at[frequent], ranks[frequent], follows[frequent]
+            rank_at[at + 1] = ranks
+            best = (ranks > rank_at[before[at] + 1]) & (ranks > rank_at[follows + 1])
+            waiting_ranks = rank_at[before[waiting] + 1]
+            rank_at[at + 1] = 0
         paying = np.bincount(ranks[best], minlength=len(pairs)) >= LEAST_USES
         pays = paying[ranks]
         best &= pays
