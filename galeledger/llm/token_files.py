@@ -39,7 +39,7 @@ END_ID = 2
 #: Larger than every id of the vocabulary; two-byte ids travel below it.
 BASE = 1 << 16
 #: Bytes of text in a shard, about; a longer text is a shard of its own.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 _SHARD = (
     "part int, shard int, n_tokens long, base long, doc_ids binary, doc_tokens binary, "
