@@ -26,7 +26,7 @@ from galeledger.llm import hashing
 from galeledger.llm.language_id import held_out
 
 #: Labelled texts per class in the training sample, about.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 3000
 #: Bits of a bucket's number.
 BITS = 20
 BUCKETS = 1 << BITS
