@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -12,10 +13,13 @@ from galeledger.functions.columns import column_function, constant, let, strings
 from galeledger.functions.text import (
     SPACE,
     ascii_digits,
+    checksum,
     contains_any,
-    name_tokens,
+    likely_names,
+    likely_sums,
+    listed_marks,
+    listed_values,
     quote,
-    runs_of,
     search_text,
 )
 from galeledger.vocab import (
@@ -308,47 +312,18 @@ def place_names(text: Column, listed: Sequence[tuple[str, str]]) -> Column:
     each once.
 
     ``listed`` has, for each name, its tokens joined by a space and the name as it
-    is reported. Longer names are looked for where their first word occurs.
+    is reported. The work on a text grows with its words, whatever the list: filters
+    tell the places where a name may stand, and what they let through is looked up.
     """
-    by_length: dict[int, list[str]] = {}
-    for key, _ in sorted(listed):
-        by_length.setdefault(key.count(" ") + 1, []).append(key)
-    names = constant(dict(listed), "map<string,string>")
-    found = "array<struct<pos:bigint,words:int,key:string>>"
-
-    def hits(places: Column, runs: Column, n: int) -> Column:
-        return F.transform(
-            F.array_intersect(runs, strings(by_length[n])),
-            lambda h: F.struct(
-                F.element_at(places, F.array_position(runs, h).cast("int")).cast("bigint").alias("pos"),
-                F.lit(n).alias("words"),
-                h.alias("key"),
-            ),
-        )
-
-    def of_length(tokens: Column, n: int) -> Column:
-        every = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        enough = F.size(tokens) >= n
-        if n == 1:
-            return F.when(enough, hits(every, tokens, 1)).otherwise(constant([], found))
-        first_words = strings({key.split(" ")[0] for key in by_length[n]})
-
-        def from_places(places: Column) -> Column:
-            runs = F.transform(places, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-            return let(runs, lambda r: hits(places, r, n))
-
-        def from_present(present: Column) -> Column:
-            starts = F.filter(every, lambda i: F.array_contains(present, F.element_at(tokens, i)))
-            return F.when(enough & (F.size(present) > 0), let(starts, from_places)).otherwise(
-                constant([], found)
-            )
-
-        return let(F.array_intersect(tokens, first_words), from_present)
-
-    def search(tokens: Column) -> Column:
-        all_hits = F.concat(*[of_length(tokens, n) for n in by_length])
-        return F.transform(F.array_sort(all_hits), lambda h: F.element_at(names, h["key"]))
-
-    if not by_length:
+    names = dict(listed)
+    if not names:
         return strings()
-    return F.coalesce(let(name_tokens(text), search), strings())
+    whole = likely_sums(zlib.crc32(key.encode()) for key in names)
+    likely = likely_names(
+        text,
+        sorted({key.count(" ") + 1 for key in names}),
+        lambda token: F.lit(True),
+        lambda run: whole(checksum(run)),
+        listed_marks(names),
+    )
+    return F.coalesce(let(likely, lambda keys: listed_values(keys, names.items())), strings())

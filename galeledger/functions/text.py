@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
@@ -206,15 +207,90 @@ def name_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(NAME_TOKEN), F.lit(0))
 
 
-def runs_of(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring tokens, joined by a space, in order."""
-    if n == 1:
-        return tokens
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-        lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "),
+#: Bits of a filter for each listed value, and the binary logarithm of the most in all.
+VALUE_BITS = 16
+MOST_WIDTH = 20
+
+
+def bit_test(words: Sequence[int]) -> Callable[[Column], Column]:
+    """Whether the bit at a place of a field is set, given as signed 64-bit words."""
+    field = constant(list(words), "array<bigint>")
+
+    def is_set(spot: Column) -> Column:
+        word = F.element_at(field, (F.shiftright(spot, 6) + 1).cast("int"))
+        return F.getbit(word, spot.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+    return is_set
+
+
+def checksum(value: Column) -> Column:
+    """The CRC-32 of a string, which the driver knows too."""
+    return F.crc32(value.cast("binary"))
+
+
+def likely_sums(sums: Iterable[int]) -> Callable[[Column], Column]:
+    """A test that is true for the given numbers below 2^38, and false for most others, by
+    their last bits in a literal field."""
+    sums = set(sums)
+    mask = (1 << min(MOST_WIDTH, max(12, (VALUE_BITS * len(sums)).bit_length()))) - 1
+    words = [0] * (mask + 1 >> 6)
+    for number in sums:
+        words[(number & mask) >> 6] |= 1 << (number & 63)
+    is_set = bit_test([w - (1 << 64) if w >> 63 else w for w in words])
+    return lambda number: is_set(number.bitwiseAND(F.lit(mask).cast("long")))
+
+
+def listed_values(keys: Column, rows: Iterable[tuple[str, str]]) -> Column:
+    """The values that a list of ``(key, value)`` with different keys has for ``keys``,
+    in their order. A key is compared with those of equal checksum bits only."""
+    rows = list(rows)
+    size = 1 << max(0, len(rows) - 1).bit_length()
+    places: list[list[dict[str, str]]] = [[] for _ in range(size)]
+    for key, value in rows:
+        places[zlib.crc32(key.encode()) & size - 1].append({"key": key, "value": value})
+    table = constant(places, "array<array<struct<key:string,value:string>>>")
+
+    def of(key: Column) -> Column:
+        place = F.element_at(table, (checksum(key).bitwiseAND(F.lit(size - 1).cast("long")) + 1).cast("int"))
+        return F.transform(F.filter(place, lambda r: r["key"] == key), lambda r: r["value"])
+
+    return F.flatten(F.transform(keys, of))
+
+
+#: Per token, 1 if it may be a name, plus 2 if a longer name may begin there.
+Marks = Callable[[Column], Column]
+
+
+def name_marks(
+    hashed: Callable[[Column], Column],
+    single: Callable[[Column], Column],
+    first: Callable[[Column], Column],
+    pair: Callable[[Column, Column], Column],
+) -> Marks:
+    """Marks by the hash of each token, computed once: whether it may be a name, or begin
+    one together with the next token."""
+
+    def of(hashes: Column) -> Column:
+        return F.transform(
+            hashes,
+            lambda h, i: F.when(single(h), 1).otherwise(0)
+            + F.when((i + 1 < F.size(hashes)) & first(h) & pair(h, F.get(hashes, i + 1)), 2).otherwise(0),
+        )
+
+    return lambda tokens: let(F.transform(tokens, hashed), of)
+
+
+def listed_marks(keys: Iterable[str]) -> Marks:
+    """Marks for a list of names, given by their tokens joined by a space."""
+    sums = [[zlib.crc32(t.encode()) for t in key.split(" ")] for key in keys]
+    joined = lambda one, two: one * 31 + two
+    pair = likely_sums(joined(s[0], s[1]) for s in sums if len(s) > 1)
+    return name_marks(
+        checksum,
+        likely_sums(s[0] for s in sums if len(s) == 1),
+        likely_sums(s[0] for s in sums if len(s) > 1),
+        lambda one, two: pair(joined(one, two)),
     )
-    return F.when(F.size(tokens) >= n, runs).otherwise(strings())
 
 
 def likely_names(
@@ -222,18 +298,28 @@ def likely_names(
     lengths: Sequence[int],
     begins: Callable[[Column], Column],
     known: Callable[[Column], Column],
+    marks: Marks | None = None,
 ) -> Column:
     """The different runs of tokens of the given lengths, by first position, shorter runs
-    first, whose first token passes ``begins`` and which pass ``known`` themselves."""
-    sizes = constant(sorted(lengths), "array<int>")
+    first, whose first token passes ``begins`` and which pass ``known`` themselves. With
+    ``marks``, runs are formed only where these allow them."""
+    longer = sorted({n for n in lengths if n > 1})
+    sizes = constant(longer, "array<int>")
+    mark = (1 if 1 in lengths else 0) + (2 if longer else 0)
 
-    def at(tokens: Column, i: Column) -> Column:
+    def at(tokens: Column, i: Column, mark: Column) -> Column:
         fitting = F.filter(sizes, lambda n: n <= F.size(tokens) - i + 1)
-        return F.filter(F.transform(fitting, lambda n: F.array_join(F.slice(tokens, i, n), " ")), known)
+        runs = F.filter(F.transform(fitting, lambda n: F.array_join(F.slice(tokens, i, n), " ")), known)
+        single = F.array(F.element_at(tokens, i))
+        return F.when(mark == 1, single).when(mark == 2, runs).otherwise(F.concat(single, runs))
+
+    def every(tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: F.when(begins(t), mark).otherwise(0))
 
     def runs(tokens: Column) -> Column:
-        every = F.sequence(F.lit(1), F.size(tokens))
-        starts = F.filter(every, lambda i: begins(F.element_at(tokens, i)))
-        return F.array_distinct(F.flatten(F.transform(starts, lambda i: at(tokens, i))))
+        placed = F.transform((marks or every)(tokens), lambda m, i: i * 4 + m.bitwiseAND(F.lit(mark)) + 4)
+        marked = F.filter(placed, lambda m: m % 4 > 0)
+        found = F.flatten(F.transform(marked, lambda m: at(tokens, F.shiftright(m, 2), m % 4)))
+        return F.filter(F.array_distinct(found), known)
 
     return let(name_tokens(text), lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(strings()))

@@ -11,7 +11,10 @@ from galeledger.functions.geo import dms_to_degrees
 from galeledger.functions.text import (
     ascii_digits,
     likely_names,
+    listed_marks,
+    listed_values,
     mentions_any,
+    name_tokens,
     scan_groups,
     whole_word_hits,
 )
@@ -88,6 +91,15 @@ def test_likely_names(evaluate):
     assert some == [["b", "b a b"]]
 
 
+def test_runs_are_formed_only_where_a_name_may_stand(evaluate):
+    """However many names begin with a frequent word, longer runs start in few places."""
+    keys = ["Suur", "tee", *[f"Suur k{i} tee" for i in range(2000)]]
+    value = "Suur x Suur k7 tee Suur"
+    assert evaluate([value], lambda t: listed_marks(keys)(name_tokens(t))) == [[1, 0, 3, 0, 1, 1]]
+    names = evaluate([value], lambda t: listed_values(name_tokens(t), [("tee", "T."), ("Suur", "S.")]))
+    assert names == [["S.", "S.", "T.", "S."]]
+
+
 def test_coordinates(evaluate):
     values = evaluate(
         ["N 58°51’59”", "S 58°51'59\"", "W 0°30’0”", "58°51’", "", None], dms_to_degrees
