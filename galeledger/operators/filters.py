@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeledger.functions.columns import constant
+from galeledger.functions.text import bit_test
 
 #: Most bits of a filter (128 KB, which every task gets), and bits for each key.
 MOST_BITS = 1 << 20
@@ -21,10 +21,9 @@ KEY_BITS = 16
 FULL = 0.9
 
 
-def _spots(value: Column, bits: int) -> tuple[Column, Column]:
-    """Two numbers below ``bits`` from one hash of the value."""
+def _spots(hashed: Column, bits: int) -> tuple[Column, Column]:
+    """Two numbers below ``bits`` from one hash."""
     mask = F.lit(bits - 1).cast("long")
-    hashed = F.xxhash64(value)
     return hashed.bitwiseAND(mask), F.shiftrightunsigned(hashed, 32).bitwiseAND(mask)
 
 
@@ -40,6 +39,12 @@ def key_filter(keys: DataFrame, column: str, most: int = MOST_BITS) -> Callable[
     bits are gathered by Spark; at most ``most / 64`` numbers come to the driver and go into
     the plan as one literal. If the keys are too many for that, the test is always true.
     """
+    known = hash_filter(keys.select(F.xxhash64(column).alias("hash")), "hash", most)
+    return lambda value: known(F.xxhash64(value))
+
+
+def hash_filter(keys: DataFrame, column: str, most: int = MOST_BITS) -> Callable[[Column], Column]:
+    """As :func:`key_filter` for a column that holds 64-bit hashes."""
     bits = filter_bits(keys.count(), most)
     spot = F.col("spot")
     word = F.floor(spot / 64).cast("int")
@@ -55,15 +60,11 @@ def key_filter(keys: DataFrame, column: str, most: int = MOST_BITS) -> Callable[
         words[row["word"]] = row["set"]
     if sum((w & (1 << 64) - 1).bit_count() for w in words) > FULL * bits:
         return lambda value: F.lit(True)
-    field = constant(words, "array<bigint>")
-
-    def is_set(spot: Column) -> Column:
-        word = F.element_at(field, (F.shiftright(spot, 6) + 1).cast("int"))
-        return F.getbit(word, spot.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+    is_set = bit_test(words)
 
-    def known(value: Column) -> Column:
+    def known(hashed: Column) -> Column:
         # The second bit is looked up only where the first is set.
-        first, second = _spots(value, bits)
+        first, second = _spots(hashed, bits)
         return is_set(first) & is_set(second)
 
     return known

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from galeledger.functions.columns import constant, let, once, strings
 from galeledger.functions.events import first_of, locations, place_names
-from galeledger.functions.text import likely_names, name_tokens
-from galeledger.operators.filters import key_filter
+from galeledger.functions.text import likely_names, name_marks, name_tokens
+from galeledger.operators.filters import hash_filter, key_filter
 from galeledger.operators.joins import per_key
 from galeledger.session import materialise
 from galeledger.vocab import LOCATION_STOPWORDS, Place
@@ -156,15 +156,25 @@ def clean_names(names: DataFrame, stopwords: Sequence[str] = LOCATION_STOPWORDS)
 def name_hits(articles: DataFrame, listed: DataFrame, text: str = "text") -> DataFrame:
     """``(text_key, found)``: the listed names in a text, by position.
 
-    Runs of words are formed only where a word stands that begins a name, and only those
-    that a filter of all names lets through are shuffled; both filters are of bounded
-    size. One number per different length comes to the driver. Both sides of the join are
-    distinct per text and name, so a frequent name makes only the article side hot, which
-    adaptive execution splits; copies of a text merge map-side.
+    Runs of words are formed only where a word stands that is a name or, with the next
+    word, begins one, and only those that a filter of all names lets through are
+    shuffled; the filters are of bounded size. One number per different length comes to the
+    driver. Both sides of the join are distinct per text and name, so a frequent name makes
+    only the article side hot, which adaptive execution splits; copies of a text merge
+    map-side.
     """
     lengths = [r["words"] for r in listed.select("words").distinct().collect()]
-    firsts = listed.select(F.substring_index("key", " ", 1).alias("first")).distinct()
-    runs = likely_names(F.col("text"), lengths, key_filter(firsts, "first"), key_filter(listed, "key"))
+    first, second = (F.xxhash64(F.get(F.split("key", " "), n)) for n in (0, 1))
+    longer = listed.filter("words > 1").select(first.alias("first"), second.alias("second"))
+    pairs = longer.select(F.xxhash64("first", "second").alias("hash")).distinct()
+    known, pair = key_filter(listed, "key"), hash_filter(pairs, "hash")
+    marks = name_marks(
+        lambda token: F.xxhash64(token),
+        hash_filter(listed.filter("words = 1").select(F.xxhash64("key").alias("hash")), "hash"),
+        hash_filter(longer.select("first").distinct(), "first"),
+        lambda one, two: pair(F.xxhash64(one, two)),
+    )
+    runs = likely_names(F.col("text"), lengths, lambda token: F.lit(True), known, marks)
     keys = _keyed(articles, text).select("text_key", F.posexplode(runs).alias("at", "key"))
     found = per_key(keys.join(listed.select("key", "name"), "key"), "text_key")
     return found.agg(F.collect_set(F.struct("at", "name")).alias("found")).select(
